@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stormweave.functions.binding import bind
+
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?([zZ]|[+-]\d{2}:?\d{2})?)?$"
 _OFFSET = r"[T ]\d{2}:\d{2}.*([zZ]|[+-]\d{2}:?\d{2})$"
 _DATE_ONLY = r"^\d{4}-\d{2}-\d{2}$"
@@ -31,32 +35,44 @@ def utc_timestamp(text: Column, assume_utc_if_naive: bool = False) -> Column:
 
     The offset is spelled out before the cast, so the result does not depend on the session time zone.
     """
-    raw = F.trim(text)
-    naive = F.when(raw.rlike(_DATE_ONLY), F.concat(raw, F.lit("T00:00:00Z"))).otherwise(F.concat(raw, F.lit("Z")))
-    full = F.when(has_offset(raw), F.regexp_replace(raw, r"([+-]\d{2})(\d{2})$", "$1:$2"))
-    if assume_utc_if_naive:
-        full = full.otherwise(naive)
-    return F.when(raw.rlike(_ISO), full.try_cast("timestamp"))
+    def parsed(raw: Column) -> Column:
+        dated = F.when(raw.rlike(_DATE_ONLY), F.concat(raw, F.lit("T00:00"))).otherwise(raw)
+        # Spark wants seconds and a colon in the offset.
+        clock = F.regexp_replace(dated, r"^(.{10})[T ](\d{2}:\d{2})(?!:)", "$1T$2:00")
+        offset = F.regexp_replace(clock, r"([+-]\d{2})(\d{2})$", "$1:$2")
+        full = F.when(has_offset(raw), offset)
+        if assume_utc_if_naive:
+            full = full.otherwise(F.concat(clock, F.lit("Z")))
+        return F.when(raw.rlike(_ISO), full.try_cast("timestamp"))
+
+    return bind(F.trim(text), parsed)
 
 
 def rss_timestamp(text: Column) -> Column:
     """RFC 822 / 1123 dates, else ISO; a missing or unknown zone is UTC."""
-    raw = F.trim(text)
-    part = [F.regexp_extract(raw, _MAIL, i) for i in range(8)]
-    zone = F.upper(part[7])
-    offset = F.when(zone.rlike(r"^[+-]\d{4}$"), F.regexp_replace(zone, r"(\d{2})(\d{2})$", "$1:$2"))
-    for name, value in _ZONES.items():
-        offset = offset.when(zone == name, F.lit(value))
-    month = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(part[2]))
-    two_digits = F.length(part[3]) == 2
-    century = F.when(two_digits & (part[3] < "69"), F.lit("20")).when(two_digits, F.lit("19")).otherwise(F.lit(""))
-    iso = F.concat(
-        century, part[3], F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(part[1], 2, "0"),
-        F.lit("T"), F.lpad(part[4], 2, "0"), F.lit(":"), part[5], F.lit(":"),
-        F.when(part[6] == "", F.lit("00")).otherwise(part[6]), offset.otherwise(F.lit("+00:00")),
-    )
-    mail = F.when(part[0] != "", iso.try_cast("timestamp"))
-    return F.coalesce(mail, utc_timestamp(raw, assume_utc_if_naive=True))
+    zones = F.from_json(F.lit(json.dumps(_ZONES)), "map<string,string>")
+
+    def offset(zone: Column) -> Column:
+        numeric = F.when(zone.rlike(r"^[+-]\d{4}$"), F.regexp_replace(zone, r"(\d{2})(\d{2})$", "$1:$2"))
+        return F.coalesce(numeric, F.element_at(zones, zone), F.lit("+00:00"))
+
+    def year(text: Column) -> Column:
+        short = F.when(text < "69", F.concat(F.lit("20"), text)).otherwise(F.concat(F.lit("19"), text))
+        return F.when(F.length(text) == 2, short).otherwise(text)
+
+    def mail(raw: Column) -> Column:
+        def part(i: int) -> Column:
+            return F.regexp_extract(raw, _MAIL, i)
+
+        month = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(part(2)))
+        seconds = F.coalesce(F.nullif(part(6), F.lit("")), F.lit("00"))
+        iso = F.concat(
+            bind(part(3), year), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(part(1), 2, "0"),
+            F.lit("T"), F.lpad(part(4), 2, "0"), F.lit(":"), part(5), F.lit(":"), seconds, bind(F.upper(part(7)), offset),
+        )
+        return F.when(raw.rlike(_MAIL), iso.try_cast("timestamp"))
+
+    return bind(F.trim(text), lambda raw: F.coalesce(mail(raw), utc_timestamp(raw, assume_utc_if_naive=True)))
 
 
 def observation_timestamp(date: Column, time: Column) -> Column:
@@ -68,10 +84,11 @@ def observation_timestamp(date: Column, time: Column) -> Column:
 
 def iso_utc(ts: Column) -> Column:
     """`2024-01-01T00:00:00+00:00`, with microseconds only when there are any."""
-    utc = F.to_utc_timestamp(ts, F.current_timezone())
-    whole = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.when(F.pmod(F.unix_micros(ts), F.lit(1_000_000)) != 0, F.date_format(utc, ".SSSSSS")).otherwise("")
-    return F.concat(whole, micros, F.lit("+00:00"))
+    def written(utc: Column) -> Column:
+        text = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        return F.concat(F.regexp_replace(text, r"\.000000$", ""), F.lit("+00:00"))
+
+    return bind(F.to_utc_timestamp(ts, F.current_timezone()), written)
 
 
 def _digest(text: Column, chars: int) -> Column:

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stormweave.functions.binding import bind
+
 EARTH_RADIUS_KM = 6371.0088
 _SHIFT = 2_097_152  # 2^21 values per axis
 _ORIGIN = 1_048_576
@@ -39,14 +41,18 @@ class HexGrid:
         y = latitude * F.lit(self.ky)
         q = x * F.lit(math.sqrt(3.0) / 3.0) - y * F.lit(1.0 / 3.0)
         r = y * F.lit(2.0 / 3.0)
-        s = -q - r
-        rq, rr, rs = (F.floor(v + F.lit(0.5)) for v in (q, r, s))
-        dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
-        q_worst = (dq > dr) & (dq > ds)
-        r_worst = ~q_worst & (dr > ds)
-        axial_q = F.when(q_worst, -rr - rs).otherwise(rq)
-        axial_r = F.when(r_worst, -rq - rs).otherwise(rr)
-        return pack(axial_q, axial_r)
+        def rounded(point: Column) -> Column:
+            """Round to the nearest cell: the axis with the largest error follows from the other two."""
+            axes = [point["q"], point["r"], -point["q"] - point["r"]]
+            rq, rr, rs = (F.floor(v + F.lit(0.5)) for v in axes)
+            dq, dr, ds = (F.abs(n - v) for n, v in zip((rq, rr, rs), axes, strict=True))
+            q_worst = (dq > dr) & (dq > ds)
+            axial_q = F.when(q_worst, -rr - rs).otherwise(rq)
+            axial_r = F.when(~q_worst & (dr > ds), -rq - rs).otherwise(rr)
+            return pack(axial_q, axial_r)
+
+        here = F.struct(q.alias("q"), r.alias("r"))
+        return F.when(latitude.isNotNull() & longitude.isNotNull(), bind(here, rounded))
 
 
 GRID = HexGrid()

@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stormweave import rules
+from stormweave.functions.binding import bind
 
 WORD = r"[\p{L}\p{N}_]"
 SPACES = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -40,15 +41,6 @@ def word_starts(patterns: Sequence[str], ignore_case: bool = True) -> str:
     return ("(?i)" if ignore_case else "") + f"(?=[{''.join(by_letter)}])(?:{branches})"
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once for use in several places of `body`.
-
-    A lambda over a one-element array keeps large rule expressions out of generated code, where they would make
-    methods too long for the JIT compiler.
-    """
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def squeeze(text: Column) -> Column:
     """White-space runs to one blank, ends trimmed."""
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
@@ -65,7 +57,7 @@ def blank_to_null(text: Column) -> Column:
 
 def first_filled(*texts: Column) -> Column:
     """Alias resolution: the first text that is not null or empty."""
-    return F.coalesce(*[F.when(t != "", t) for t in texts])
+    return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts])
 
 
 # --- mark-up -----------------------------------------------------------------------------------------------
@@ -175,9 +167,13 @@ def media_urls(text: Column, payload: Column | None = None) -> Column:
     parts: list[Column] = []
     if payload is not None:
         fields = F.from_json(payload, ", ".join(f"{k} string" for k in rules.MEDIA_KEYS))
-        keyed = [_media_strings(fields[k], only_media=(k == "url")) for k in rules.MEDIA_KEYS]
         none = F.array().cast("array<string>")
-        of_object = F.concat(*[F.coalesce(k, none) for k in keyed])
+
+        def of_fields(given: Column) -> Column:
+            keyed = [_media_strings(given[k], only_media=(k == "url")) for k in rules.MEDIA_KEYS]
+            return F.concat(*[F.coalesce(k, none) for k in keyed])
+
+        of_object = bind(fields, of_fields)
         parts.append(
             F.when(payload.startswith("{"), of_object)
             .when(payload.isNotNull(), F.coalesce(_media_strings(payload), none))
@@ -190,18 +186,22 @@ def media_urls(text: Column, payload: Column | None = None) -> Column:
 
 def language(text: Column, declared: Column | None = None) -> Column:
     """Declared language by name, else Devanagari, else romanised Hindi, else English; null for no text."""
-    body = strip(text)
-    guess = (
-        F.when(body.isNull() | (body == ""), F.lit(None).cast("string"))
-        .when(text.rlike(r"[\u0900-\u097F]"), F.lit("hi"))
-        .when(text.rlike(word_starts([rf"{word}\b" for word in rules.HINGLISH_WORDS])), F.lit("hinglish"))
-        .otherwise(F.lit("en"))
-    )
+    romanised = word_starts([rf"{word}\b" for word in rules.HINGLISH_WORDS])
+
+    def guessed(body: Column) -> Column:
+        return (
+            F.when(~body.rlike(f"[^{SPACES}]"), F.lit(None).cast("string"))
+            .when(body.rlike(r"[\x{900}-\x{97F}]"), F.lit("hi"))
+            .when(body.rlike(romanised), F.lit("hinglish"))
+            .when(body.isNotNull(), F.lit("en"))
+        )
+
+    guess = bind(text, guessed)
     if declared is None:
         return guess
     named = F.lower(blank_to_null(declared))
     known = F.create_map(*[F.lit(x) for pair in rules.LANGUAGE_NAMES.items() for x in pair])
-    return F.coalesce(F.element_at(known, named), named, guess)
+    return F.coalesce(bind(named, lambda name: F.coalesce(F.element_at(known, name), name)), guess)
 
 
 _PLACE = "struct<city:string,name:string,state:string,region:string,country:string,latitude:double,lat:double,longitude:double,lon:double,lng:double>"
@@ -223,51 +223,69 @@ def location(
     Explicit values come first, then top-level keys, then `location`, `place` and `geo`, each an object or a
     "City, State" text. India is assumed once a city or state is known. A coordinate of 0 counts as present.
     """
-    top = F.from_json(payload, _PAYLOAD)
     nothing = F.lit(None).cast("string")
 
-    def given(value: Column | None, key: str) -> Column:
+    def given(top: Column, value: Column | None, key: str) -> Column:
         return F.coalesce(blank_to_null(value) if value is not None else nothing, blank_to_null(top[key]))
 
-    def nested(key: str) -> tuple[Column, Column]:
-        raw = top[key]
-        return F.from_json(F.when(raw.startswith("{"), raw), _PLACE), F.when(~raw.rlike(r"^[\[{]"), raw)
-
-    found_city, found_state = given(city, "city"), given(state, "state")
-    found_country = given(country, "country")
-    lat, lon = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for key in ("location", "place", "geo"):
-        place, named = nested(key)
-        words = F.filter(F.transform(F.split(named, ","), strip), lambda w: w != "")
-        by_name = found_city.isNull() & (F.size(words) > 0)
-        found_state = F.coalesce(
-            found_state, blank_to_null(first_filled(place["state"], place["region"])), F.when(by_name, F.get(words, 1))
+    def place(raw: Column) -> Column:
+        """What one of the three place keys says; `by_name` marks a plain text."""
+        words = F.filter(F.transform(F.split(raw, ","), strip), lambda w: w != "")
+        plain = F.struct(
+            F.get(words, 0).alias("city"), F.get(words, 1).alias("state"), nothing.alias("country"),
+            F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.lit(True).alias("by_name"),
+        )
+        nested = bind(
+            F.from_json(raw, _PLACE),
+            lambda o: F.struct(
+                blank_to_null(first_filled(o["city"], o["name"])).alias("city"),
+                blank_to_null(first_filled(o["state"], o["region"])).alias("state"),
+                blank_to_null(o["country"]).alias("country"),
+                F.coalesce(o["latitude"], o["lat"]).alias("lat"),
+                F.coalesce(o["longitude"], o["lon"], o["lng"]).alias("lon"),
+                F.lit(False).alias("by_name"),
+            ),
         )
-        found_city = F.coalesce(
-            found_city, blank_to_null(first_filled(place["city"], place["name"])), F.when(by_name, F.get(words, 0))
+        return F.when(raw.startswith("{"), nested).when(~raw.startswith("["), plain)
+
+    def resolved(top: Column, said: Column, own_city: Column, own_state: Column) -> Column:
+        each = [F.get(said, i) for i in range(3)]
+        # A plain text names the state only while no city is known.
+        states = [own_state]
+        city_so_far = own_city
+        for p in each:
+            states.append(F.when(~p["by_name"] | city_so_far.isNull(), p["state"]))
+            city_so_far = F.coalesce(city_so_far, p["city"])
+        found_state = F.coalesce(*states)
+        known = city_so_far.isNotNull() | found_state.isNotNull()
+        return F.struct(
+            city_so_far.alias("city"),
+            given(top, district, "district").alias("district"),
+            found_state.alias("state"),
+            F.coalesce(
+                given(top, country, "country"), *[p["country"] for p in each], F.when(known, F.lit("India"))
+            ).alias("country"),
+            F.coalesce(*[p["lat"] for p in each], top["latitude"], top["lat"]).alias("latitude"),
+            F.coalesce(*[p["lon"] for p in each], top["longitude"], top["lon"], top["lng"]).alias("longitude"),
         )
-        found_country = F.coalesce(found_country, blank_to_null(place["country"]))
-        lat = F.coalesce(lat, place["latitude"], place["lat"])
-        lon = F.coalesce(lon, place["longitude"], place["lon"], place["lng"])
-    lat = F.coalesce(lat, top["latitude"], top["lat"])
-    lon = F.coalesce(lon, top["longitude"], top["lon"], top["lng"])
-    known = found_city.isNotNull() | found_state.isNotNull()
-    return F.struct(
-        found_city.alias("city"),
-        given(district, "district").alias("district"),
-        found_state.alias("state"),
-        F.coalesce(found_country, F.when(known, F.lit("India"))).alias("country"),
-        lat.alias("latitude"),
-        lon.alias("longitude"),
-    )
+
+    def of_top(top: Column) -> Column:
+        keys = F.array(top["location"], top["place"], top["geo"])
+        return bind(
+            F.transform(keys, place),
+            lambda said: bind(
+                F.struct(given(top, city, "city").alias("city"), given(top, state, "state").alias("state")),
+                lambda own: resolved(top, said, own["city"], own["state"]),
+            ),
+        )
+
+    return bind(F.from_json(payload, _PAYLOAD), of_top)
 
 
 def is_relevant(text: Column, keywords: Sequence[str] = rules.RELEVANCE_KEYWORDS) -> Column:
-    low = F.lower(text)
-    hit = F.lit(False)
-    for keyword in keywords:
-        hit = hit | low.contains(keyword)
-    return F.coalesce(hit | text.rlike(f"#{WORD}"), F.lit(False))
+    words = F.split(F.lit("\n".join(keywords)), "\n")
+    named = bind(F.lower(text), lambda low: F.exists(words, lambda word: low.contains(word)))
+    return F.coalesce(named | text.rlike(f"#{WORD}"), F.lit(False))
 
 
 # --- event features ----------------------------------------------------------------------------------------
