@@ -1 +1,1001 @@
-"""Queries over incidents."""
+"""Queries over incidents: correlation, evidence, listing, joins, merges and continuous jobs."""
+
+from __future__ import annotations
+
+import datetime as dt
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from stormweave import rules
+from stormweave.functions import identity, spatial
+from stormweave.operators import contracts, correlate, dedup, evidence, filters, incidents, matching, merges
+from stormweave.operators.incidents import IncidentTables
+from stormweave.plans import oracle as sql
+from stormweave.plans.catalogue import query
+from stormweave.plans.report_queries import as_of, report_log
+from stormweave.plans.views import reports_view, table
+from stormweave.schemas import REPORT_DDL
+from stormweave.session import materialize, shared_folder
+from stormweave.sources import export
+from stormweave.sources.tables import Tables
+from stormweave.streaming import jobs, log
+
+UTC = dt.timezone.utc
+
+
+def session_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.correlate_session(reports_view(spark, sf_dir))
+
+
+_STORED: dict[tuple[str, str], IncidentTables] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> IncidentTables:
+    """Session incidents as tables, written once per application, like the store the listings run on."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        members = materialize(session_members(spark, sf_dir), "session-members")
+        made = incidents.from_members(members, as_of())
+        _STORED[key] = IncidentTables(
+            materialize(made.incidents, "incidents"), members, materialize(made.evidence, "evidence"),
+            materialize(made.timeline, "timeline"),
+        )
+    return _STORED[key]
+
+
+def inc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir).incidents
+
+
+def flat(array: Column) -> Column:
+    return F.array_join(array, ", ")
+
+
+# --- correlation --------------------------------------------------------------------------------------------
+
+
+@query("c1_exact_incidents")
+def exact_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = correlate.correlate_exact(reports_view(spark, sf_dir))
+    return found.select("report_id", "incident_id", "incident_category", "opens")
+
+
+@query(
+    "c2_session_incidents",
+    sql.select(sql.MEMBERS, "SELECT report_id, incident_id, incident_category, opens FROM members"),
+)
+def session_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_members(spark, sf_dir).select("report_id", "incident_id", "incident_category", "opens")
+
+
+@query(
+    "c3_leading_negations",
+    sql.select(
+        sql.FEATURES,
+        """SELECT report_id, is_negated FROM feat WHERE (ts, seq) >= (SELECT min((ts, seq)) FROM feat WHERE NOT is_negated)""",
+    ).replace("(ts, seq) >= (SELECT min((ts, seq))", "{'t': ts, 's': seq} >= (SELECT min({'t': ts, 's': seq})"),
+)
+def leading_negations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = correlate.drop_leading_negations(correlate.with_features(reports_view(spark, sf_dir)))
+    return kept.select("report_id", "is_negated")
+
+
+@query("c4_scored_incidents")
+def scored_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = incidents.detect_incidents(reports_view(spark, sf_dir), as_of())
+    return found.incidents.select(
+        "incident_id", "title", "event_category", "severity", "state", "priority_score", "report_count",
+        "overall_confidence", "verification_status", "first_reported_at", "last_updated_at",
+    )
+
+
+@query(
+    "w3_session_numbers",
+    sql.select(sql.MEMBERS, "SELECT report_id, session_no, session_start FROM members"),
+)
+def session_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    featured = correlate.with_features(reports_view(spark, sf_dir))
+    keyed = featured.withColumn("family", correlate.family_of(F.col("event_category")))
+    return correlate.number_sessions(keyed, ["cell", "family"]).select(
+        "report_id", F.col("session_no").cast("bigint").alias("session_no"), "session_start"
+    )
+
+
+# --- roll-up and evidence -----------------------------------------------------------------------------------
+
+
+@query(
+    "a7_cluster_roll_up",
+    sql.select(
+        sql.ROLLED,
+        """SELECT incident_id, title, event_category, severity, density_priority, latitude, longitude, city, state_name,
+        first_reported_at, last_updated_at, report_count FROM rolled""",
+    ),
+)
+def cluster_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.roll_up(session_members(spark, sf_dir)).select(
+        "incident_id", "title", "event_category", "severity", "density_priority", "latitude", "longitude", "city",
+        "state_name", "first_reported_at", "last_updated_at", "report_count",
+    )
+
+
+@query(
+    "a7_timeline",
+    sql.select(
+        sql.MEMBERS,
+        f"""SELECT incident_id, ts AS timestamp, report_id, CASE WHEN n = 1 THEN 'incident_created' ELSE 'report_correlated' END AS event_type,
+        CASE WHEN n = 1 THEN 'Incident created from initial ' || source || ' report.' ELSE 'Correlated report from ' || source || '.' END AS description,
+        {sql.severity("n", "incident_category")} AS new_severity FROM members""",
+    ),
+)
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.timeline(session_members(spark, sf_dir)).select(
+        "incident_id", "timestamp", "report_id", "event_type", "description", "new_severity"
+    )
+
+
+@query(
+    "a8_density_and_severity",
+    sql.select(sql.ROLLED, "SELECT event_category, report_count, severity, density_priority, count(*) AS incidents FROM rolled GROUP BY ALL"),
+)
+def density_and_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = inc(spark, sf_dir).groupBy("event_category", "report_count", "severity", "density_priority")
+    return grouped.agg(F.count("*").alias("incidents"))
+
+
+@query(
+    "g5_spatial_growth",
+    sql.select(
+        sql.MEMBERS,
+        """SELECT incident_id, CAST(cell AS VARCHAR) AS cells FROM members WHERE opens""",
+    ),
+)
+def spatial_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grown = evidence.covered_cells(session_members(spark, sf_dir))
+    return grown.select("incident_id", flat(F.transform("cells", lambda c: c.cast("string"))).alias("cells"))
+
+
+@query("g5_exact_growth")
+def exact_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents of the sequential rule do grow beyond their first cell."""
+    grown = evidence.covered_cells(correlate.correlate_exact(reports_view(spark, sf_dir)))
+    return grown.groupBy(F.size("cells").alias("cells")).agg(F.count("*").alias("incidents"))
+
+
+@query(
+    "a1_evidence_tally",
+    sql.select(
+        sql.INCIDENTS,
+        """SELECT incident_id, supporting_count, contradicting_count, evidence_count, round(sw, 6) AS supporting_weight,
+        round(tw, 6) AS total_weight, supporting_sources, contradicting_sources FROM tallied""",
+    ),
+)
+def evidence_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = evidence.tally(evidence.evidence_items(session_members(spark, sf_dir)))
+    return counted.select(
+        "incident_id", "supporting_count", "contradicting_count", "evidence_count",
+        F.round("supporting_weight", 6).alias("supporting_weight"), F.round("total_weight", 6).alias("total_weight"),
+        flat("supporting_sources").alias("supporting_sources"), flat("contradicting_sources").alias("contradicting_sources"),
+    )
+
+
+@query("a2_confidence", sql.select(sql.INCIDENTS, "SELECT incident_id, overall_confidence FROM sure"))
+def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = evidence.tally(evidence.evidence_items(session_members(spark, sf_dir)))
+    sure = evidence.confidence(
+        F.col("supporting_weight"), F.col("total_weight"), F.col("supporting_count"), F.size("supporting_sources")
+    )
+    return counted.select("incident_id", sure.alias("overall_confidence"))
+
+
+@query("a3_official_support", sql.select(sql.INCIDENTS, "SELECT incident_id, has_official FROM tallied"))
+def official_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.tally(evidence.evidence_items(session_members(spark, sf_dir))).select("incident_id", "has_official")
+
+
+_EXPLAINED = """CASE verification_status
+  WHEN 'CONTRADICTED' THEN 'Incident contradicts ground reality. ' || contradicting_count || ' contradicting report(s) outweigh ' || supporting_count || ' supporting report(s).'
+  WHEN 'SUPPORTED' THEN 'Verified by ' || CASE WHEN has_official THEN 'official meteorological feed' ELSE 'multi-source reports' END || ' across '
+    || supporting_count || ' report(s) (' || supporting_sources || ') with ' || CAST(floor(overall_confidence * 100) AS BIGINT) || '% confidence.'
+  WHEN 'PENDING_REVIEW' THEN 'Single report from ' || string_split(supporting_sources, ', ')[1] || '. Awaiting further multi-source verification.'
+  ELSE 'Unverified incident. Awaiting reports.' END"""
+
+
+@query(
+    "a4_verification",
+    sql.select(sql.INCIDENTS, f"SELECT incident_id, verification_status, state, {_EXPLAINED} AS explanation FROM inc"),
+)
+def verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inc(spark, sf_dir).select(
+        "incident_id", "verification_status", "state", F.col("verification_explanation").alias("explanation")
+    )
+
+
+@query("a5_priority", sql.select(sql.INCIDENTS, "SELECT incident_id, severity, priority_score FROM inc"))
+def priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inc(spark, sf_dir).select("incident_id", "severity", "priority_score")
+
+
+_EVIDENCE_ID = "'ev_' || substr(sha256(report_id || '_' || incident_id), 1, 10)"
+
+
+@query(
+    "a6_evidence_items",
+    sql.select(
+        sql.MEMBERS,
+        f"""SELECT {_EVIDENCE_ID} AS evidence_id, incident_id, report_id, CASE WHEN is_negated THEN 'CONTRADICTING' ELSE 'SUPPORTING' END AS relationship,
+        w / 100e0 AS confidence_score, incident_category AS extracted_event, coalesce(city, state, '-') AS extracted_location FROM members""",
+    ),
+)
+def evidence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.evidence_items(session_members(spark, sf_dir)).select(
+        "evidence_id", "incident_id", "report_id", "relationship", "confidence_score", "extracted_event",
+        F.coalesce("extracted_location", F.lit("-")).alias("extracted_location"),
+    )
+
+
+@query(
+    "a9_dashboard_counts",
+    sql.select(
+        sql.INCIDENTS,
+        """SELECT count(*) AS total, count(*) FILTER (state <> 'RESOLVED') AS active, count(*) FILTER (severity = 'HIGH') AS high,
+        count(*) FILTER (severity = 'CRITICAL') AS critical FROM inc""",
+    ),
+)
+def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.dashboard_counts(inc(spark, sf_dir))
+
+
+@query(
+    "a10_situation_summary",
+    sql.select(
+        sql.INCIDENTS,
+        """SELECT count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high,
+        count(*) FILTER (verification_status = 'SUPPORTED') AS verified FROM inc""",
+    ),
+)
+def situation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.situation_summary(inc(spark, sf_dir))
+
+
+@query(
+    "a11_consistency_audit",
+    sql.select(
+        sql.INCIDENTS,
+        """SELECT CAST(sum(supporting_count + contradicting_count) AS BIGINT) AS total_evidence, CAST(sum(supporting_count) AS BIGINT) AS supporting_evidence,
+        count(*) FILTER (verification_status IN ('UNVERIFIED', 'CONTRADICTED')) AS flagged,
+        round(sum(supporting_count) * 100e0 / sum(supporting_count + contradicting_count), 1) AS consistency_percent FROM inc""",
+    ),
+)
+def consistency_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.consistency_audit(inc(spark, sf_dir))
+
+
+@query(
+    "p11_title",
+    sql.select(
+        sql.FEATURES,
+        """SELECT report_id, array_to_string(list_transform(string_split(lower(event_category), '_'), lambda w: upper(w[1]) || w[2:]), ' ')
+        || ' Alert in ' || coalesce(city, state, CASE WHEN seq % 5 <> 0 THEN printf('(%.2f, %.2f)', latitude, longitude) END, 'Unknown Location') AS title FROM feat""",
+    ),
+)
+def title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lat = F.when(F.col("seq") % 5 != 0, F.col("latitude"))
+    made = evidence.title(F.col("event_category"), F.col("city"), F.col("state"), lat, F.col("longitude"))
+    return correlate.with_features(reports_view(spark, sf_dir)).select("report_id", made.alias("title"))
+
+
+@query(
+    "p12_incident_id",
+    sql.select(
+        sql.FEATURES,
+        f"""SELECT report_id, 'inc_' || lower(event_category) || '_' || substr(sha256(event_category || '_' || cell || '_' || {sql.iso("ts")}), 1, 12) AS incident_id FROM feat""",
+    ),
+)
+def incident_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = identity.incident_id(F.col("event_category"), F.col("cell").cast("string"), F.col("timestamp"))
+    return correlate.with_features(reports_view(spark, sf_dir)).select("report_id", made.alias("incident_id"))
+
+
+@query("p13_evidence_id", sql.select(sql.MEMBERS, f"SELECT report_id, {_EVIDENCE_ID} AS evidence_id FROM members"))
+def evidence_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = identity.evidence_id(F.col("report_id"), F.col("incident_id"))
+    return session_members(spark, sf_dir).select("report_id", made.alias("evidence_id"))
+
+
+# --- validation of incidents and evidence -------------------------------------------------------------------
+
+
+def _number(key: str, modulus: int) -> Column:
+    """A remainder taken from an id, the same in SQL: its last hex digit."""
+    return F.conv(F.substring(key, -1, 1), 16, 10).cast("int") % modulus
+
+
+_DIGIT = "(CAST('0x' || right({key}, 1) AS INT) % {m})"
+
+
+@query(
+    "p2_validate_incidents",
+    sql.select(
+        sql.INCIDENTS,
+        f"""SELECT incident_id, CASE {_DIGIT.format(key="incident_id", m=8)} WHEN 0 THEN 'partial_coordinates' WHEN 1 THEN 'last_before_first'
+        WHEN 2 THEN 'priority_out_of_range' WHEN 3 THEN 'invalid_cell' WHEN 4 THEN 'unknown_severity' ELSE '' END AS errors FROM inc""",
+    ),
+)
+def validate_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fault = _number("incident_id", 8)
+    broken = inc(spark, sf_dir).withColumns(
+        {
+            "longitude": F.when(fault != 0, F.col("longitude")),
+            "last_updated_at": F.when(fault == 1, F.col("first_reported_at") - F.expr("INTERVAL 1 SECOND")).otherwise(
+                F.col("last_updated_at")
+            ),
+            "priority_score": F.when(fault == 2, 100.5).when(fault != 5, F.col("priority_score")),
+            "cells": F.when(fault == 3, F.array(F.lit(-5).cast("bigint"))).otherwise(F.col("cells")),
+            "severity": F.when(fault == 4, "EXTREME").otherwise(F.col("severity")),
+        }
+    )
+    return contracts.validate_incidents(broken).select("incident_id", F.array_join("errors", " ").alias("errors"))
+
+
+@query(
+    "p3_validate_evidence",
+    sql.select(
+        sql.MEMBERS,
+        f"""SELECT evidence_id, CASE {_DIGIT.format(key="evidence_id", m=5)} WHEN 0 THEN 'confidence_out_of_range' WHEN 1 THEN 'weight_out_of_range'
+        WHEN 2 THEN 'unknown_relationship' ELSE '' END AS errors FROM (SELECT {_EVIDENCE_ID} AS evidence_id FROM members)""",
+    ),
+)
+def validate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fault = _number("evidence_id", 5)
+    broken = stored(spark, sf_dir).evidence.withColumns(
+        {
+            "confidence_score": F.when(fault == 0, 1.5).when(fault != 3, F.col("confidence_score")),
+            "source_reliability_weight": F.when(fault == 1, -0.1).otherwise(F.col("source_reliability_weight")),
+            "relationship": F.when(fault == 2, "DOUBTFUL").otherwise(F.col("relationship")),
+        }
+    )
+    return contracts.validate_evidence(broken).select("evidence_id", F.array_join("errors", " ").alias("errors"))
+
+
+@query(
+    "p14_nested_and_flat",
+    sql.select(
+        sql.INCIDENTS,
+        """SELECT incident_id, verification_status, overall_confidence, supporting_count, contradicting_count, supporting_sources,
+        'SRID=4326;POINT(' || longitude || ' ' || latitude || ')' AS location FROM inc""",
+    ),
+)
+def nested_and_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there_and_back = contracts.flatten_summary(contracts.nest_summary(inc(spark, sf_dir)))
+    return contracts.with_location(there_and_back).select(
+        "incident_id", "verification_status", "overall_confidence", "supporting_count", "contradicting_count",
+        flat("supporting_sources").alias("supporting_sources"), "location",
+    )
+
+
+# --- filters, orders, pages ---------------------------------------------------------------------------------
+
+_F = "SELECT incident_id, first_reported_at FROM inc WHERE "
+
+
+def _ids(rows: DataFrame) -> DataFrame:
+    return rows.select("incident_id", "first_reported_at")
+
+
+@query(
+    "f1_time_range",
+    sql.select(sql.INCIDENTS, _F + "first_reported_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12 12:00:00'"),
+)
+def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start, end = dt.datetime(2024, 1, 5, tzinfo=UTC), dt.datetime(2024, 1, 12, 12, tzinfo=UTC)
+    return _ids(filters.reported_between(inc(spark, sf_dir), start, end))
+
+
+@query("f2_calendar_day", sql.select(sql.INCIDENTS, _F + "CAST(first_reported_at AS DATE) = DATE '2024-01-10'"))
+def calendar_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(filters.reported_on(inc(spark, sf_dir), dt.date(2024, 1, 10)))
+
+
+@query("f3_category", sql.select(sql.INCIDENTS, _F + "event_category = 'WATERLOGGING'"))
+def category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(filters.with_category(inc(spark, sf_dir), " waterlogging "))
+
+
+@query(
+    "f4_severity_and_status",
+    sql.select(sql.INCIDENTS, _F + "severity = 'HIGH' AND verification_status = 'SUPPORTED'"),
+)
+def severity_and_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(filters.with_status(filters.with_severity(inc(spark, sf_dir), "HIGH"), "SUPPORTED"))
+
+
+@query("f5_place", sql.select(sql.INCIDENTS, _F + "city ILIKE '%TY_1%' AND state_name ILIKE '%state%'"))
+def place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(filters.in_place(inc(spark, sf_dir), " TY_1", "state"))
+
+
+def _km(lat0: str, lon0: str) -> str:
+    return (
+        f"{sql.dbl(2 * spatial.EARTH_RADIUS_KM)} * asin(least(1e0, sqrt(pow(sin(radians({lat0} - latitude) / 2), 2)"
+        f" + cos(radians(latitude)) * cos(radians({lat0})) * pow(sin(radians({lon0} - longitude) / 2), 2))))"
+    )
+
+
+@query("f6_radius", sql.select(sql.INCIDENTS, _F + _km("9.2e0", "70.3e0") + " <= 150"))
+def radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(filters.near(inc(spark, sf_dir), 9.2, 70.3, 150.0))
+
+
+@query(
+    "f7_point_lookup",
+    sql.select(sql.REPORTS, "SELECT report_id, text FROM reports WHERE report_id = '77' AND user_id % 2 >= 0"),
+)
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.by_id(reports_view(spark, sf_dir), "report_id", "77").select("report_id", "text")
+
+
+@query("f8_active_and_mappable", sql.select(sql.INCIDENTS, _F + "state <> 'RESOLVED' AND latitude IS NOT NULL AND longitude IS NOT NULL"))
+def active_and_mappable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(filters.mappable(filters.active(inc(spark, sf_dir))))
+
+
+@query(
+    "t1_newest_first",
+    sql.select(sql.INCIDENTS, "SELECT incident_id, first_reported_at FROM inc ORDER BY first_reported_at DESC, incident_id LIMIT 50 OFFSET 100"),
+)
+def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(filters.newest_first(inc(spark, sf_dir), 50, 100))
+
+
+@query(
+    "t1_listing",
+    sql.select(
+        sql.INCIDENTS,
+        """SELECT incident_id, severity, priority_score FROM inc WHERE first_reported_at >= TIMESTAMP '2024-01-03' AND event_category = 'RAIN'
+        AND state_name ILIKE '%state%' ORDER BY first_reported_at DESC, incident_id LIMIT 20""",
+    ),
+)
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = filters.list_incidents(
+        inc(spark, sf_dir), start=dt.datetime(2024, 1, 3, tzinfo=UTC), category="rain", state="state", limit=20
+    )
+    return page.select("incident_id", "severity", "priority_score")
+
+
+@query(
+    "t2_top_priority",
+    sql.select(sql.INCIDENTS, "SELECT incident_id, priority_score FROM inc ORDER BY priority_score DESC NULLS LAST, incident_id LIMIT 3"),
+)
+def top_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.top_priority(inc(spark, sf_dir)).select("incident_id", "priority_score")
+
+
+@query(
+    "t3_sorted",
+    sql.select(
+        sql.INCIDENTS,
+        """SELECT 'severity' AS by, incident_id FROM (SELECT * FROM inc ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1
+          WHEN 'MODERATE' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END, incident_id LIMIT 100)
+        UNION ALL SELECT 'confidence', incident_id FROM (SELECT * FROM inc ORDER BY coalesce(overall_confidence, 0) DESC, incident_id LIMIT 100)
+        UNION ALL SELECT 'time', incident_id FROM (SELECT * FROM inc ORDER BY last_updated_at DESC, incident_id LIMIT 100)""",
+    ),
+)
+def sorted_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred in each of the three orders."""
+
+    def first(order: str) -> DataFrame:
+        page = filters.sorted_by(inc(spark, sf_dir), order).limit(100)
+        return page.select(F.lit(order).alias("by"), "incident_id")
+
+    return first("severity").unionByName(first("confidence")).unionByName(first("time"))
+
+
+@query(
+    "t4_ordered_timeline",
+    """SELECT conv_id, string_agg(role, ' ' ORDER BY turn) AS roles, count(*) AS entries FROM conversations GROUP BY conv_id""",
+)
+def ordered_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "role")))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id")
+    return turns.agg(
+        F.array_join(F.transform(ordered, lambda t: t["role"]), " ").alias("roles"), F.count("*").alias("entries")
+    )
+
+
+@query(
+    "t5_chronological",
+    sql.select(
+        sql.MEMBERS,
+        "SELECT incident_id, report_id, row_number() OVER (PARTITION BY incident_id ORDER BY ts, seq) AS n FROM members",
+    ),
+)
+def chronological(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrival numbers, numbered by ranges so that no incident is sorted in one task."""
+    members = stored(spark, sf_dir).members.select("incident_id", "timestamp", "seq", "report_id")
+    return merges.number_rows(members, "incident_id", ["timestamp", "seq"]).select("incident_id", "report_id", "n")
+
+
+# --- joins --------------------------------------------------------------------------------------------------
+
+
+@query(
+    "j1_incident_reports",
+    sql.select(sql.MEMBERS, "SELECT incident_id, report_id, source FROM members WHERE user_id % 3 <> 0"),
+)
+def incident_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids by array; reports of every third user are unknown and fall away."""
+    members = session_members(spark, sf_dir)
+    with_ids = members.groupBy("incident_id").agg(
+        F.first("incident_category").alias("event_category"), F.collect_list("report_id").alias("report_ids")
+    )
+    known = reports_view(spark, sf_dir).filter(F.col("source_id").cast("bigint") % 3 != 0)
+    return evidence.join_reports(with_ids, known).select("incident_id", "report_id", "source")
+
+
+def compat_sql(incident: str, report: str) -> str:
+    arms = " OR ".join(
+        f"({incident} = '{c}' AND {report} IN ({', '.join(sql.quoted(a) for a in accepted)}))"
+        for c, accepted in rules.COMPATIBLE.items()
+    )
+    return f"({arms})"
+
+
+_NEAR = """(abs(f.aq - c.aq) + abs(f.ar - c.ar) + abs(f.aq - c.aq + f.ar - c.ar)) // 2 <= 1"""
+_IN_TIME = "abs(epoch_us(f.ts) - epoch_us(i.last_updated_at)) <= 21600000000"
+_FIRST = "SELECT report_id, incident_id FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY first_reported_at, incident_id) AS n FROM hits) WHERE n = 1"
+_CELLS = "cells AS (SELECT DISTINCT cell, aq, ar FROM feat)"
+
+
+@query(
+    "j2_match_seed_cell",
+    sql.select(
+        sql.INCIDENTS,
+        f""", {_CELLS}, hits AS (SELECT f.report_id, i.incident_id, i.first_reported_at FROM inc i JOIN cells c ON c.cell = i.cell
+        JOIN feat f ON {_NEAR} AND {_IN_TIME} AND {compat_sql("i.event_category", "f.event_category")}) {_FIRST}""",
+    ),
+)
+def match_seed_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.match_seed_cell(correlate.with_features(reports_view(spark, sf_dir)), inc(spark, sf_dir))
+
+
+@query(
+    "j3_match_box",
+    sql.select(
+        sql.INCIDENTS,
+        f""", hits AS (SELECT f.report_id, i.incident_id, i.first_reported_at FROM inc i JOIN feat f ON abs(f.latitude - i.latitude) <= 0.2e0
+        AND abs(f.longitude - i.longitude) <= 0.2e0 AND {_IN_TIME} AND {compat_sql("i.event_category", "f.event_category")}) {_FIRST}""",
+    ),
+)
+def match_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.match_box(correlate.with_features(reports_view(spark, sf_dir)), inc(spark, sf_dir))
+
+
+@query(
+    "j4_match_any_cell",
+    sql.select(
+        sql.INCIDENTS,
+        f""", {_CELLS}, two AS (SELECT incident_id, c.aq, c.ar FROM inc JOIN cells c USING (cell) UNION
+          SELECT incident_id, c.aq, c.ar + 1 FROM inc JOIN cells c USING (cell)),
+        hits AS (SELECT DISTINCT f.report_id, i.incident_id, i.first_reported_at FROM inc i JOIN two c ON c.incident_id = i.incident_id
+        JOIN feat f ON {_NEAR} AND {_IN_TIME} AND {compat_sql("i.event_category", "f.event_category")}) {_FIRST}""",
+    ),
+)
+def match_any_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents widened by the cell next to their own."""
+    wider = inc(spark, sf_dir).withColumn("cells", F.array(F.get("cells", 0), F.get("cells", 0) + 1))
+    return matching.match_any_cell(correlate.with_features(reports_view(spark, sf_dir)), wider)
+
+
+@query(
+    "j5_compatible_categories",
+    sql.select(
+        sql.INCIDENTS,
+        "SELECT incident_id, CASE event_category "
+        + " ".join(f"WHEN '{c}' THEN {sql.quoted(', '.join(a))}" for c, a in rules.COMPATIBLE.items())
+        + " END AS accepts FROM inc",
+    ),
+)
+def compatible_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    looked_up = evidence.with_accepted_categories(inc(spark, sf_dir), rules.compatibility_table(spark))
+    return looked_up.select("incident_id", flat("accepts").alias("accepts"))
+
+
+@query(
+    "j6_source_weights",
+    sql.select(
+        sql.REPORTS,
+        """SELECT report_id, CASE WHEN source_type = 'official' THEN 0.95e0 WHEN source = 'news_rss' THEN 0.75e0 WHEN source = 'twitter' THEN 0.6e0
+        ELSE 0.5e0 END AS source_weight FROM (SELECT * REPLACE (CASE WHEN user_id % 8 = 3 THEN 'unheard_of' ELSE source END AS source) FROM reports)
+        WHERE source <> 'citizen_app' UNION ALL SELECT report_id, 0.55e0 FROM reports WHERE source = 'citizen_app' AND user_id % 8 <> 3""",
+    ),
+)
+def source_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user = F.col("source_id").cast("bigint")
+    reports = reports_view(spark, sf_dir).withColumn(
+        "source", F.when(user % 8 == 3, "unheard_of").otherwise(F.upper("source"))
+    )
+    return evidence.with_source_weights(reports, rules.weight_table(spark)).select("report_id", "source_weight")
+
+
+@query("j16_semantic_pairs")
+def semantic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports near in space and time; a report takes the vector numbered by its user."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("source_id"), "embedding")
+    located = reports_view(spark, sf_dir).join(vectors, "source_id")
+    return dedup.semantic_pairs(located, min_cosine=0.2, window_hours=1.0)
+
+
+_COSINE = "list_sum(list_transform(range(1, 65), lambda k: CAST(a.embedding[k] AS DOUBLE) * CAST(b.embedding[k] AS DOUBLE)))"
+
+
+@query(
+    "j16_cosine",
+    f"""WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings)
+    SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round({_COSINE}, 6) AS cosine FROM numbered a JOIN numbered b ON a.label = b.label AND b.n = a.n + 1""",
+)
+def cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector against the next one of its label."""
+    window = Window.partitionBy("label").orderBy("vec_id")
+    after = table(spark, sf_dir, "embeddings").withColumns(
+        {"vec_b": F.lead("vec_id").over(window), "other": F.lead("embedding").over(window)}
+    )
+    return after.filter(F.col("vec_b").isNotNull()).select(
+        F.col("vec_id").alias("vec_a"), "vec_b", F.round(dedup.dot(F.col("embedding"), F.col("other")), 6).alias("cosine")
+    )
+
+
+@query("j17_touching_incidents")
+def touching_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = dedup.touching_incidents(inc(spark, sf_dir))
+    return groups.select("incident_id", "group")
+
+
+# --- merges -------------------------------------------------------------------------------------------------
+# "Existing" holds the first twenty days, "incoming" the days from the fifteenth on; both know the days between.
+
+_OLD, _NEW = "TIMESTAMP '2024-01-20'", "TIMESTAMP '2024-01-15'"
+
+
+def _split(rows: DataFrame, time: str) -> tuple[DataFrame, DataFrame]:
+    def moment(day: str) -> Column:
+        return F.lit(f"{day}T00:00:00Z").cast("timestamp")
+
+    return rows.filter(F.col(time) < moment("2024-01-20")), rows.filter(F.col(time) >= moment("2024-01-15"))
+
+
+@query("j8_insert_absent", sql.select(sql.REPORTS, f"SELECT report_id, ts AS timestamp FROM reports WHERE ts >= {_OLD}"))
+def insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing, incoming = _split(reports_view(spark, sf_dir), "timestamp")
+    return merges.insert_absent(existing, incoming).select("report_id", "timestamp")
+
+
+@query(
+    "j9_placeholders",
+    sql.select(
+        sql.MEMBERS,
+        f"""SELECT report_id, 'system' AS source, 'stub' AS source_type, ts AS timestamp, 'Report ' || report_id || ' pending detailed payload' AS text
+        FROM members WHERE ts >= {_OLD}""",
+    ),
+)
+def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing, _ = _split(reports_view(spark, sf_dir), "timestamp")
+    tables = stored(spark, sf_dir)
+    members = tables.members.select("report_id", "timestamp")
+    stubs = merges.missing_reports(existing, members, tables.evidence.select("report_id", "source", "timestamp"))
+    return stubs.select("report_id", "source", "source_type", "timestamp", "text")
+
+
+@query(
+    "j10_upsert_reports",
+    sql.select(
+        sql.REPORTS,
+        f"""SELECT report_id, CASE WHEN ts >= {_NEW} THEN 'new' ELSE 'old' END AS version, ts AS timestamp FROM reports""",
+    ),
+)
+def upsert_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing, incoming = _split(reports_view(spark, sf_dir), "timestamp")
+    merged = merges.upsert_rows(
+        existing.withColumn("version", F.lit("old")), incoming.withColumn("version", F.lit("new"))
+    )
+    return merged.select("report_id", "version", "timestamp")
+
+
+@query(
+    "j11_upsert_incidents",
+    sql.select(
+        sql.INCIDENTS,
+        f"""SELECT incident_id, CASE WHEN first_reported_at >= {_NEW} THEN 'Updated' ELSE title END AS title,
+        CASE WHEN first_reported_at >= {_OLD} AND event_category = 'RAIN' THEN NULL ELSE verification_status END AS verification_status FROM inc""",
+    ),
+)
+def upsert_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming rain incidents come without a summary, so known ones keep theirs."""
+    existing, incoming = _split(inc(spark, sf_dir), "first_reported_at")
+    sent = incoming.withColumns(
+        {
+            "title": F.lit("Updated"),
+            "verification_status": F.when(F.col("event_category") != "RAIN", F.col("verification_status")),
+        }
+    )
+    return merges.upsert_incidents(existing, sent).select("incident_id", "title", "verification_status")
+
+
+@query(
+    "j11_reconcile_timeline",
+    sql.select(
+        sql.MEMBERS,
+        f"""SELECT incident_id, report_id, CASE WHEN session_start >= {_NEW} AND session_start < {_OLD} THEN 'kept' WHEN session_start >= {_OLD} THEN 'added' ELSE 'untouched' END AS kind
+        FROM members WHERE session_start < {_NEW} OR n <> 2""",
+    ),
+)
+def reconcile_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming timelines lack the second entry of every incident; stored ones of touched incidents lose it."""
+    tables = stored(spark, sf_dir)
+    first_seen = tables.incidents.select("incident_id", "first_reported_at")
+    entries = tables.timeline.join(first_seen, "incident_id")
+    existing, incoming = _split(entries, "first_reported_at")
+    existing = existing.withColumn("id", F.concat(F.lit("old-"), "report_id"))
+    second = tables.members.withColumn(
+        "n", F.row_number().over(Window.partitionBy("incident_id").orderBy("timestamp", "seq"))
+    ).filter("n = 2")
+    incoming = incoming.join(second.select("report_id"), "report_id", "left_anti").withColumn("id", F.lit(None).cast("string"))
+    merged = merges.replace_children(
+        existing, incoming, incoming, merges.TIMELINE_KEY, surrogate="id"
+    ).select("incident_id", "report_id", "first_reported_at", "id")
+    touched = F.col("first_reported_at") >= F.lit("2024-01-15T00:00:00Z").cast("timestamp")
+    kind = F.when(~touched, "untouched").when(F.col("id").startswith("old-"), "kept").otherwise("added")
+    return merged.select("incident_id", "report_id", kind.alias("kind"))
+
+
+@query(
+    "u3_orphans",
+    sql.select(sql.MEMBERS, f"SELECT {_EVIDENCE_ID} AS evidence_id FROM members WHERE n = 2 AND session_start >= {_NEW} AND session_start < {_OLD}"),
+)
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = stored(spark, sf_dir)
+    items = tables.evidence.join(tables.incidents.select("incident_id", "first_reported_at"), "incident_id")
+    existing, incoming = _split(items, "first_reported_at")
+    second = tables.members.withColumn(
+        "n", F.row_number().over(Window.partitionBy("incident_id").orderBy("timestamp", "seq"))
+    ).filter("n = 2")
+    kept = incoming.join(second.select("report_id"), "report_id", "left_anti")
+    return merges.orphans(existing, kept, ["evidence_id"])
+
+
+@query(
+    "j12_merge_preserving",
+    sql.select(
+        sql.INCIDENTS,
+        f"""SELECT incident_id, CASE WHEN first_reported_at < {_OLD} THEN 'edited' ELSE title END AS title,
+        CASE WHEN first_reported_at >= {_NEW} THEN last_updated_at ELSE first_reported_at END AS last_updated_at FROM inc""",
+    ),
+)
+def merge_preserving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing, incoming = _split(inc(spark, sf_dir), "first_reported_at")
+    edited = existing.withColumns({"title": F.lit("edited"), "last_updated_at": F.col("first_reported_at")})
+    return merges.merge_preserving(edited, incoming).select("incident_id", "title", "last_updated_at")
+
+
+@query(
+    "j12_append_timeline",
+    sql.select(sql.MEMBERS, f"SELECT incident_id, report_id, ts AS timestamp FROM members WHERE ts >= {_OLD}"),
+)
+def append_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing, incoming = _split(stored(spark, sf_dir).timeline, "timestamp")
+    return merges.append_timeline(existing, incoming).select("incident_id", "report_id", "timestamp")
+
+
+@query(
+    "u2_union_of_ids",
+    sql.select(sql.MEMBERS, "SELECT incident_id, string_agg(report_id, ', ' ORDER BY report_id) AS report_ids FROM members GROUP BY incident_id"),
+)
+def union_of_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even and odd reports of an incident, both with its first report, as two arrays."""
+    members = stored(spark, sf_dir).members
+    halves = members.groupBy("incident_id").agg(
+        F.collect_list(F.when(F.col("opens") | (F.col("seq") % 2 == 0), F.col("report_id"))).alias("a"),
+        F.collect_list(F.when(F.col("opens") | (F.col("seq") % 2 == 1), F.col("report_id"))).alias("b"),
+    )
+    return halves.select("incident_id", flat(merges.union_ids(F.col("a"), F.col("b"))).alias("report_ids"))
+
+
+@query(
+    "u2_new_members",
+    sql.select(sql.MEMBERS, f"SELECT incident_id, report_id FROM members WHERE ts >= {_OLD}"),
+)
+def new_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing, incoming = _split(stored(spark, sf_dir).members, "timestamp")
+    return merges.merge_members(existing, incoming).select("incident_id", "report_id")
+
+
+@query(
+    "j13_nested_documents",
+    sql.select(
+        sql.MEMBERS,
+        """SELECT incident_id, 0::BIGINT AS part, string_agg(report_id, ' ' ORDER BY ts, report_id) AS report_ids, count(*)::INT AS evidence,
+        string_agg(CASE WHEN n = 1 THEN 'incident_created' ELSE 'report_correlated' END, ' ' ORDER BY ts, n) AS events FROM members GROUP BY incident_id""",
+    ),
+)
+def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = stored(spark, sf_dir)
+    members = tables.members.select("incident_id", "report_id", "timestamp")
+    nested = merges.assemble(tables.incidents, members, tables.evidence, tables.timeline)
+    return nested.select(
+        "incident_id", "part", F.array_join("report_ids", " ").alias("report_ids"), F.size("evidence_items").alias("evidence"),
+        F.array_join(F.transform("timeline", lambda e: e["event_type"]), " ").alias("events"),
+    )
+
+
+@query(
+    "j14_referential_actions",
+    sql.select(
+        sql.MEMBERS,
+        f"""SELECT {_EVIDENCE_ID} AS evidence_id, CASE WHEN user_id % 5 <> 0 THEN report_id END AS report_id FROM members WHERE incident_category <> 'HEATWAVE'""",
+    ),
+)
+def referential_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heatwave incidents are deleted, and the reports of every fifth user."""
+    tables = stored(spark, sf_dir)
+    kept = merges.cascade_delete(tables.evidence, filters.with_category(tables.incidents, "HEATWAVE"))
+    gone = reports_view(spark, sf_dir).filter(F.col("source_id").cast("bigint") % 5 == 0)
+    return merges.null_deleted_reports(kept, gone).select("evidence_id", "report_id")
+
+
+# --- tables, exports, jobs ----------------------------------------------------------------------------------
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for one run below the shared folder."""
+    return f"{shared_folder(spark)}/stormweave/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "s10_tables",
+    sql.select(
+        sql.INCIDENTS,
+        """SELECT 'incidents' AS name, CAST(first_reported_at AS DATE) AS day, count(*) AS rows FROM inc GROUP BY ALL
+        UNION ALL SELECT 'evidence_items', CAST(session_start AS DATE), count(*) FROM members GROUP BY ALL
+        UNION ALL SELECT 'incident_timeline', CAST(session_start AS DATE), count(*) FROM members GROUP BY ALL
+        UNION ALL SELECT 'reports', CAST(ts AS DATE), count(*) FROM reports GROUP BY ALL""",
+    ),
+)
+def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the four tables twice; the second merge must change nothing."""
+    store = Tables(spark, scratch(spark, "tables"))
+    made = stored(spark, sf_dir)
+    batch = IncidentTables(
+        made.incidents, made.members.select("incident_id", "report_id", "timestamp"), made.evidence, made.timeline
+    )
+    reports = contracts.validate_reports(_full(reports_view(spark, sf_dir)))
+    for _ in range(2):
+        store.add_reports(reports)
+        store.merge_incidents(batch)
+    counts = [
+        store.read(name).groupBy(F.lit(name).alias("name"), "day").agg(F.count("*").alias("rows"))
+        for name in ("incidents", "evidence_items", "incident_timeline", "reports")
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+def _full(reports: DataFrame) -> DataFrame:
+    """Reports with every canonical column."""
+    empty = reports.sparkSession.createDataFrame([], REPORT_DDL)
+    return empty.unionByName(reports.drop("seq"), allowMissingColumns=True)
+
+
+_ISO_LAST = sql.iso("last_updated_at")
+
+
+@query(
+    "s11_situation_report",
+    sql.select(
+        sql.INCIDENTS,
+        f"""SELECT incident_id AS "Incident ID", title AS "Title", event_category AS "Category", severity AS "Severity", round(priority_score, 1) AS "Priority Score",
+        verification_status AS "Verification Status", round(overall_confidence * 100, 1) AS "Confidence %", report_count AS "Reports Count",
+        coalesce(city, 'Unknown') AS "City", coalesce(state_name, 'India') AS "State", {_ISO_LAST} AS "Last Updated" FROM inc""",
+    ),
+)
+def situation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.situation_report(inc(spark, sf_dir))
+
+
+@query(
+    "s12_dashboard_report",
+    sql.select(
+        sql.INCIDENTS,
+        f"""SELECT incident_id AS "Incident ID", title AS "Title", event_category AS "Category", severity AS "Severity", priority_score AS "Priority Score",
+        verification_status AS "Status", CAST(round(overall_confidence * 100) AS INT) AS "Trust %", report_count AS "Reports Count",
+        concat_ws(', ', city, state_name) AS "Location", {_ISO_LAST} AS "Last Updated" FROM inc""",
+    ),
+)
+def dashboard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.dashboard_report(inc(spark, sf_dir))
+
+
+@query(
+    "s13_backup",
+    sql.select(
+        sql.INCIDENTS,
+        """SELECT incident_id, verification_status AS status, evidence_count::INT AS evidence FROM inc""",
+    ),
+)
+def backup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backup as it is read again from its JSON files."""
+    made = stored(spark, sf_dir)
+    path = scratch(spark, "backup")
+    members = made.members.select("incident_id", "report_id", "timestamp")
+    export.backup(made.incidents, members, made.evidence, made.timeline).write.json(path)
+    schema = "incident_id string, verification_summary struct<verification_status:string,evidence_items:array<struct<evidence_id:string>>>"
+    return spark.read.schema(schema).json(path).select(
+        "incident_id",
+        F.col("verification_summary.verification_status").alias("status"),
+        F.size("verification_summary.evidence_items").alias("evidence"),
+    )
+
+
+@query(
+    "s14_change_feed",
+    sql.select(
+        sql.INCIDENTS,
+        f"""SELECT 'incident.updated' AS event, incident_id, '2024-02-01T00:00:00+00:00' AS at, title, severity FROM inc""",
+    ),
+)
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = jobs.change_events(inc(spark, sf_dir), as_of())
+    fields = {"event": "$.event", "incident_id": "$.incident_id", "at": "$.timestamp", "title": "$.incident.title",
+              "severity": "$.incident.severity"}
+    return events.select(*[F.get_json_object("value", path).alias(name) for name, path in fields.items()])
+
+
+def _run_log(spark: SparkSession, sf_dir: str, remember: bool = False) -> tuple[Tables, str]:
+    """Publish every message to a log and run the continuous job over it until it is consumed."""
+    folder = scratch(spark, "job")
+    report_log(spark, sf_dir).repartition(2).write.json(f"{folder}/log")
+    store = Tables(spark, f"{folder}/tables")
+    handler = jobs.pipeline_handler(store, f"{folder}/feed", as_of(), remember)
+    job = log.consume(log.stream_log(spark, f"{folder}/log"), handler, f"{folder}/dead", f"{folder}/checkpoint")
+    job.trigger(availableNow=True).start().awaitTermination()
+    return store, folder
+
+
+@query("r1_continuous_job")
+def continuous_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, _ = _run_log(spark, sf_dir)
+    return store.read("incidents").select("incident_id", "event_category", "severity", "report_count", "priority_score")
+
+
+@query(
+    "r5_redelivery",
+    sql.select(sql.REPORTS, "SELECT report_id, count(*) AS copies FROM reports GROUP BY report_id"),
+)
+def redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every report is delivered twice and stored once."""
+    store = Tables(spark, scratch(spark, "redelivery"))
+    reports = contracts.validate_reports(_full(reports_view(spark, sf_dir)))
+    store.add_reports(reports.unionByName(reports))
+    store.add_reports(reports)
+    return store.read("reports").groupBy("report_id").agg(F.count("*").alias("copies"))
+
+
+@query(
+    "r6_late_reports",
+    sql.select(sql.REPORTS, "SELECT report_id, ts AS timestamp FROM reports WHERE ts < TIMESTAMP '2024-01-09 18:00:00'"),
+)
+def late_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = F.lit("2024-01-10T00:00:00Z").cast("timestamp")
+    return jobs.late_reports(reports_view(spark, sf_dir), newest).select("report_id", "timestamp")
+
+
+@query(
+    "d3_thresholds",
+    sql.select(
+        sql.MEMBERS.replace("INTERVAL 6 HOUR", "INTERVAL 2 HOUR"),
+        "SELECT report_id, incident_id FROM members",
+    ),
+)
+def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = correlate.correlate_session(reports_view(spark, sf_dir), window_hours=2.0)
+    return members.select("report_id", "incident_id")

@@ -154,4 +154,5 @@ inc AS (SELECT *, CASE verification_status WHEN 'CONTRADICTED' THEN 'DE_ESCALATI
 
 
 def select(base: str, body: str) -> str:
-    return f"WITH {base}\n{body}"
+    """A query over the blocks; a body that starts with a comma adds blocks of its own."""
+    return f"WITH {base}{'' if body.startswith(',') else chr(10)}{body}"

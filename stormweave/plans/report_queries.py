@@ -10,7 +10,7 @@ from stormweave.functions import embedding, identity, spatial, text
 from stormweave.operators import contracts, dedup
 from stormweave.plans import oracle as sql
 from stormweave.plans.catalogue import query
-from stormweave.plans.views import events_view, reports_view, table
+from stormweave.plans.views import TEXTS, events_view, reports_view, table
 from stormweave.sources import feeds, images
 from stormweave.streaming import log
 
@@ -23,12 +23,6 @@ def joined(array: Column, separator: str = " ") -> Column:
     return F.array_join(array, separator)
 
 
-def featured_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stormweave.operators.correlate import with_features
-
-    return with_features(reports_view(spark, sf_dir))
-
-
 # --- text ---------------------------------------------------------------------------------------------------
 
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -420,7 +414,7 @@ def unknown_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(user % 3 == 1, F.lit("{not json"))
         .otherwise(body)
     )
-    kinds = F.create_map(*[F.lit(x) for k, v in __import__("stormweave.plans.views", fromlist=["TEXTS"]).TEXTS.items() for x in (v, k)])
+    kinds = F.create_map(*[F.lit(x) for k, v in TEXTS.items() for x in (v, k)])
     messages = reports.select(F.element_at(kinds, F.col("text")).alias("event_type"), payload.alias("payload"))
     checked = contracts.rejected(contracts.reports_from_json(messages))
     extra = F.array_contains("errors", "unknown_fields")
@@ -579,11 +573,11 @@ def supplied_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     "g3_k_ring",
     sql.select(
         _PLACED,
-        """, here AS (SELECT DISTINCT cell, aq, ar FROM placed),
+        """, here AS (SELECT DISTINCT cell, aq, ar FROM placed)
         SELECT cell, around FROM (SELECT cell, (aq + dq.v + 1048576) * 2097152 + ar + dr.v + 1048576 AS around
         FROM here, (SELECT unnest([-2,-1,0,1,2]) AS v) dq, (SELECT unnest([-2,-1,0,1,2]) AS v) dr
-        WHERE (abs(dq.v) + abs(dr.v) + abs(dq.v + dr.v)) // 2 <= 2)""".replace("placed),\n        SELECT", "placed)\n        SELECT"),
-    ).replace("\n, here", ", here"),
+        WHERE (abs(dq.v) + abs(dr.v) + abs(dq.v + dr.v)) // 2 <= 2)""",
+    ),
 )
 def k_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = reports_view(spark, sf_dir).select(spatial.GRID.cell(F.col("latitude"), F.col("longitude")).alias("cell"))
