@@ -81,19 +81,26 @@ def _micros(window_hours: float) -> int:
     return round(window_hours * 3_600_000_000)
 
 
-def session_buckets(rows: DataFrame, keys: list[str], window_hours: float = 6.0) -> DataFrame:
+def session_buckets(
+    rows: DataFrame, keys: list[str], window_hours: float = 6.0, carry: str | None = None
+) -> DataFrame:
     """One row per (keys, bucket) with the run it belongs to: `run_us`, `run_seq`, `run_end_us`.
 
+    `carry` names a numeric column whose value in the run's first row is wanted too, as `run_<carry>`.
+
     Rows need `timestamp` and `seq`. A run breaks where consecutive rows are more than the window apart. Rows
     of one bucket are always in one run, so the window functions see buckets and never the rows themselves.
     """
     span = _micros(window_hours)
+    key = _order_key(F.col("timestamp"), F.col("seq"))
+    carried = [] if carry is None else [F.min_by(F.col(carry), key).alias("first_carry")]
     buckets = (
         rows.withColumn("bucket", F.floor(F.unix_micros("timestamp") / F.lit(span)))
         .groupBy(*keys, "bucket")
         .agg(
-            F.min(_order_key(F.col("timestamp"), F.col("seq"))).alias("first_key"),
+            F.min(key).alias("first_key"),
             F.max(F.unix_micros("timestamp")).alias("last_us"),
+            *carried,
         )
         .withColumn("first_us", F.expr(f"cast(first_key div {_SEQ_SPAN} as bigint)"))
         .withColumn("first_seq", (F.col("first_key") % F.lit(Decimal(_SEQ_SPAN)).cast("decimal(20,0)")).cast("bigint"))
@@ -110,6 +117,7 @@ def session_buckets(rows: DataFrame, keys: list[str], window_hours: float = 6.0)
         "run_us",
         F.max(F.when(F.col("starts"), F.col("first_seq"))).over(of_run).alias("run_seq"),
         F.max("last_us").over(of_run).alias("run_end_us"),
+        *([] if carry is None else [F.max(F.when(F.col("starts"), F.col("first_carry"))).over(of_run).alias(f"run_{carry}")]),
     )
 
 
@@ -381,26 +389,30 @@ def correlate_session(
 
     No neighbour search and no sequence: a plain aggregate and join, and the form that streams.
     """
+    categories = list(compatible)
     featured = with_features(reports, grid).withColumn("family", family_of(F.col("event_category"), compatible))
     located = featured.filter(F.col("cell").isNotNull())
-    buckets = session_buckets(located, ["cell", "family"], window_hours)
+    numbered = located.withColumn("category_no", _category_number(F.col("event_category"), categories))
+    buckets = session_buckets(numbered, ["cell", "family"], window_hours, carry="category_no")
     joined = located.withColumn("bucket", F.floor(F.unix_micros("timestamp") / F.lit(_micros(window_hours)))).join(
         buckets, ["cell", "family", "bucket"]
     )
+    own = [F.col(c) for c in featured.columns if c != "family"]
+    names = F.array(*[F.lit(c) for c in categories])
     in_cells = joined.select(
-        *featured.columns,
+        *own,
         identity.incident_id(
             F.col("family"), F.col("cell").cast("string"), F.timestamp_micros("run_us"), id_chars
         ).alias("incident_id"),
+        F.element_at(names, F.col("run_category_no")).alias("incident_category"),
         ((F.unix_micros("timestamp") == F.col("run_us")) & (F.col("seq") == F.col("run_seq"))).alias("opens"),
     )
     alone = featured.filter(F.col("cell").isNull()).select(
-        *featured.columns,
+        *own,
         identity.incident_id(
             F.col("family"), F.concat_ws("_", F.lit("None"), "report_id"), F.col("timestamp"), id_chars
         ).alias("incident_id"),
+        F.col("event_category").alias("incident_category"),
         F.lit(True).alias("opens"),
     )
-    members = in_cells.unionByName(alone)
-    openers = members.filter("opens").select("incident_id", F.col("event_category").alias("incident_category"))
-    return members.join(openers, "incident_id").drop("family")
+    return in_cells.unionByName(alone)

@@ -94,8 +94,8 @@ def roll_up(members: DataFrame) -> DataFrame:
     """One row per incident from its member reports.
 
     Place and title come from the opening report. The position is the mean of the members' coordinates to four
-    decimals, summed exactly so that it does not depend on partitioning; `running_centroid` gives the
-    reference's step-by-step rounding.
+    decimals, summed exactly so that it does not depend on partitioning; `centroid.running_centroid` gives the
+    reference's position, which is rounded after every report.
     """
     stats = members.groupBy("incident_id").agg(
         F.min("timestamp").alias("first_reported_at"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormweave.operators import correlate, dedup, evidence
+from stormweave.operators.centroid import running_centroid
 from stormweave.schemas import INCIDENT_DDL, columns
 from stormweave.session import materialize
 
@@ -21,10 +22,21 @@ class IncidentTables(NamedTuple):
     timeline: DataFrame
 
 
-def from_members(members: DataFrame, as_of: Column) -> IncidentTables:
-    """Roll up and score incidents whose reports are known."""
+def from_members(members: DataFrame, as_of: Column, centroid: str = "running") -> IncidentTables:
+    """Roll up and score incidents whose reports are known.
+
+    `centroid` is "running" for the reference's position or "mean", which needs no order and no extra pass.
+    """
+    rolled = evidence.roll_up(members)
+    if centroid == "running":
+        positions = running_centroid(members).withColumnsRenamed({"latitude": "_lat", "longitude": "_lon"})
+        rolled = (
+            rolled.join(positions, "incident_id", "left")
+            .withColumns({"latitude": F.coalesce("_lat", "latitude"), "longitude": F.coalesce("_lon", "longitude")})
+            .drop("_lat", "_lon")
+        )
     items = evidence.evidence_items(members)
-    scored = evidence.score(evidence.roll_up(members), items, as_of)
+    scored = evidence.score(rolled, items, as_of)
     return IncidentTables(
         scored.select(*columns(INCIDENT_DDL)),
         members.select("incident_id", "report_id", "timestamp"),
@@ -39,6 +51,7 @@ def detect_incidents(
     window_hours: float = 6.0,
     k: int = 1,
     exact: bool = True,
+    centroid: str = "running",
     **options,
 ) -> IncidentTables:
     """Features, correlation and evidence scoring of a batch of reports (C4).
@@ -55,4 +68,4 @@ def detect_incidents(
         members = correlate.correlate_session(unique, window_hours=window_hours, **options)
     # Everything below reads the membership several times, and none of it reads the report text.
     compact = members.drop("text", "raw_payload", "media_items")
-    return from_members(materialize(compact, "members"), moment)
+    return from_members(materialize(compact, "members"), moment, centroid)

@@ -37,7 +37,7 @@ def stored(spark: SparkSession, sf_dir: str) -> IncidentTables:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
         members = materialize(session_members(spark, sf_dir), "session-members")
-        made = incidents.from_members(members, as_of())
+        made = incidents.from_members(members, as_of(), centroid="mean")
         _STORED[key] = IncidentTables(
             materialize(made.incidents, "incidents"), members, materialize(made.evidence, "evidence"),
             materialize(made.timeline, "timeline"),
