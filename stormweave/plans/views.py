@@ -19,8 +19,14 @@ TEXTS = {
 SOURCES = (("imd", "official"), ("news_rss", "news"), ("twitter", "social_media"), ("citizen_app", "citizen"))
 
 
+_ONE_SPLIT = 128 * 1024 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, spread over all cores when it is so small that a scan would put it into one task."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size < _ONE_SPLIT else rows
 
 
 def events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
