@@ -63,33 +63,74 @@ def choose_bands(distinct_hashes: int, max_distance: int) -> int:
     return min(range(max_distance + 1, max_distance + 6), key=work)
 
 
+def _masked(shift_widths: list[tuple[int, int]]) -> Column:
+    """The hash with only the given bands left."""
+    mask = sum(((1 << width) - 1) << shift for shift, width in shift_widths)
+    return F.col("hash").bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask))
+
+
+def _cut(free: list[tuple[int, int]], pieces: int) -> list[list[tuple[int, int]]]:
+    """Split the bits of some bands into so many groups of about the same size."""
+    bits = [(shift + i, 1) for shift, width in free for i in range(width)]
+    return [bits[i::pieces] for i in range(pieces)]
+
+
+def _split_crowded(keyed: DataFrame, layout: list, chosen: list, max_distance: int, crowd: int) -> DataFrame:
+    """Give members of crowded buckets finer keys.
+
+    In a bucket the chosen bands are equal, so all differing bits lie in the others. Cut into one group of bits
+    more than bits may differ, some group is equal too, and its bits extend the key.
+    """
+    crowded = materialize(
+        keyed.groupBy("combination", "bits").count().filter(F.col("count") > crowd).drop("count"), "crowded"
+    )
+    if crowded.isEmpty():
+        return keyed
+    arms = []
+    for number, combination in enumerate(chosen):
+        free = [band for i, band in enumerate(layout) if i not in combination]
+        parts = [
+            F.struct(F.lit(g + 1).alias("sub"), _masked(group).alias("sub_bits"))
+            for g, group in enumerate(_cut(free, max_distance + 1))
+        ]
+        arms.append(F.when(F.col("combination") == number, F.array(*parts)))
+    finer = keyed.join(crowded, ["combination", "bits"], "left_semi").select(
+        "hash", "combination", "bits", F.explode(F.coalesce(*arms)).alias("part")
+    )
+    return keyed.join(crowded, ["combination", "bits"], "left_anti").unionByName(
+        finer.select("hash", "combination", "bits", "part.sub", "part.sub_bits")
+    )
+
+
 def hamming_pairs(
-    hashes: DataFrame, column: str = "hash", max_distance: int = 5, bands: int | None = None
+    hashes: DataFrame, column: str = "hash", max_distance: int = 5, bands: int | None = None, crowd: int = 1_000
 ) -> DataFrame:
     """Pairs of distinct hash values within the distance: (hash_a, hash_b, distance), hash_a < hash_b.
 
     Exact by the pigeonhole principle: with `b` bands and at most `d` differing bits, some `b - d` bands are
     equal, so hashes meet in a bucket of that band combination. The number of bands follows the number of
-    distinct values, which keeps buckets small as data grows. Copies of a value are folded before pairing and
-    come back with `copies_of`, so a much-copied image costs one row.
+    distinct values, which keeps buckets small as data grows, and buckets with more than `crowd` values are split
+    further. Copies of a value are folded before pairing and come back with `copies_of`, so a much-copied image
+    costs one row.
     """
     values = materialize(hashes.select(F.col(column).alias("hash")).filter("hash is not null").distinct(), "hashes")
     if bands is None:
         bands = choose_bands(values.count(), max_distance)
     layout = _bands(bands)
-    keys = []
-    for number, chosen in enumerate(combinations(range(bands), bands - max_distance)):
-        mask = sum(((1 << layout[i][1]) - 1) << layout[i][0] for i in chosen)
-        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(
-            F.struct(F.lit(number).alias("combination"), F.col("hash").bitwiseAND(F.lit(signed)).alias("bits"))
-        )
-    keyed = values.select("hash", F.explode(F.array(*keys)).alias("key")).select("hash", "key.*")
+    chosen = list(combinations(range(bands), bands - max_distance))
+    keys = [
+        F.struct(F.lit(number).alias("combination"), _masked([layout[i] for i in combination]).alias("bits"))
+        for number, combination in enumerate(chosen)
+    ]
+    keyed = values.select("hash", F.explode(F.array(*keys)).alias("key")).select(
+        "hash", "key.*", F.lit(0).alias("sub"), F.lit(0).cast("bigint").alias("sub_bits")
+    )
+    keyed = _split_crowded(keyed, layout, chosen, max_distance, crowd)
     left = keyed.withColumnRenamed("hash", "hash_a")
     right = keyed.withColumnRenamed("hash", "hash_b")
     distance = hamming(F.col("hash_a"), F.col("hash_b"))
     return (
-        left.join(right, ["combination", "bits"])
+        left.join(right, ["combination", "bits", "sub", "sub_bits"])
         .filter((F.col("hash_a") < F.col("hash_b")) & (distance <= max_distance))
         .select("hash_a", "hash_b", distance.alias("distance"))
         .distinct()

@@ -967,6 +967,53 @@ def continuous_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("incidents").select("incident_id", "event_category", "severity", "report_count", "priority_score")
 
 
+@query(
+    "d1_message_handler",
+    sql.select(sql.REPORTS, "SELECT source, count(*) AS reports FROM reports WHERE user_id % 4 <> 3 GROUP BY source"),
+)
+def message_handler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's handler gets the valid reports of every micro-batch of the log."""
+    folder = scratch(spark, "handler")
+    report_log(spark, sf_dir).repartition(4).write.json(f"{folder}/log")
+
+    def handler(reports: DataFrame, batch_id: int) -> None:
+        reports.select("report_id", "source").write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    stream = log.stream_log(spark, f"{folder}/log", files_per_batch=2)
+    job = log.consume(stream, handler, f"{folder}/dead", f"{folder}/checkpoint")
+    job.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("source").agg(F.count("*").alias("reports"))
+
+
+@query(
+    "r3_report_triggered",
+    sql.select(sql.FEATURES, "SELECT count(*) AS incidents, max(report_count) AS largest FROM (SELECT 1 AS report_count FROM feat WHERE NOT is_negated)"),
+)
+def report_triggered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each report correlated by itself: every report that is not negated makes an incident of one."""
+    featured = correlate.with_features(reports_view(spark, sf_dir)).filter(~F.col("is_negated"))
+    alone = featured.select(
+        identity.incident_id(F.col("event_category"), F.col("cell").cast("string"), F.col("timestamp")).alias("incident_id"),
+        F.col("event_category").alias("incident_category"),
+        F.lit(True).alias("opens"),
+        "*",
+    )
+    rolled = evidence.roll_up(alone)
+    return rolled.agg(F.count("*").alias("incidents"), F.max("report_count").cast("int").alias("largest"))
+
+
+@query("r4_stateful_job")
+def stateful_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream in time order, in two batches, the second joining the open incidents of the first."""
+    store = Tables(spark, scratch(spark, "stateful"))
+    handler = jobs.pipeline_handler(store, scratch(spark, "feed"), as_of(), remember=True)
+    reports = materialize(contracts.validate_reports(_full(reports_view(spark, sf_dir))).drop("errors"), "days")
+    middle = F.lit("2024-01-16T00:00:00Z").cast("timestamp")
+    handler(reports.filter(F.col("timestamp") < middle), 0)
+    handler(reports.filter(F.col("timestamp") >= middle), 1)
+    return store.read("incidents").select("incident_id", "event_category", "severity", "report_count")
+
+
 @query(
     "r5_redelivery",
     sql.select(sql.REPORTS, "SELECT report_id, count(*) AS copies FROM reports GROUP BY report_id"),
