@@ -226,7 +226,7 @@ def assign_runs(
     tile_cells: int,
     halo_cells: int,
 ) -> DataFrame:
-    """Each run with the run that opened its incident (itself for an opener)."""
+    """Each run with the run that opened its incident (itself for an opener); `fixed` runs open their own."""
     if halo_cells < 2 * k:
         raise ValueError("the halo must reach 2k cells")
     number = {c: i for i, c in enumerate(categories, start=1)}
@@ -245,7 +245,12 @@ def assign_runs(
         "given_category_no": F.lit(-1),
         "given_us": F.lit(-1).cast("bigint"),
     }
-    seen = replay(placed.withColumns(no_decision), "replay-0")
+    # Open incidents of earlier batches are runs that are known to have opened their own incident.
+    own_key = dict(zip(no_decision, _RUN, strict=True))
+    seen = replay(
+        placed.withColumns({c: F.when(F.col("fixed"), F.col(own_key[c])).otherwise(no) for c, no in no_decision.items()}),
+        "replay-0",
+    )
     owner = seen.filter("owned").select(*_RUN, "run_seq", "run_end_us", *_LEADER)
 
     def disagreeing(views: DataFrame, owners: DataFrame) -> DataFrame:
@@ -268,7 +273,7 @@ def assign_runs(
         )
         again = placed.join(stale, "tile", "left_semi").join(given, _RUN)
         for name, nothing in no_decision.items():
-            again = again.withColumn(name, F.when(F.col("owned"), nothing).otherwise(F.col(name)))
+            again = again.withColumn(name, F.when(F.col("owned") & ~F.col("fixed"), nothing).otherwise(F.col(name)))
         seen = replay(again, f"replay-{round_no}")
         fresh = seen.filter("owned").select(*_RUN, "run_seq", "run_end_us", *_LEADER)
         previous = owner.select(*_RUN, *[F.col(c).alias(f"old_{c}") for c in _LEADER[:3]])
@@ -295,9 +300,13 @@ def correlate_exact(
     tile_cells: int = 64,
     halo_cells: int | None = None,
     id_chars: int = 12,
+    open_incidents: DataFrame | None = None,
 ) -> DataFrame:
     """Reports that belong to an incident, with `incident_id`, `incident_category` and `opens`.
 
+    `open_incidents` (`incident_id`, `event_category`, `cells` with the seed cell first, `first_reported_at`,
+    `last_updated_at`) may be joined like incidents of this batch; nothing is then dropped as a leading negation.
+
     Report ids must be unique (see `dedup.keep_first`). Runs jobs when called: the compact columns, the runs and
     their decisions are written to the shared folder; the full report rows are read once more for the result.
     """
@@ -306,10 +315,10 @@ def correlate_exact(
     compact = materialize(
         featured.select("report_id", "timestamp", "seq", "cell", "event_category", "is_negated"), "features"
     )
-    kept = drop_leading_negations(compact)
+    kept = drop_leading_negations(compact) if open_incidents is None else compact
     membership = assign_reports(
         kept.withColumn("category_no", _category_number(F.col("event_category"), categories)),
-        categories, compatible, window_hours, k, tile_cells, 2 * k + 6 if halo_cells is None else halo_cells, id_chars,
+        categories, compatible, window_hours, k, tile_cells, 2 * k + 6 if halo_cells is None else halo_cells, id_chars, open_incidents,
     )
     return featured.join(membership, "report_id")
 
@@ -323,22 +332,43 @@ def assign_reports(
     tile_cells: int,
     halo_cells: int,
     id_chars: int = 12,
+    open_incidents: DataFrame | None = None,
 ) -> DataFrame:
     """(report_id, incident_id, incident_category, opens) for compact feature rows with a category number."""
     located = kept.filter(F.col("cell").isNotNull())
     buckets = materialize(session_buckets(located, ["cell", "category_no"], window_hours), "buckets")
     runs = buckets.groupBy(*_RUN).agg(F.max("run_seq").alias("run_seq"), F.max("run_end_us").alias("run_end_us"))
+    runs = runs.withColumn("fixed", F.lit(False))
+    if open_incidents is not None:
+        earlier = open_incidents.filter(F.size("cells") > 0).select(
+            F.get("cells", 0).alias("cell"),
+            _category_number(F.col("event_category"), categories).alias("category_no"),
+            F.unix_micros("first_reported_at").alias("run_us"),
+            F.lit(-1).cast("bigint").alias("run_seq"),
+            F.unix_micros("last_updated_at").alias("run_end_us"),
+            F.lit(True).alias("fixed"),
+            "incident_id",
+        )
+        runs = runs.unionByName(earlier.drop("incident_id"))
     owner = assign_runs(runs, categories, compatible, window_hours, k, tile_cells, halo_cells)
     led = buckets.select(*_RUN, "bucket").join(owner.select(*_RUN, *_LEADER), _RUN).drop("run_us")
     names = F.array(*[F.lit(c) for c in categories])
     category = F.element_at(names, F.col("lead_category_no"))
     opened_at = F.timestamp_micros("lead_us")
+    made_id = identity.incident_id(category, F.col("lead_cell").cast("string"), opened_at, id_chars)
+    if open_incidents is not None:
+        known = earlier.select(
+            F.col("cell").alias("lead_cell"), F.col("category_no").alias("lead_category_no"),
+            F.col("run_us").alias("lead_us"), F.col("run_seq").alias("lead_seq"), F.col("incident_id").alias("known_id"),
+        )
+        led = led.join(known, _LEADER, "left")
+        made_id = F.coalesce("known_id", made_id)
     in_cells = (
         located.withColumn("bucket", F.floor(F.unix_micros("timestamp") / F.lit(_micros(window_hours))))
         .join(led, ["cell", "category_no", "bucket"])
         .select(
             "report_id",
-            identity.incident_id(category, F.col("lead_cell").cast("string"), opened_at, id_chars).alias("incident_id"),
+            made_id.alias("incident_id"),
             category.alias("incident_category"),
             ((F.unix_micros("timestamp") == F.col("lead_us")) & (F.col("seq") == F.col("lead_seq"))).alias("opens"),
         )

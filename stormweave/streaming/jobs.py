@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stormweave import rules
 from stormweave.functions.identity import iso_utc
 from stormweave.functions.spatial import GRID, HexGrid
-from stormweave.operators import correlate, incidents, matching
+from stormweave.operators import correlate, incidents
 from stormweave.operators.incidents import IncidentTables
 from stormweave.session import materialize
 from stormweave.sources.tables import Tables, utc_day
@@ -40,7 +40,7 @@ def pipeline_handler(
     """Handler for one batch: correlate, insert reports, merge incidents, then announce.
 
     Events are written only after the tables, under the batch id, so a repeated batch replaces its own events.
-    With `remember`, reports first join open incidents of earlier batches (R4).
+    With `remember`, reports may join open incidents of earlier batches (R4).
     """
 
     def handle(reports: DataFrame, batch_id: int) -> None:
@@ -64,22 +64,22 @@ def pipeline_handler(
 def continue_incidents(
     reports: DataFrame, tables: Tables, as_of: Column | None = None, window_hours: float = 6.0, k: int = 1, **options
 ) -> IncidentTables:
-    """Correlate a batch against the stored incidents of the last window first.
+    """Correlate a batch with the stored incidents of the last window still open.
 
-    Reports that match a stored incident join it; the rest are correlated among themselves. Affected stored
-    incidents are scored again over all their reports.
+    Batches are taken to arrive in time order. Stored incidents that got reports are scored again over all theirs.
     """
     moment = F.current_timestamp() if as_of is None else as_of
-    featured = correlate.with_features(reports.drop("day", "event_category", "cell"))
+    featured = materialize(correlate.with_features(reports.drop("day", "event_category", "cell")), "batch")
     reach = F.expr(f"INTERVAL {round(window_hours * 3600)} SECONDS")
-    bounds = featured.agg(F.min("timestamp").alias("low"), F.max("timestamp").alias("high"))
-    low, high = (bounds.select(F.col(c)).scalar() for c in ("low", "high"))
-    stored = tables.read("incidents").filter(
-        (F.col("last_updated_at") >= low - reach) & (F.col("first_reported_at") <= high)
-    )
-    matched = materialize(matching.match_seed_cell(featured, stored, window_hours, k), "matched")
-    rest = featured.join(matched, "report_id", "left_anti")
-    fresh = correlate.correlate_exact(rest, window_hours=window_hours, k=k, **options)
+    low = featured.agg(F.min("timestamp")).scalar()
+    everything = tables.read("incidents")
+    stored = materialize(everything.filter(F.col("last_updated_at") >= low - reach), "open-incidents")
+    # Leading negated reports are dropped only while there is no incident at all.
+    before = None if everything.isEmpty() else stored
+    found = correlate.correlate_exact(featured, window_hours=window_hours, k=k, open_incidents=before, **options)
+    found = materialize(found, "found")
+    fresh = found.join(stored.select("incident_id"), "incident_id", "left_anti")
+    matched = found.join(stored.select("incident_id"), "incident_id", "left_semi").select("incident_id", "report_id")
 
     touched = stored.join(matched.select("incident_id").distinct(), "incident_id", "left_semi")
     openings = touched.select("incident_id", F.col("event_category").alias("incident_category"), "first_reported_at")

@@ -216,3 +216,18 @@ def test_streaming_sessions_equal_batch(spark, folder):
     state = sessions.writeStream.format("memory").queryName("sessions_now").outputMode("complete")
     state.trigger(availableNow=True).start().awaitTermination()
     assert spark.table("sessions_now").count() == expected
+
+
+def test_two_batches_with_memory_equal_one(spark, folder):
+    """The job with memory over two halves of the time gives the incidents of the exact rule over all of it."""
+    from stormweave.operators import correlate
+
+    whole = reports_view(spark, SF_DIR)
+    expected = {(r.incident_id, r["count"]) for r in correlate.correlate_exact(whole.drop("seq")).groupBy("incident_id").count().collect()}
+    reports = full(whole)
+    store = Tables(spark, f"{folder}/tables")
+    handler = jobs.pipeline_handler(store, f"{folder}/feed", F.lit(AS_OF).cast("timestamp"), remember=True)
+    middle = F.lit("2024-01-16T00:00:00Z").cast("timestamp")
+    handler(reports.filter(F.col("timestamp") < middle), 0)
+    handler(reports.filter(F.col("timestamp") >= middle), 1)
+    assert {(r.incident_id, r.report_count) for r in store.read("incidents").collect()} == expected
