@@ -226,9 +226,6 @@ def negation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CITY_SQL = "CASE doc_id % 3 WHEN 0 THEN 'NEW DELHI' WHEN 1 THEN 'Pune' ELSE 'kochi' END"
-_PLACE_TEXT = f"('Rain in Old Town; ' || {_CITY_SQL} || ', near the river. ' || lower(text))"
-_EDGE_L, _EDGE_R = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 
 
 @query("x9_place_names")
