@@ -182,7 +182,7 @@ def number_rows(rows: DataFrame, key: str, order: list[str], name: str = "n") ->
     )
 
 
-def _collected(children: DataFrame, order: list[str], fields: list[str], name: str, part_size: int) -> DataFrame:
+def collect_parts(children: DataFrame, order: list[str], fields: list[str], name: str, part_size: int) -> DataFrame:
     """(incident_id, part, array) of child structs in order, at most `part_size` per row."""
     largest = children.groupBy("incident_id").count().agg(F.max("count")).first()[0] or 0
     if largest <= part_size:
@@ -211,12 +211,12 @@ def assemble(
     def of_page(children: DataFrame) -> DataFrame:
         return children.join(page, "incident_id", "left_semi")
 
-    ids = _collected(of_page(members), ["timestamp", "report_id"], ["report_id"], "_ids", part_size)
-    items = _collected(
+    ids = collect_parts(of_page(members), ["timestamp", "report_id"], ["report_id"], "_ids", part_size)
+    items = collect_parts(
         of_page(evidence), ["timestamp", "evidence_id"], [c for c in evidence.columns if c != "incident_id"],
         "evidence_items", part_size,
     )
-    entries = _collected(
+    entries = collect_parts(
         of_page(timeline), ["timestamp", "event_type", "report_id"],
         [c for c in timeline.columns if c != "incident_id"], "timeline", part_size,
     )
