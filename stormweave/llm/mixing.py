@@ -5,11 +5,11 @@ for sure; the fractional parts are rounded by balanced sampling: in groups of do
 move along the null space of the constraints (sum of words, number of documents), each move settling one document at
 0 or 1 and keeping both totals exactly, until no more than two documents per group are open. The open ones of many
 groups meet again in the next round, so a source of any size ends with a landing of at most two documents, which are
-rounded to the nearest total.
+rounded to the nearest total. Long documents settle first, so the last ones are short.
 
 Groups have a bounded number of documents, so a hot source is cut into many groups of a salt; only ids and sizes are
-shuffled, never texts. Each round's table is written to the shared folder. The random numbers are hashes of the
-document's id, so reruns agree. Targets are found by sums over the table of sources: the excess over twice a source's size is
+shuffled, never texts. Each round's table is written to the shared folder. Draws are seeded by hashes of the
+group's rows, so reruns agree. Targets are found by sums over the table of sources: the excess over twice a source's size is
 reshared until none is above, a few passes whatever the number of sources.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source of its own, ranked last;
@@ -77,33 +77,36 @@ def targets(sized: DataFrame) -> DataFrame:
     return weighted.select("source", "source_size", F.least(F.col("weight") * F.lit(float(level)), cap).alias("target"))
 
 
-def flight(sizes_: np.ndarray, p: np.ndarray, order: np.ndarray, draws: np.ndarray) -> np.ndarray:
+def flight(sizes_: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Move fractional expectations within the null space of (words, documents) until at most two stay fractional.
 
-    Three open documents have one direction that keeps both sums: the cross product of the rows of the constraint
-    matrix (each divided by the expectation, as expansion estimates are balanced). Along it, the two possible moves
-    end when a document reaches 0 or 1, and are chosen so that expectations stay right.
+    Each step moves along the projection of the longest open document onto the null space, so that it settles first
+    and all the others share what it gives or takes. The two possible moves end where a document reaches 0 or 1 and
+    are drawn so that expectations stay right. The last open documents are the shortest ones.
     """
-    p = p.tolist()
-    sizes_ = sizes_.tolist()
-    open_: list[int] = []
-    for i, draw in zip(order.tolist(), draws.tolist(), strict=True):
-        open_.append(i)
-        if len(open_) < 3:
-            continue
-        a, b, c = open_
-        # Null vector of [[size...], [1...]].
-        u = (sizes_[b] - sizes_[c], sizes_[c] - sizes_[a], sizes_[a] - sizes_[b])
-        if not any(u):
-            u = (1.0, -1.0, 0.0)  # equal sizes: any exchange of two keeps both sums
-        up = min((1 - p[k]) / x if x > 0 else p[k] / -x for k, x in zip(open_, u, strict=True) if x)
-        down = min(p[k] / x if x > 0 else (1 - p[k]) / -x for k, x in zip(open_, u, strict=True) if x)
-        step = up if draw * (up + down) < down else -down
-        for k, x in zip(open_, u, strict=True):
-            value = p[k] + step * x
-            p[k] = 0.0 if value < 1e-9 else 1.0 if value > 1 - 1e-9 else value
-        open_ = [k for k in open_ if 0.0 < p[k] < 1.0]
-    return np.array(p)
+    p = p.copy()
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    open_ = open_[np.argsort(-sizes_[open_], kind="stable")]
+    while len(open_):
+        now, size = p[open_], sizes_[open_]
+        centred = size - size.mean()
+        spread = centred @ centred
+        move = np.full(len(open_), -1.0 / len(open_))
+        move[0] += 1.0
+        if spread > 0:
+            move -= centred * (centred[0] / spread)
+        move[np.abs(move) < 1e-12] = 0.0
+        if not move.any():
+            break
+        rises, falls = move > 0, move < 0
+        to_one, to_zero = (1 - now) / np.abs(np.where(move, move, 1)), now / np.abs(np.where(move, move, 1))
+        up = min(to_one[rises].min(initial=np.inf), to_zero[falls].min(initial=np.inf))
+        down = min(to_zero[rises].min(initial=np.inf), to_one[falls].min(initial=np.inf))
+        now = now + move * (up if rng.random() * (up + down) < down else -down)
+        now[now < 1e-9], now[now > 1 - 1e-9] = 0.0, 1.0
+        p[open_] = now
+        open_ = open_[(now > 0) & (now < 1)]
+    return p
 
 
 def land(sizes_: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -119,16 +122,14 @@ def land(sizes_: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def _round(open_: DataFrame, groups: Column, last: bool) -> DataFrame:
     def settle(group: pd.DataFrame) -> pd.DataFrame:
-        # Long documents settle first, so that the last open ones are short and the landing misses little.
-        group = group.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable")
+        group = group.sort_values(["order", "doc_id", "size"], kind="stable")
         size, p = group["size"].to_numpy(float), group["p"].to_numpy(float)
-        p = flight(size, p, np.arange(len(p)), group["draw"].to_numpy(float))
+        p = flight(size, p, np.random.default_rng(int(group["order"].sum()) & (1 << 63) - 1))
         if last:
             p = land(size, p)
         return group.assign(p=p)[[x.split()[0] for x in _STATE.split(", ")]]
 
-    draw = F.shiftrightunsigned(F.xxhash64("key", F.lit("draw")), 11) / float(1 << 53)
-    salted = open_.withColumns({"order": F.xxhash64("key", F.lit("order")), "draw": draw, "group": groups})
+    salted = open_.withColumns({"order": F.xxhash64("key", F.lit("order")), "group": groups})
     return salted.groupBy("source", "group").applyInPandas(settle, _STATE)
 
 
