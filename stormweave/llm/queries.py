@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormweave.llm import classifier, licences, mixing, oracles, pii, quality, rendering
+from stormweave.llm import classifier, licences, lines, mixing, oracles, pii, quality, rendering
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@query("op8_line_templates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.drop_recurring(table(spark, sf_dir, "documents")))
+
+
 @query("op9_pii_anchors")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
