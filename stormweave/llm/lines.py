@@ -155,3 +155,19 @@ def digest(cut: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_dropped"),
         F.col("text").alias("kept_text"),
     )
+
+
+def keep_fresh(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """`docs`, all columns, with recurring lines cut out of the texts; rows of which nothing is left go.
+
+    `n_chars` follows the text where it is a column.
+    """
+    cut = drop_recurring(docs, min_docs)
+    emptied = (F.size("lines") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    # A row that lost no line keeps its values as they are.
+    columns = [
+        (F.when(F.size("lines") > 0, changed[c]).otherwise(F.col("row")[c]) if c in changed else F.col("row")[c]).alias(c)
+        for c in docs.columns
+    ]
+    return cut.filter(~F.coalesce(emptied, F.lit(False))).select(*columns)

@@ -88,12 +88,13 @@ def _covered(x: Column) -> Column:
     return F.array(x["i"], x["i"] + 1, x["i"] + 2)
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id with the counts of each text."""
+def measures(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id with the counts of each text, and the columns of `docs` named in `more`."""
     text = F.coalesce(F.col("text"), F.lit(""))
     # One projection per level, so that words and lines are split once and read by all the counts above.
-    split = texts(docs).select(
+    split = texts(docs, *more).select(
         "doc_id",
+        *more,
         text.alias("text"),
         words(F.col("text")).alias("words"),
         F.filter(F.split(text, "\n"), lambda line: line.rlike(_HAS_WORD)).alias("lines"),
@@ -101,6 +102,7 @@ def measures(docs: DataFrame) -> DataFrame:
     stop = [*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]
     return split.select(
         "doc_id",
+        *more,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -143,8 +145,15 @@ def compile_rules(rules: Sequence[Rule]) -> Column:
     return F.array_compact(F.array(*[broken(r) for r in rules])) if rules else F.array().cast("array<string>")
 
 
-def judge(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """doc_id, counts, `base_failed`, the broken rules and `kept`, a row for each row of `docs`."""
+def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, *more: str) -> DataFrame:
+    """doc_id, columns named in `more`, counts, `base_failed`, the broken rules and `kept`, a row for each row of `docs`."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = measures(docs).select("*", failed.alias("base_failed"), compile_rules(rules).alias("broken"))
+    judged = measures(docs, *more).select("*", failed.alias("base_failed"), compile_rules(rules).alias("broken"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+
+
+def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of `docs`, all columns, that pass: one projection and a filter, no exchange."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    judged = judge(rows.select(F.col("row")["doc_id"].alias("doc_id"), F.col("row")["text"].alias("text"), "row"), rules, "row")
+    return judged.filter("kept").select("row.*")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormweave.llm import classifier, licences, lines, mixing, oracles, pii, quality, rendering
+import corpus_pipeline
+from stormweave.llm import classifier, licences, lines, mixing, nearjoin, oracles, pii, quality, rendering, tiling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_greedy_tiling")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tiling.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "item_words", "covered", "coverage", "n_tiles", "longest_tile")
+
+
 @query("op2_quality_rules", oracles.QUALITY)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
@@ -36,6 +43,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_lsh_forest_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 @query("op5_cube_mix")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -67,3 +79,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_layout")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
