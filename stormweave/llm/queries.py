@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stormweave.llm import classifier, licences, lines, mixing, nearjoin, oracles, pii, quality, rendering, tiling
+from stormweave.llm import classifier, licences, lines, mixing, nearjoin, oracles, pii, quality, rendering, suffixes, tiling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_suffix_merge")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 @query("op4_lsh_forest_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
