@@ -91,13 +91,17 @@ def flight(sizes_: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.nd
         now, size = p[open_], sizes_[open_]
         centred = size - size.mean()
         spread = centred @ centred
+        # How much of each single move the null space holds; three documents or more always leave some.
+        free = 1 - 1 / len(open_) - (centred**2 / spread if spread > 0 else 0.0)
+        leads = np.flatnonzero(np.broadcast_to(free, len(open_)) > 1e-9)
+        if not len(leads):
+            break
+        lead = leads[0]
         move = np.full(len(open_), -1.0 / len(open_))
-        move[0] += 1.0
+        move[lead] += 1.0
         if spread > 0:
-            move -= centred * (centred[0] / spread)
+            move -= centred * (centred[lead] / spread)
         move[np.abs(move) < 1e-12] = 0.0
-        if not move.any():
-            break
         rises, falls = move > 0, move < 0
         to_one, to_zero = (1 - now) / np.abs(np.where(move, move, 1)), now / np.abs(np.where(move, move, 1))
         up = min(to_one[rises].min(initial=np.inf), to_zero[falls].min(initial=np.inf))
