@@ -31,7 +31,7 @@ from stormweave.session import materialize
 #: Weights of the sources by rank, repeating; share of all words the mix has; the most a source is repeated.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Documents of a group of the flight phase.
-GROUP_ROWS = 4096
+GROUP_ROWS = 1024
 _STATE = "doc_id long, source string, size long, key long, source_size long, target double, p double, times int"
 
 
