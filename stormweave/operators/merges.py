@@ -15,7 +15,7 @@ from stormweave.session import materialize
 TIMELINE_KEY = ["incident_id", "timestamp", "event_type", "description", "report_id"]
 
 
-def insert_absent(existing: DataFrame, incoming: DataFrame, key: str = "report_id") -> DataFrame:
+def insert_absent(existing: DataFrame, incoming: DataFrame, key: str | list[str] = "report_id") -> DataFrame:
     """Incoming rows whose key is not there yet (J8); append them."""
     return incoming.join(existing.select(key), key, "left_anti")
 
@@ -111,6 +111,32 @@ def merge_preserving(existing: DataFrame, incoming: DataFrame, added: DataFrame
     return kept.unionByName(insert_absent(existing, incoming, "incident_id"), allowMissingColumns=True)
 
 
+#: States that only an operator sets.
+_EDITED_STATES = ("ESCALATING", "RESOLVED")
+
+
+def merge_refreshing(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """New incidents are added; known ones take all computed columns of the incoming row.
+
+    Kept are the title, the first report's time and a state that only an operator sets.
+    """
+    kept = existing.select(
+        "incident_id", F.col("title").alias("_title"), F.col("state").alias("_state"), F.col("first_reported_at").alias("_first")
+    )
+    state = F.when(F.col("_state").isin(*_EDITED_STATES), F.col("_state")).otherwise(F.col("state"))
+    fresh = incoming.join(kept, "incident_id", "left").withColumns(
+        {"title": F.coalesce("_title", "title"), "state": state, "first_reported_at": F.coalesce("_first", "first_reported_at")}
+    )
+    return upsert_rows(existing, fresh.select(*existing.columns), "incident_id")
+
+
+def count_members(incidents: DataFrame, members: DataFrame) -> DataFrame:
+    """Incidents with the number of their stored members; those without given members keep their count."""
+    counts = members.groupBy("incident_id").agg(F.count_distinct("report_id").alias("_count"))
+    counted = incidents.join(counts, "incident_id", "left").withColumn("report_count", F.coalesce("_count", "report_count"))
+    return counted.select(*incidents.columns)
+
+
 def merge_members(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Set union of an incident's report ids, as rows (U2): what has to be appended."""
     pairs = existing.select("incident_id", "report_id")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +41,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_STAGES: ContextVar[list[str] | None] = ContextVar("stages", default=None)
+
+
+@contextlib.contextmanager
+def temporary_stages(spark: SparkSession) -> Iterator[None]:
+    """Delete what `materialize` writes within the block when it ends; for jobs that leave their results in tables."""
+    held: list[str] = []
+    token = _STAGES.set(held)
+    try:
+        yield
+    finally:
+        _STAGES.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        for folder in held:
+            where = path(folder)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a stage to the shared folder and read it back.
 
@@ -46,5 +67,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stormweave/{label}-{uuid.uuid4().hex}"
+    if (held := _STAGES.get()) is not None:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,11 @@
 
 Reports are partitioned by the day of the report, incidents and their children by the day the incident was first
 reported. A merge reads the touched days, writes the result to the shared folder and then overwrites those
-partitions, so it never reads what it overwrites and a failed attempt can be repeated.
+partitions, so it never reads what it overwrites.
+
+Every merge can be repeated after a failure at any of its writes and then gives the same tables: children are written
+before the incidents that count them, appends add only what is not there, an incident's report count is the number of
+its stored members, and a row that moves to another day leaves its old day in the same step that is found again by id.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ _DDL = {
     "incident_timeline": TIMELINE_DDL,
 }
 _CHILDREN = ("incident_members", "evidence_items", "incident_timeline")
+STUB = "stub"
+EVIDENCE_KEY = ["incident_id", "report_id"]
 
 
 def utc_day(ts: Column) -> Column:
@@ -44,20 +50,20 @@ class Tables:
     def read(self, table: str) -> DataFrame:
         """A table with its `day` partition column; empty before the first write."""
         schema = f"{_DDL[table]}, day date"
-        probe = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        files = probe.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(probe):
+        if not self._exists(self.path(table)):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path(table))
 
     def append(self, table: str, rows: DataFrame) -> None:
-        rows.select(*columns(_DDL[table]), "day").write.mode("append").partitionBy("day").parquet(self.path(table))
+        # Rebalanced by day: a day of many rows is split over tasks and files, days of few rows share a task.
+        spread = rows.select(*columns(_DDL[table]), "day").hint("rebalance", "day")
+        spread.write.mode("append").partitionBy("day").parquet(self.path(table))
 
     def overwrite_days(self, table: str, rows: DataFrame) -> None:
         """Replace the day partitions present in `rows`; the rows are settled first, the days by Spark."""
         settled = materialize(rows.select(*columns(_DDL[table]), "day"), f"merge-{table}")
         (
-            settled.repartition("day")
+            settled.hint("rebalance", "day")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("day")
@@ -73,14 +79,24 @@ class Tables:
     def add_reports(self, reports: DataFrame) -> DataFrame:
         """Insert reports that are not there yet (J8); gives back what was added.
 
-        A report id contains its time, so a repeated report falls on the same day and only that day is read.
+        A report id contains its time, so a repeated report falls on the same day and only that day is read. A
+        placeholder of the same id, on whatever day, gives way to the report.
         """
-        incoming = reports.dropDuplicates(["report_id"]).withColumn("day", utc_day(F.col("timestamp")))
-        existing = self.of_days("reports", incoming)
+        incoming = materialize(reports.dropDuplicates(["report_id"]).withColumn("day", utc_day(F.col("timestamp"))), "incoming")
+        existing = self.of_days("reports", incoming).filter(F.col("source_type") != STUB)
         new = materialize(merges.insert_absent(existing, incoming), "new-reports")
         self.append("reports", new)
+        self._drop_stubs(incoming)
         return new
 
+    def _drop_stubs(self, reports: DataFrame) -> None:
+        """Remove placeholders of reports that are stored by now."""
+        of_them = self.read("reports").filter(F.col("source_type") == STUB).join(reports.select("report_id"), "report_id", "left_semi")
+        gone = materialize(of_them.select("report_id", "source_type", "day"), "stubs")
+        if not gone.isEmpty():
+            left = self.of_days("reports", gone).join(gone, ["report_id", "source_type"], "left_anti")
+            self._rewrite("reports", left, gone)
+
     def upsert_reports(self, reports: DataFrame) -> None:
         """Full-row upsert (J10): days of the stored versions are rewritten too, for times may have changed."""
         incoming = materialize(reports.withColumn("day", utc_day(F.col("timestamp"))), "incoming-reports")
@@ -100,40 +116,50 @@ class Tables:
 
     # --- incidents
 
-    def merge_incidents(self, batch: IncidentTables) -> DataFrame:
-        """Merge that preserves edits (J12); gives back the stored incidents of the batch."""
-        incoming = batch.incidents.withColumn("day", utc_day(F.col("first_reported_at")))
-        days = materialize(incoming.select("incident_id", "day"), "batch-days")
-        new = {
-            table: materialize(fresh(self.of_days(table, days), rows.join(days, "incident_id")), f"new-{table}")
-            for table, rows, fresh in (
-                ("incident_members", batch.members, merges.merge_members),
-                ("incident_timeline", batch.timeline, merges.append_timeline),
-                ("evidence_items", batch.evidence, _new_evidence),
-            )
-        }
-        stored = self.of_days("incidents", days)
-        self.overwrite_days("incidents", merges.merge_preserving(stored, incoming, new["incident_members"]))
-        for table, rows in new.items():
-            self.append(table, rows)
+    def _placed(self, incidents: DataFrame) -> DataFrame:
+        """incident_id, day and stored_day: an incident is found by its id wherever it is stored."""
+        own = incidents.select("incident_id", utc_day(F.col("first_reported_at")).alias("day"))
+        known = self.read("incidents").select("incident_id", F.col("day").alias("stored_day"))
+        return materialize(own.join(known, "incident_id", "left"), "placed")
+
+    def merge_incidents(self, batch: IncidentTables, refresh: bool = False) -> DataFrame:
+        """Merge that preserves edits (J12); gives back the stored incidents of the batch.
+
+        Of known incidents the last update and the report count move; with `refresh` all computed columns do (R4).
+        """
+        placed = self._placed(batch.incidents)
+        days = materialize(placed.select("incident_id", F.coalesce("stored_day", "day").alias("day")), "batch-days")
+        for table, rows, fresh in (
+            ("incident_members", batch.members, merges.merge_members),
+            ("incident_timeline", batch.timeline, merges.append_timeline),
+            ("evidence_items", batch.evidence, _new_evidence),
+        ):
+            self.append(table, materialize(fresh(self.of_days(table, days), rows.join(days, "incident_id")), f"new-{table}"))
+        members = self.of_days("incident_members", days).join(days.select("incident_id"), "incident_id", "left_semi")
+        stored, incoming = self.of_days("incidents", days), batch.incidents.join(days, "incident_id")
+        merged = (merges.merge_refreshing if refresh else merges.merge_preserving)(stored, incoming)
+        self.overwrite_days("incidents", merges.count_members(merged, members))
         return self.of_days("incidents", days).join(days.select("incident_id"), "incident_id", "left_semi")
 
     def replace_incidents(self, batch: IncidentTables) -> DataFrame:
         """Upsert that replaces scalars and reconciles children."""
-        incoming = batch.incidents.withColumn("day", utc_day(F.col("first_reported_at")))
-        touched = materialize(incoming.select("incident_id", "day"), "touched")
-        self.overwrite_days("incidents", merges.upsert_incidents(self.of_days("incidents", touched), incoming))
+        placed = self._placed(batch.incidents)
+        touched = placed.select("incident_id", "day")
+        days = materialize(touched.select("day").union(placed.filter("stored_day IS NOT NULL").select("stored_day")).distinct(), "touched-days")
         has_summary = materialize(
-            incoming.filter(F.col("verification_status").isNotNull()).select("incident_id"), "with-summary"
+            batch.incidents.filter(F.col("verification_status").isNotNull()).select("incident_id"), "with-summary"
         )
+        moved = touched.withColumnRenamed("day", "_day")
         for table, rows, key, of in (
             ("incident_members", batch.members, ["incident_id", "report_id"], touched),
-            ("evidence_items", batch.evidence, ["evidence_id"], has_summary),
+            ("evidence_items", batch.evidence, EVIDENCE_KEY, has_summary),
             ("incident_timeline", batch.timeline, merges.TIMELINE_KEY, touched),
         ):
-            dated = rows.join(touched, "incident_id")
-            merged = merges.replace_children(self.of_days(table, touched), dated, of, key)
-            self.overwrite_days(table, merged)
+            existing = self.of_days(table, days).join(moved, "incident_id", "left")
+            existing = existing.withColumn("day", F.coalesce("_day", "day")).drop("_day")
+            self._rewrite(table, merges.replace_children(existing, rows.join(touched, "incident_id"), of, key), days)
+        merged = merges.upsert_incidents(self.of_days("incidents", days), batch.incidents.join(touched, "incident_id"))
+        self._rewrite("incidents", merged, days)
         return self.of_days("incidents", touched).join(touched.select("incident_id"), "incident_id", "left_semi")
 
     def delete_incidents(self, incidents: DataFrame) -> None:
@@ -158,5 +184,31 @@ class Tables:
             files.delete(path(f"{self.path(table)}/day={row['day'].isoformat()}"), True)
 
 
+    # --- results of a batch that are not merged yet
+
+    def _pending(self, batch: str, part: str = "") -> str:
+        return f"{self.folder.rstrip('/')}/_pending/batch={batch}{'/' + part if part else ''}"
+
+    def _exists(self, path: str) -> bool:
+        probe = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return probe.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(probe)
+
+    def pending(self, batch: str) -> IncidentTables | None:
+        """The settled result of a batch, if an earlier attempt came that far."""
+        if not self._exists(self._pending(batch, "settled/_SUCCESS")):
+            return None
+        return IncidentTables(*[self.spark.read.schema(_DDL[t]).parquet(self._pending(batch, t)) for t in ("incidents", *_CHILDREN)])
+
+    def settle(self, batch: str, result: IncidentTables) -> IncidentTables:
+        """Write a batch's result before any of it is merged, so that a repeated attempt merges the same; older ones go."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder.rstrip('/')}/_pending")
+        root.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(root, True)
+        for table, rows in zip(("incidents", *_CHILDREN), result, strict=True):
+            rows.select(*columns(_DDL[table])).write.mode("overwrite").parquet(self._pending(batch, table))
+        self.spark.range(1).write.mode("overwrite").parquet(self._pending(batch, "settled"))
+        return self.pending(batch)
+
+
 def _new_evidence(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    return merges.insert_absent(existing, incoming.dropDuplicates(["evidence_id"]), "evidence_id")
+    # The short evidence id may collide; the pair it is made of does not.
+    return merges.insert_absent(existing, incoming.dropDuplicates(EVIDENCE_KEY), EVIDENCE_KEY)

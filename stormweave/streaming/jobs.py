@@ -39,28 +39,42 @@ def pipeline_handler(
 ) -> Callable[[DataFrame, int], None]:
     """Handler for one batch: correlate, insert reports, merge incidents, then announce.
 
-    Events are written only after the tables, under the batch id, so a repeated batch replaces its own events.
-    With `remember`, reports may join open incidents of earlier batches (R4).
+    The result of a batch is settled before it is merged, and the merge can be repeated, so an attempt that failed at
+    any point is made good by the next one. Events are written only after the tables, under the batch id, so a
+    repeated batch replaces its own events. With `remember`, reports may join open incidents of earlier batches (R4).
     """
 
     def handle(reports: DataFrame, batch_id: int) -> None:
-        fresh = tables.add_reports(reports)
-        # A repeated batch adds nothing; it is then taken from the store, where its reports already are.
-        days = reports.select(utc_day(F.col("timestamp")).alias("day"))
-        batch = tables.of_days("reports", days).join(reports.select("report_id"), "report_id", "left_semi")
-        source = batch if not remember else fresh
-        if source.isEmpty():
-            return
-        if remember:
-            result = continue_incidents(source, tables, as_of, **options)
-        else:
-            result = incidents.detect_incidents(source.drop("day", "event_category", "cell"), as_of, **options)
-        updated = tables.merge_incidents(result)
+        # A new log counts its batches from 0 again, so the ids of the reports are part of a batch's name.
+        mark = reports.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("report_id")), F.lit(0))).first()
+        name = f"{batch_id}-{mark[0]}-{mark[1] & (1 << 64) - 1:x}"
+        result = tables.pending(name)
+        if result is None:
+            tables.add_reports(reports)
+            # Taken from the store: an earlier attempt may have got as far as that.
+            days = reports.select(utc_day(F.col("timestamp")).alias("day"))
+            batch = tables.of_days("reports", days).join(reports.select("report_id"), "report_id", "left_semi")
+            source = _without_incident(batch, tables) if remember else batch
+            if source.isEmpty():
+                return
+            if remember:
+                result = continue_incidents(source, tables, as_of, **options)
+            else:
+                result = incidents.detect_incidents(source.drop("day", "event_category", "cell"), as_of, **options)
+            result = tables.settle(name, result)
+        updated = tables.merge_incidents(result, refresh=remember)
         change_events(updated, as_of).select("value").write.mode("overwrite").text(f"{feed_path}/batch={batch_id}")
 
     return handle
 
 
+def _without_incident(reports: DataFrame, tables: Tables) -> DataFrame:
+    """Reports that are in no stored incident; only incidents that reach the reports' time are looked at."""
+    low = reports.agg(F.min("timestamp")).scalar()
+    around = tables.read("incidents").filter(F.col("last_updated_at") >= low)
+    return reports.join(tables.of_days("incident_members", around).select("report_id"), "report_id", "left_anti")
+
+
 def continue_incidents(
     reports: DataFrame, tables: Tables, as_of: Column | None = None, window_hours: float = 6.0, k: int = 1, **options
 ) -> IncidentTables:
@@ -83,9 +97,12 @@ def continue_incidents(
 
     touched = stored.join(matched.select("incident_id").distinct(), "incident_id", "left_semi")
     openings = touched.select("incident_id", F.col("event_category").alias("incident_category"), "first_reported_at")
-    old_ids = tables.of_days("incident_members", touched).join(touched.select("incident_id"), "incident_id", "left_semi")
-    old_ids = old_ids.select("incident_id", "report_id").unionByName(matched.select("incident_id", "report_id"))
-    known = tables.read("reports").drop("day", "event_category", "cell")
+    old = tables.of_days("incident_members", touched).join(touched.select("incident_id"), "incident_id", "left_semi")
+    old = materialize(old.select("incident_id", "report_id", "timestamp"), "old-members")
+    old_ids = old.select("incident_id", "report_id").unionByName(matched.select("incident_id", "report_id"))
+    # Only days of the members are read.
+    days = old.select("timestamp").union(featured.select("timestamp")).select(utc_day(F.col("timestamp")).alias("day"))
+    known = tables.of_days("reports", days).drop("day", "event_category", "cell")
     rejoined = correlate.with_features(known.join(old_ids.distinct(), "report_id")).join(openings, "incident_id")
     # The opener is the first report at the incident's first time.
     first = rejoined.filter(F.col("timestamp") == F.col("first_reported_at")).groupBy("incident_id").agg(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from stormweave.operators import contracts
-from stormweave.session import materialize
+from stormweave.session import materialize, temporary_stages
 
 MESSAGE_DDL = "msg_id string, report_id string, payload string, source string"
 DEAD_LETTER_DDL = "original_msg_id string, error string, retries string, original_payload string"
@@ -106,7 +106,37 @@ def split_batch(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     message = F.struct(*[c for c in ("msg_id", "report_id", "payload", "source") if c in batch.columns])
     checked = contracts.reports_from_json(batch.withColumn("message", message))
     attempts = F.col("attempts") + 1 if "attempts" in batch.columns else 1
-    return contracts.accepted(checked).drop("message", "payload", "msg_id"), dead_letters(contracts.rejected(checked), attempts)
+    return contracts.accepted(checked).drop("message", "payload", "msg_id", "attempts"), dead_letters(contracts.rejected(checked), attempts)
+
+
+def attempt_handler(handler: Callable[[DataFrame, int], None], reports: DataFrame, batch_id: int, max_retries: int) -> None:
+    for attempt in range(1, max_retries + 1):
+        try:
+            handler(reports, batch_id)
+            return
+        except Exception:
+            if attempt == max_retries:
+                raise
+
+
+def redrive_once(
+    letters: DataFrame,
+    handler: Callable[[DataFrame, int], None],
+    dead_letter_path: str,
+    round_no: int,
+    max_retries: int = MAX_RETRIES,
+) -> DataFrame:
+    """Try dead letters again (R2); gives back those that fail again, with one retry more.
+
+    Letters tried `max_retries` times are not tried again. A round's letters are written under its number, so a
+    repeated round replaces its own. The handler gets the round as a negative batch number.
+    """
+    spark, path = letters.sparkSession, f"{dead_letter_path}/round={round_no}"
+    with temporary_stages(spark):
+        reports, dead = split_batch(materialize(redrive(letters, max_retries), "redriven"))
+        attempt_handler(handler, reports, -round_no, max_retries)
+        dead.write.mode("overwrite").parquet(path)
+    return spark.read.schema(DEAD_LETTER_DDL).parquet(path)
 
 
 def consume(
@@ -124,16 +154,11 @@ def consume(
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        settled = materialize(batch, "micro-batch")
-        reports, dead = split_batch(settled)
-        dead.write.mode("overwrite").parquet(f"{dead_letter_path}/batch={batch_id}")
-        for attempt in range(1, max_retries + 1):
-            try:
-                handler(reports, batch_id)
-                return
-            except Exception:
-                if attempt == max_retries:
-                    raise
+        with temporary_stages(batch.sparkSession):
+            settled = materialize(batch, "micro-batch")
+            reports, dead = split_batch(settled)
+            dead.write.mode("overwrite").parquet(f"{dead_letter_path}/batch={batch_id}")
+            attempt_handler(handler, reports, batch_id, max_retries)
 
     return stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
 
