@@ -37,7 +37,6 @@ from stormweave.llm import ngrams
 from stormweave.llm.bits import BitTable
 from stormweave.llm.scan import per_groups
 from stormweave.llm.words import texts
-from stormweave.operators.dedup import connected_groups
 from stormweave.session import materialize
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -307,6 +306,35 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(scan, "node long, shingles array<long>")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """node and group (a node that names the part) of the connected parts of `edges` (a, b).
+
+    Every round hooks each node to its smallest neighbour, or itself, and contracts the edges; ids are hashes, so a
+    constant share of the open nodes goes each round and soon few edges are left. The hooks are composed at the end.
+    """
+
+    def proper(pairs: DataFrame) -> DataFrame:
+        return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    rounds: list[DataFrame] = []
+    open_ = materialize(proper(edges), "near-edges")
+    while not open_.isEmpty():
+        both = open_.unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+        hooks = materialize(hooks.select("node", F.least("node", "least").alias("up")), "near-hooks")
+        rounds.append(hooks)
+        left = hooks.withColumnsRenamed({"node": "a", "up": "a_up"})
+        right = hooks.withColumnsRenamed({"node": "b", "up": "b_up"})
+        open_ = materialize(proper(open_.join(left, "a").join(right, "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b"))), "near-edges")
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("group")).limit(0)
+    labels = rounds[-1].withColumnRenamed("up", "group")
+    for hooks in reversed(rounds[:-1]):
+        named = labels.withColumnsRenamed({"node": "up"})
+        labels = hooks.join(named, "up", "left").select("node", F.coalesce("group", "up").alias("group"))
+    return labels
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node (hash of the shingle set, null if empty), part (node that names the class), class_id and n_links of each row.
 
@@ -324,8 +352,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = _cells(keyed.join(crowd, "key"), "key", "sides").join(labelled.select("node", "sketch"), "node")
     alike = per_groups(met, ["key", "i", "j"], partial(_alike, threshold), "a long, b long")
     edges = materialize(alike.distinct(), "near-alike")
-    linked = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    groups = materialize(connected_groups(linked, edges), "near-groups")
+    groups = materialize(components(edges), "near-groups")
     members = groups.join(folds.select("node", "copies", "size"), "node")
     cells = members.groupBy("group").agg(
         F.ceil(F.greatest(F.count("*") / CELL_NODES, F.sum("size") / CELL_SHINGLES)).alias("sides")
@@ -335,8 +362,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = materialize(per_groups(placed, ["group", "i", "j"], _verifier(threshold), "a long, b long, links long"), "near-links")
     links = found.filter("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     true_edges = found.filter("links = 0").select("a", "b").distinct()
-    joined = true_edges.select(F.col("a").alias("node")).union(true_edges.select("b")).distinct()
-    parts = connected_groups(joined, true_edges)
+    parts = components(true_edges)
     all_ = folds.join(parts, "node", "left").join(links, "node", "left").withColumn("group", F.coalesce("group", "node"))
     classes = all_.groupBy("group").agg(F.min("first_doc").alias("class_id"))
     facts = all_.join(classes, "group").select(

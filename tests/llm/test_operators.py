@@ -479,6 +479,23 @@ def test_near_duplicates_in_cells(spark, monkeypatch):
     assert got == want and len({n for _, n in want.values()}) > 5
 
 
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(300)] + [(1000 + k, 1001 + k) for k in range(6)]
+    part = {}
+
+    def top(x):
+        while part.setdefault(x, x) != x:
+            x = part[x]
+        return x
+
+    for a, b in edges:
+        part[max(top(a), top(b))] = min(top(a), top(b))
+    frame = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.group for r in nearjoin.components(frame).collect()} == {x: top(x) for a, b in edges for x in (a, b) if a != b}
+    assert nearjoin.components(frame.limit(0)).count() == 0
+
+
 def test_prefix_length_reaches_recall():
     assert nearjoin.prefix_length(0.8) == 4
     assert nearjoin.prefix_length(0.95) > nearjoin.prefix_length(0.8) >= nearjoin.prefix_length(0.5)
