@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormweave.operators.merges import number_rows
-from stormweave.session import materialize
 
 _STEP = 10_000
 
@@ -64,46 +63,12 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield finished()
 
 
-def _fold_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stream whole incidents in arrival order; the state is one position."""
-    incident_now, n, position = None, 0, (0.0, 0.0)
-    for batch in batches:
-        done: list[tuple] = []
-        columns = ("incident_id", "latitude", "longitude")
-        for incident, lat, lon in zip(*(batch[c].tolist() for c in columns), strict=True):
-            if incident != incident_now:
-                if incident_now is not None:
-                    done.append((incident_now, *position))
-                incident_now, n, position = incident, 1, (lat, lon)
-                continue
-            n += 1
-            position = tuple(round((p * (n - 1) + x) / n, 4) for p, x in zip(position, (lat, lon), strict=True))
-        if done:
-            yield pd.DataFrame(done, columns=list(columns))
-    if incident_now is not None:
-        yield pd.DataFrame([(incident_now, *position)], columns=["incident_id", "latitude", "longitude"])
-
-
 def running_centroid(members: DataFrame, part_size: int = 10_000) -> DataFrame:
-    """(incident_id, latitude, longitude) of incidents whose reports have coordinates.
-
-    Incidents of at most `part_size` reports are folded whole; only larger ones go by parts.
-    """
+    """(incident_id, latitude, longitude) of incidents whose reports have coordinates."""
     located = members.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
         "incident_id", "timestamp", "seq", F.col("latitude").cast("double"), F.col("longitude").cast("double")
     )
-    large = located.groupBy("incident_id").count().filter(F.col("count") > part_size).select("incident_id")
-    if large.isEmpty():
-        return _whole(located)
-    large = materialize(large, "large-incidents")
-    return _whole(located.join(large, "incident_id", "left_anti")).unionByName(
-        _by_parts(located.join(large, "incident_id", "left_semi"), part_size)
-    )
-
-
-def _whole(located: DataFrame) -> DataFrame:
-    in_order = located.repartition("incident_id").sortWithinPartitions("incident_id", "timestamp", "seq")
-    return in_order.mapInPandas(_fold_whole, "incident_id string, latitude double, longitude double")
+    return _by_parts(located, part_size)
 
 
 def _by_parts(located: DataFrame, part_size: int) -> DataFrame:

@@ -122,16 +122,22 @@ def session_buckets(
 
 
 def number_sessions(rows: DataFrame, keys: list[str], window_hours: float = 6.0) -> DataFrame:
-    """Every row with the start and number (from 1) of its session within `keys`."""
+    """Every row with the start and number (from 1) of its session within `keys`; a row with a null key is one of its own."""
+    keyed = F.lit(True)
+    for key in keys:
+        keyed = keyed & F.col(key).isNotNull()
+    alone = rows.filter(~keyed).withColumns({"session_no": F.lit(1), "session_start": F.col("timestamp")})
+    rows = rows.filter(keyed)
     buckets = session_buckets(rows, keys, window_hours)
     by_start = Window.partitionBy(*keys).orderBy("run_us")
     numbered = buckets.select(*keys, "bucket", "run_us", F.dense_rank().over(by_start).alias("session_no"))
-    return (
+    in_sessions = (
         rows.withColumn("bucket", F.floor(F.unix_micros("timestamp") / F.lit(_micros(window_hours))))
         .join(numbered, [*keys, "bucket"])
         .withColumn("session_start", F.timestamp_micros("run_us"))
         .drop("bucket", "run_us")
     )
+    return in_sessions.unionByName(alone)
 
 
 # --- exact first-match rule ---------------------------------------------------------------------------------

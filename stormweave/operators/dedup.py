@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,18 +50,6 @@ def _bands(count: int, bits: int = HASH_BITS) -> list[tuple[int, int]]:
     return [(sum(widths[:i]), width) for i, width in enumerate(widths)]
 
 
-def choose_bands(distinct_hashes: int, max_distance: int) -> int:
-    """Number of bands with the least expected work, copies plus candidate pairs, for evenly spread hashes."""
-
-    def work(bands: int) -> float:
-        kept = bands - max_distance
-        copies = comb(bands, kept)
-        key_bits = HASH_BITS * kept / bands
-        return copies * distinct_hashes * (4 + distinct_hashes / 2 ** (key_bits + 1))
-
-    return min(range(max_distance + 1, max_distance + 6), key=work)
-
-
 def _masked(shift_widths: list[tuple[int, int]]) -> Column:
     """The hash with only the given bands left."""
     mask = sum(((1 << width) - 1) << shift for shift, width in shift_widths)
@@ -81,11 +68,8 @@ def _split_crowded(keyed: DataFrame, layout: list, chosen: list, max_distance: i
     In a bucket the chosen bands are equal, so all differing bits lie in the others. Cut into one group of bits
     more than bits may differ, some group is equal too, and its bits extend the key.
     """
-    crowded = materialize(
-        keyed.groupBy("combination", "bits").count().filter(F.col("count") > crowd).drop("count"), "crowded"
-    )
-    if crowded.isEmpty():
-        return keyed
+    counts = keyed.groupBy("combination", "bits").count()
+    crowded = materialize(counts.filter(F.col("count") > crowd).drop("count"), "crowded")
     arms = []
     for number, combination in enumerate(chosen):
         free = [band for i, band in enumerate(layout) if i not in combination]
@@ -103,19 +87,17 @@ def _split_crowded(keyed: DataFrame, layout: list, chosen: list, max_distance: i
 
 
 def hamming_pairs(
-    hashes: DataFrame, column: str = "hash", max_distance: int = 5, bands: int | None = None, crowd: int = 1_000
+    hashes: DataFrame, column: str = "hash", max_distance: int = 5, bands: int = 8, crowd: int = 1_000
 ) -> DataFrame:
     """Pairs of distinct hash values within the distance: (hash_a, hash_b, distance), hash_a < hash_b.
 
     Exact by the pigeonhole principle: with `b` bands and at most `d` differing bits, some `b - d` bands are
-    equal, so hashes meet in a bucket of that band combination. The number of bands follows the number of
-    distinct values, which keeps buckets small as data grows, and buckets with more than `crowd` values are split
-    further. Copies of a value are folded before pairing and come back with `copies_of`, so a much-copied image
+    equal, so hashes meet in a bucket of that band combination: a hash is copied C(b, d) times, 56 with 8 bands, and a
+    key has 64 (b - d) / b bits. More bands suit more distinct hashes: 8 for some millions, 10 for billions. Members
+    of buckets with more than `crowd` values get longer keys, which changes no pair. Copies of a value are folded before pairing and come back with `copies_of`, so a much-copied image
     costs one row.
     """
     values = materialize(hashes.select(F.col(column).alias("hash")).filter("hash is not null").distinct(), "hashes")
-    if bands is None:
-        bands = choose_bands(values.count(), max_distance)
     layout = _bands(bands)
     chosen = list(combinations(range(bands), bands - max_distance))
     keys = [
@@ -151,6 +133,26 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0).cast("double"), lambda total, x: total + x)
 
 
+def _semantic_groups(reports: DataFrame, grid: HexGrid, bucket_minutes: int) -> tuple[DataFrame, DataFrame]:
+    """Reports with the key of their group (cell, time bucket, vector), and the groups with their first report and span."""
+    located = reports.withColumn("cell", grid.cell(F.col("latitude"), F.col("longitude"))).filter("cell is not null")
+    bucket = F.floor(F.unix_micros("timestamp") / F.lit(bucket_minutes * 60_000_000))
+    keyed = located.withColumn("bucket", bucket).select("report_id", "timestamp", "cell", "bucket", "embedding")
+    groups = keyed.groupBy("cell", "bucket", "embedding").agg(
+        F.min(F.struct("timestamp", "report_id")).alias("first"), F.max(F.unix_micros("timestamp")).alias("last_us")
+    )
+    return keyed, groups.select(
+        "cell", "bucket", "embedding", F.col("first.report_id").alias("representative"),
+        F.unix_micros("first.timestamp").alias("first_us"), "last_us",
+    )
+
+
+def semantic_copies(reports: DataFrame, grid: HexGrid = GRID, bucket_minutes: int = 30) -> DataFrame:
+    """(report_id, representative): reports with a vector, cell and time bucket in common stand for each other."""
+    keyed, groups = _semantic_groups(reports, grid, bucket_minutes)
+    return keyed.join(groups, ["cell", "bucket", "embedding"]).select("report_id", "representative")
+
+
 def semantic_pairs(
     reports: DataFrame,
     min_cosine: float = 0.9,
@@ -161,39 +163,38 @@ def semantic_pairs(
 ) -> DataFrame:
     """Pairs of reports near in space and time whose embeddings agree: (report_a, report_b, cosine).
 
-    Blocked by cell and by a time bucket. Identical vectors of one cell and bucket are folded to their first
-    report before pairing, so reposts of one text do not pair with each other.
+    Identical vectors of one cell and time bucket are a group, see `semantic_copies`. The pairs are those of a group's
+    first report with each of its copies, and those of the first reports of two groups that have any reports within
+    the window of each other. So copies cost a row each and every report has its links, by itself or by its group.
+
+    Groups meet by cell and window-wide time bucket with ids and times only; vectors are fetched for what met.
     """
-    span = bucket_minutes * 60_000_000
-    located = reports.withColumn("cell", grid.cell(F.col("latitude"), F.col("longitude"))).filter("cell is not null")
-    bucket = F.floor(F.unix_micros("timestamp") / F.lit(span))
-    folded = keep_first(
-        located.withColumn("bucket", bucket).select("report_id", "timestamp", "cell", "bucket", "embedding"),
-        ["cell", "bucket", "embedding"],
-        [F.col("timestamp"), F.col("report_id")],
-    )
-    reach = -(-round(window_hours * 3_600_000_000) // span)
-    left = (
-        folded.select("report_id", "timestamp", "bucket", "embedding", F.explode(k_ring(F.col("cell"), k)).alias("cell"))
-        .withColumn("bucket", F.explode(F.sequence(F.col("bucket"), F.col("bucket") + reach)))
-        .select(
-            "cell", "bucket", F.col("report_id").alias("report_a"), F.col("timestamp").alias("ts_a"),
-            F.col("embedding").alias("vector_a"),
-        )
-    )
-    right = folded.select(
-        "cell", "bucket", F.col("report_id").alias("report_b"), F.col("timestamp").alias("ts_b"),
-        F.col("embedding").alias("vector_b"),
-    )
-    gap = F.unix_micros("ts_b") - F.unix_micros("ts_a")
+    window = round(window_hours * 3_600_000_000)
+    span = window + bucket_minutes * 60_000_000
+    keyed, found = _semantic_groups(reports, grid, bucket_minutes)
+    groups = materialize(found, "semantic-groups")
+    copies = keyed.join(groups, ["cell", "bucket", "embedding"]).filter(F.col("report_id") != F.col("representative"))
+    vectors = groups.select("representative", "embedding")
+    slim = groups.select("representative", "cell", "first_us", "last_us", F.floor(F.col("first_us") / F.lit(span)).alias("wide"))
+    left = slim.select(
+        F.col("representative").alias("report_a"), F.col("first_us").alias("first_a"), F.col("last_us").alias("last_a"),
+        F.explode(k_ring(F.col("cell"), k)).alias("cell"), "wide",
+    ).withColumn("wide", F.explode(F.array(F.col("wide"), F.col("wide") + 1)))
+    right = slim.select("cell", "wide", F.col("representative").alias("report_b"), F.col("first_us").alias("first_b"))
+    gap = F.col("first_b") - F.col("first_a")
     later = (gap > 0) | ((gap == 0) & (F.col("report_a") < F.col("report_b")))
-    return (
-        left.join(right, ["cell", "bucket"])
-        .filter(later & (gap <= round(window_hours * 3_600_000_000)))
-        .withColumn("cosine", dot(F.col("vector_a"), F.col("vector_b")))
-        .filter(F.col("cosine") >= min_cosine)
-        .select("report_a", "report_b", "cosine")
+    met = left.join(right, ["cell", "wide"]).filter(later & (F.col("first_b") - F.col("last_a") <= window))
+    pairs = (
+        met.select("report_a", "report_b")
+        .join(vectors.withColumnsRenamed({"representative": "report_a", "embedding": "vector_a"}), "report_a")
+        .join(vectors.withColumnsRenamed({"representative": "report_b", "embedding": "vector_b"}), "report_b")
     )
+    of_copies = copies.select(
+        F.col("representative").alias("report_a"), F.col("report_id").alias("report_b"),
+        F.col("embedding").alias("vector_a"), F.col("embedding").alias("vector_b"),
+    )
+    both = pairs.unionByName(of_copies).withColumn("cosine", dot(F.col("vector_a"), F.col("vector_b")))
+    return both.filter(F.col("cosine") >= min_cosine).select("report_a", "report_b", "cosine")
 
 
 # --- connected incidents ------------------------------------------------------------------------------------

@@ -177,7 +177,7 @@ def timeline(members: DataFrame) -> DataFrame:
         F.when(F.col("opens"), "incident_created").otherwise("report_correlated").alias("event_type"),
         F.when(
             F.col("opens"), F.concat(F.lit("Incident created from initial "), "source", F.lit(" report."))
-        ).otherwise(F.concat(F.lit("Correlated report from "), "source", F.lit("."))).alias("description"),
+        ).otherwise(F.concat(F.lit("Correlated supporting report from "), "source", F.lit("."))).alias("description"),
         F.lit(None).cast("string").alias("previous_state"),
         F.when(F.col("opens"), F.lit("REPORTED")).alias("new_state"),
         F.lit(None).cast("string").alias("previous_severity"),

@@ -7,8 +7,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormweave.functions.identity import day_bounds
+from stormweave.functions.identity import day_bounds, utc_day
 from stormweave.functions.spatial import within_km
+from stormweave.operators.merges import number_rows
 from stormweave.schemas import INCIDENT_SEVERITIES, VERIFICATION_STATUSES
 
 
@@ -25,10 +26,13 @@ def reported_between(
 ) -> DataFrame:
     """First reported in the range, both ends included (F1)."""
     first = F.col("first_reported_at")
+    stored = "day" in incidents.columns  # of a stored table: the UTC day prunes partitions
     if start is not None:
         incidents = incidents.filter(first >= _instant(start))
+        incidents = incidents.filter(F.col("day") >= utc_day(_instant(start))) if stored else incidents
     if end is not None:
         incidents = incidents.filter(first <= _instant(end))
+        incidents = incidents.filter(F.col("day") <= utc_day(_instant(end))) if stored else incidents
     return incidents
 
 
@@ -114,14 +118,23 @@ def severity_rank(severity: Column) -> Column:
     return rank
 
 
+def _sort_key(order: str) -> Column:
+    return {
+        "time": -F.unix_micros("last_updated_at"),
+        "severity": severity_rank(F.col("severity")),
+        "confidence": -F.coalesce("overall_confidence", F.lit(0.0)),
+    }[order]
+
+
 def sorted_by(incidents: DataFrame, order: str = "time") -> DataFrame:
     """By recency, severity or confidence, a missing confidence counting as 0."""
-    keys = {
-        "time": F.desc("last_updated_at"),
-        "severity": F.asc(severity_rank(F.col("severity"))),
-        "confidence": F.desc(F.coalesce("overall_confidence", F.lit(0.0))),
-    }
-    return incidents.orderBy(keys[order], "incident_id")
+    return incidents.orderBy(_sort_key(order), "incident_id")
+
+
+def ranked_by(incidents: DataFrame, order: str = "time") -> DataFrame:
+    """All incidents with their `position` (from 1) in an order of `sorted_by`, found by ranges and not in one task."""
+    keyed = incidents.withColumns({"_order": F.lit(order), "_key": _sort_key(order)})
+    return number_rows(keyed, "_order", ["_key", "incident_id"], "position").drop("_order", "_key")
 
 
 def list_incidents(

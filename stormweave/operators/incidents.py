@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stormweave.functions import identity
 from stormweave.operators import correlate, dedup, evidence
 from stormweave.operators.centroid import running_centroid
 from stormweave.schemas import INCIDENT_DDL, columns
@@ -22,10 +23,11 @@ class IncidentTables(NamedTuple):
     timeline: DataFrame
 
 
-def from_members(members: DataFrame, as_of: Column, centroid: str = "running") -> IncidentTables:
+def from_members(members: DataFrame, as_of: Column, centroid: str = "mean") -> IncidentTables:
     """Roll up and score incidents whose reports are known.
 
-    `centroid` is "running" for the reference's position or "mean", which needs no order and no extra pass.
+    `centroid` is "mean", the exact mean position, which needs no order and no extra pass, or "running" for a position
+    rounded after every report in their order.
     """
     rolled = evidence.roll_up(members)
     if centroid == "running":
@@ -51,7 +53,7 @@ def detect_incidents(
     window_hours: float = 6.0,
     k: int = 1,
     exact: bool = True,
-    centroid: str = "running",
+    centroid: str = "mean",
     **options,
 ) -> IncidentTables:
     """Features, correlation and evidence scoring of a batch of reports (C4).
@@ -69,3 +71,24 @@ def detect_incidents(
     # Everything below reads the membership several times, and none of it reads the report text.
     compact = members.drop("text", "raw_payload", "media_items")
     return from_members(materialize(compact, "members"), moment, centroid)
+
+
+def isolated_incidents(reports: DataFrame, as_of: Column | None = None) -> IncidentTables:
+    """Incidents of reports that are correlated one at a time, without each other: one per report that is not negated.
+
+    Reports that give the same key (category, cell, time) are members of one incident.
+    """
+    moment = F.current_timestamp() if as_of is None else as_of
+    unique = dedup.keep_first(reports, ["report_id"], [F.col("timestamp")])
+    featured = correlate.with_features(unique).filter(~F.col("is_negated"))
+    place = F.coalesce(F.col("cell").cast("string"), F.concat_ws("_", F.lit("None"), "report_id"))
+    keyed = featured.withColumns(
+        {
+            "incident_id": identity.incident_id(F.col("event_category"), place, F.col("timestamp")),
+            "incident_category": F.col("event_category"),
+        }
+    )
+    first = keyed.groupBy("incident_id").agg(F.min("seq").alias("_first"))
+    members = keyed.join(first, "incident_id").withColumn("opens", F.col("seq") == F.col("_first"))
+    compact = members.drop("_first", "text", "raw_payload", "media_items")
+    return from_members(materialize(compact, "members"), moment)

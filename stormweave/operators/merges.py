@@ -209,14 +209,8 @@ def number_rows(rows: DataFrame, key: str, order: list[str], name: str = "n") ->
 
 
 def collect_parts(children: DataFrame, order: list[str], fields: list[str], name: str, part_size: int) -> DataFrame:
-    """(incident_id, part, array) of child structs in order, at most `part_size` per row."""
-    largest = children.groupBy("incident_id").count().agg(F.max("count")).first()[0] or 0
-    if largest <= part_size:
-        parted = children.withColumn("part", F.lit(0).cast("bigint"))
-    else:
-        parted = number_rows(children, "incident_id", order).withColumn(
-            "part", F.floor((F.col("n") - 1) / F.lit(part_size))
-        )
+    """(incident_id, part, array) of child structs in order: part p holds children p * part_size + 1 and on."""
+    parted = number_rows(children, "incident_id", order).withColumn("part", F.floor((F.col("n") - 1) / F.lit(part_size)))
     entry = F.struct(*order, F.struct(*fields).alias("entry"))
     return parted.groupBy("incident_id", "part").agg(
         F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["entry"]).alias(name)
@@ -228,9 +222,9 @@ def assemble(
 ) -> DataFrame:
     """Incident documents with report ids, evidence and time-ordered timeline.
 
-    An incident with more than `part_size` children comes as several parts, numbered from 0, that together hold
-    all of them; every other incident is one document. Call it on a page of incidents: children of others are
-    cut away before anything is grouped.
+    The unit is a page of an incident: (incident_id, part), parts numbered from 0, with up to `part_size` entries of
+    each kind; the parts of an incident hold all of them. Call it on a page of incidents: children of others are cut
+    away before anything is grouped.
     """
     page = incidents.select("incident_id")
 

@@ -56,7 +56,10 @@ def flat(array: Column) -> Column:
 # --- correlation --------------------------------------------------------------------------------------------
 
 
-@query("c1_exact_incidents")
+@query(
+    "c1_exact_incidents",
+    sql.select(sql.exact_members(), "SELECT report_id, incident_id, incident_category, opens FROM members"),
+)
 def exact_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = correlate.correlate_exact(reports_view(spark, sf_dir))
     return found.select("report_id", "incident_id", "incident_category", "opens")
@@ -82,7 +85,14 @@ def leading_negations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("report_id", "is_negated")
 
 
-@query("c4_scored_incidents")
+@query(
+    "c4_scored_incidents",
+    sql.select(
+        sql.exact_incidents(),
+        """SELECT incident_id, title, event_category, severity, state, priority_score, report_count, overall_confidence, verification_status,
+        first_reported_at, last_updated_at FROM inc""",
+    ),
+)
 def scored_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = incidents.detect_incidents(reports_view(spark, sf_dir), as_of())
     return found.incidents.select(
@@ -126,7 +136,7 @@ def cluster_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.select(
         sql.MEMBERS,
         f"""SELECT incident_id, ts AS timestamp, report_id, CASE WHEN n = 1 THEN 'incident_created' ELSE 'report_correlated' END AS event_type,
-        CASE WHEN n = 1 THEN 'Incident created from initial ' || source || ' report.' ELSE 'Correlated report from ' || source || '.' END AS description,
+        CASE WHEN n = 1 THEN 'Incident created from initial ' || source || ' report.' ELSE 'Correlated supporting report from ' || source || '.' END AS description,
         {sql.severity("n", "incident_category")} AS new_severity FROM members""",
     ),
 )
@@ -157,11 +167,18 @@ def spatial_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grown.select("incident_id", flat(F.transform("cells", lambda c: c.cast("string"))).alias("cells"))
 
 
-@query("g5_exact_growth")
+@query(
+    "g5_exact_growth",
+    sql.select(
+        sql.exact_members(),
+        """SELECT incident_id, string_agg(CAST(cell AS VARCHAR), ', ' ORDER BY seen, cell) AS cells
+        FROM (SELECT incident_id, cell, min(ts) AS seen FROM members GROUP BY ALL) GROUP BY incident_id""",
+    ),
+)
 def exact_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents of the sequential rule do grow beyond their first cell."""
     grown = evidence.covered_cells(correlate.correlate_exact(reports_view(spark, sf_dir)))
-    return grown.groupBy(F.size("cells").alias("cells")).agg(F.count("*").alias("incidents"))
+    return grown.select("incident_id", flat(F.transform("cells", lambda c: c.cast("string"))).alias("cells"))
 
 
 @query(
@@ -477,20 +494,19 @@ def top_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     "t3_sorted",
     sql.select(
         sql.INCIDENTS,
-        """SELECT 'severity' AS by, incident_id FROM (SELECT * FROM inc ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1
-          WHEN 'MODERATE' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END, incident_id LIMIT 100)
-        UNION ALL SELECT 'confidence', incident_id FROM (SELECT * FROM inc ORDER BY coalesce(overall_confidence, 0) DESC, incident_id LIMIT 100)
-        UNION ALL SELECT 'time', incident_id FROM (SELECT * FROM inc ORDER BY last_updated_at DESC, incident_id LIMIT 100)""",
+        """SELECT 'severity' AS by, incident_id, row_number() OVER (ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1
+          WHEN 'MODERATE' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END, incident_id) AS position FROM inc
+        UNION ALL SELECT 'confidence', incident_id, row_number() OVER (ORDER BY coalesce(overall_confidence, 0) DESC, incident_id) FROM inc
+        UNION ALL SELECT 'time', incident_id, row_number() OVER (ORDER BY last_updated_at DESC, incident_id) FROM inc""",
     ),
 )
 def sorted_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred in each of the three orders."""
+    """Every incident with its place in each of the three orders."""
 
-    def first(order: str) -> DataFrame:
-        page = filters.sorted_by(inc(spark, sf_dir), order).limit(100)
-        return page.select(F.lit(order).alias("by"), "incident_id")
+    def whole(order: str) -> DataFrame:
+        return filters.ranked_by(inc(spark, sf_dir), order).select(F.lit(order).alias("by"), "incident_id", "position")
 
-    return first("severity").unionByName(first("confidence")).unionByName(first("time"))
+    return whole("severity").unionByName(whole("confidence")).unionByName(whole("time"))
 
 
 @query(
@@ -964,7 +980,13 @@ def _run_log(spark: SparkSession, sf_dir: str, remember: bool = False) -> tuple[
     return store, folder
 
 
-@query("r1_continuous_job")
+@query(
+    "r1_continuous_job",
+    sql.select(
+        sql.exact_incidents("user_id % 4 <> 3"),
+        "SELECT incident_id, event_category, severity, report_count, priority_score FROM inc",
+    ),
+)
 def continuous_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, _ = _run_log(spark, sf_dir)
     return store.read("incidents").select("incident_id", "event_category", "severity", "report_count", "priority_score")
@@ -988,24 +1010,30 @@ def message_handler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").groupBy("source").agg(F.count("*").alias("reports"))
 
 
-@query(
-    "r3_report_triggered",
-    sql.select(sql.FEATURES, "SELECT count(*) AS incidents, max(report_count) AS largest FROM (SELECT 1 AS report_count FROM feat WHERE NOT is_negated)"),
-)
+# Every report by itself is an incident of one, unless it is negated and the first; two with one key share an incident.
+_ALONE = f"""SELECT incident_id, count(*) AS report_count FROM (SELECT 'inc_' || lower(event_category) || '_' ||
+    substr(sha256(event_category || '_' || cell || '_' || {sql.iso("ts")}), 1, 12) AS incident_id FROM feat WHERE NOT is_negated) GROUP BY incident_id"""
+
+
+@query("r3_report_triggered", sql.select(sql.FEATURES, _ALONE))
 def report_triggered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each report correlated by itself: every report that is not negated makes an incident of one."""
-    featured = correlate.with_features(reports_view(spark, sf_dir)).filter(~F.col("is_negated"))
-    alone = featured.select(
-        identity.incident_id(F.col("event_category"), F.col("cell").cast("string"), F.col("timestamp")).alias("incident_id"),
-        F.col("event_category").alias("incident_category"),
-        F.lit(True).alias("opens"),
-        "*",
-    )
-    rolled = evidence.roll_up(alone)
-    return rolled.agg(F.count("*").alias("incidents"), F.max("report_count").cast("int").alias("largest"))
+    """Every report triggers a correlation of its own, without memory of the others: one handler call for many reports.
+
+    `isolated` makes each report a batch of itself, so a call handles as many triggers as arrived together.
+    """
+    store = Tables(spark, scratch(spark, "triggered"))
+    reports = contracts.validate_reports(_full(reports_view(spark, sf_dir))).drop("errors")
+    jobs.pipeline_handler(store, scratch(spark, "feed"), as_of(), isolated=True)(reports, 0)
+    return store.read("incidents").select("incident_id", "report_count")
 
 
-@query("r4_stateful_job")
+@query(
+    "r4_stateful_job",
+    sql.select(
+        sql.exact_incidents(),
+        "SELECT incident_id, event_category, severity, report_count, priority_score, verification_status FROM inc",
+    ),
+)
 def stateful_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream in time order, in two batches, the second joining the open incidents of the first."""
     store = Tables(spark, scratch(spark, "stateful"))
@@ -1014,29 +1042,50 @@ def stateful_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = F.lit("2024-01-16T00:00:00Z").cast("timestamp")
     handler(reports.filter(F.col("timestamp") < middle), 0)
     handler(reports.filter(F.col("timestamp") >= middle), 1)
-    return store.read("incidents").select("incident_id", "event_category", "severity", "report_count")
+    return store.read("incidents").select(
+        "incident_id", "event_category", "severity", "report_count", "priority_score", "verification_status"
+    )
 
 
 @query(
     "r5_redelivery",
-    sql.select(sql.REPORTS, "SELECT report_id, count(*) AS copies FROM reports GROUP BY report_id"),
+    sql.select(sql.REPORTS, "SELECT report_id, 1::BIGINT AS streamed, 1::BIGINT AS copies FROM reports"),
 )
 def redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every report is delivered twice and stored once."""
-    store = Tables(spark, scratch(spark, "redelivery"))
-    reports = contracts.validate_reports(_full(reports_view(spark, sf_dir)))
-    store.add_reports(reports.unionByName(reports))
+    """Every report is delivered twice: the stream lets one through, the store keeps one of what comes again later."""
+    folder = scratch(spark, "redelivery")
+    reports = materialize(contracts.validate_reports(_full(reports_view(spark, sf_dir))).drop("errors"), "redelivered")
+    reports.unionByName(reports).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(reports.schema).parquet(f"{folder}/in")
+    out = log.once_per_id(stream, "40 days").writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
+    out.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    once = spark.read.schema(reports.schema).parquet(f"{folder}/out")
+    store = Tables(spark, f"{folder}/tables")
+    store.add_reports(once)
     store.add_reports(reports)
-    return store.read("reports").groupBy("report_id").agg(F.count("*").alias("copies"))
+    streamed = once.groupBy("report_id").agg(F.count("*").alias("streamed"))
+    return streamed.join(store.read("reports").groupBy("report_id").agg(F.count("*").alias("copies")), "report_id")
 
 
 @query(
     "r6_late_reports",
-    sql.select(sql.REPORTS, "SELECT report_id, ts AS timestamp FROM reports WHERE ts < TIMESTAMP '2024-01-09 18:00:00'"),
+    sql.select(sql.REPORTS, "SELECT report_id, ts AS timestamp FROM reports WHERE ts < TIMESTAMP '2024-01-16' - INTERVAL 6 HOUR"),
 )
 def late_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = F.lit("2024-01-10T00:00:00Z").cast("timestamp")
-    return jobs.late_reports(reports_view(spark, sf_dir), newest).select("report_id", "timestamp")
+    """A stream whose first batch reached the middle of the month; older reports of the next one land in the late table."""
+    folder = scratch(spark, "late")
+    reports = materialize(reports_view(spark, sf_dir).drop("seq"), "late-input")
+    schema, middle = reports.schema, F.lit("2024-01-16T00:00:00Z").cast("timestamp")
+    process = jobs.route_late(f"{folder}/routed")
+    # The first batch only sets the clock: one report without an id at the middle of the month.
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in schema if f.name != "timestamp"}
+    clock = spark.range(1).select(*[nothing.get(f.name, middle).alias(f.name) for f in schema])
+    for batch in (clock, reports):
+        batch.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        job = stream.writeStream.foreachBatch(process).option("checkpointLocation", f"{folder}/checkpoint")
+        job.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/routed/late").select("report_id", "timestamp")
 
 
 @query(

@@ -94,6 +94,42 @@ spans AS (SELECT *, min(ts) OVER s AS session_start,
 members AS (SELECT *, 'inc_' || lower(family) || '_' ||
   substr(sha256(family || '_' || cell || '_' || {iso("session_start")}), 1, 12) AS incident_id, n = 1 AS opens FROM spans)"""
 
+def _accepts(incident: str, report: str) -> str:
+    arms = [f"({incident} = '{c}' AND {report} IN ({', '.join(map(quoted, accepted))}))" for c, accepted in rules.COMPATIBLE.items()]
+    return f"({' OR '.join(arms)})"
+
+
+def exact_members(reports: str = "TRUE") -> str:
+    """The sequential rule, report by report, as a recursion; ends in `members` like MEMBERS.
+
+    Rows of cells lie further apart than an incident reaches, so each row of five users is walked by itself. The state
+    is the list of open incidents in the order of their creation.
+    """
+    features = FEATURES.replace("FROM events)", f"FROM events WHERE {reports})")
+    return f"""RECURSIVE {features},
+firsts AS (SELECT ts AS t0, seq AS s0 FROM feat WHERE NOT is_negated ORDER BY ts, seq LIMIT 1),
+queue AS (SELECT f.*, user_id // 5 AS lane, row_number() OVER (PARTITION BY user_id // 5 ORDER BY ts, seq) AS step
+  FROM feat f, firsts WHERE ts > t0 OR (ts = t0 AND seq >= s0)),
+walk AS (
+  SELECT DISTINCT lane, 0::BIGINT AS step, CAST([] AS STRUCT(no BIGINT, q BIGINT, r BIGINT, kind VARCHAR, since TIMESTAMP, cell BIGINT, last TIMESTAMP)[]) AS open_,
+    CAST(NULL AS STRUCT(no BIGINT, q BIGINT, r BIGINT, kind VARCHAR, since TIMESTAMP, cell BIGINT, last TIMESTAMP)) AS hit FROM queue
+  UNION ALL
+  SELECT lane, step, CASE WHEN hit IS NULL
+      THEN list_append(alive, {{'no': step, 'q': aq, 'r': ar, 'kind': event_category, 'since': ts, 'cell': cell, 'last': ts}})
+      ELSE list_transform(alive, lambda i: CASE WHEN i.no = hit.no
+        THEN {{'no': i.no, 'q': i.q, 'r': i.r, 'kind': i.kind, 'since': i.since, 'cell': i.cell, 'last': ts}} ELSE i END) END,
+    coalesce(hit, {{'no': step, 'q': aq, 'r': ar, 'kind': event_category, 'since': ts, 'cell': cell, 'last': ts}})
+  FROM (SELECT *, list_filter(alive, lambda i: (abs(i.q - aq) + abs(i.r - ar) + abs(i.q - aq + i.r - ar)) // 2 <= 1
+      AND {_accepts("i.kind", "event_category")})[1] AS hit
+    FROM (SELECT o.*, list_filter(w.open_, lambda i: o.ts - i.last <= INTERVAL 6 HOUR) AS alive
+      FROM walk w JOIN queue o ON o.lane = w.lane AND o.step = w.step + 1))),
+weighed AS (SELECT *, CASE WHEN source_type = 'official' THEN greatest({_WEIGHT}, 90) ELSE {_WEIGHT} END AS w FROM queue),
+members AS (SELECT o.*, 'inc_' || lower(hit.kind) || '_' || substr(sha256(hit.kind || '_' || hit.cell || '_' || {iso("hit.since")}), 1, 12) AS incident_id,
+  hit.kind AS incident_category, hit.no = o.step AS opens,
+  row_number() OVER (PARTITION BY o.lane, hit.no ORDER BY o.ts, o.seq) AS n
+  FROM weighed o JOIN walk v ON v.lane = o.lane AND v.step = o.step)"""
+
+
 _SEVERITY = """CASE WHEN event_category IN ('FLOOD', 'CYCLONE') THEN CASE WHEN {n} >= 3 THEN 'CRITICAL' ELSE 'HIGH' END
   WHEN event_category IN ('WATERLOGGING', 'THUNDERSTORM', 'LIGHTNING')
     THEN CASE WHEN {n} >= 4 THEN 'CRITICAL' WHEN {n} >= 2 THEN 'HIGH' ELSE 'MODERATE' END
@@ -153,6 +189,11 @@ inc AS (SELECT *, CASE verification_status WHEN 'CONTRADICTED' THEN 'DE_ESCALATI
   FROM rolled JOIN judged USING (incident_id))"""
 
 
+def exact_incidents(reports: str = "TRUE") -> str:
+    """INCIDENTS over the members of the sequential rule."""
+    return INCIDENTS.replace(MEMBERS, exact_members(reports))
+
+
 def select(base: str, body: str) -> str:
     """A query over the blocks; a body that starts with a comma adds blocks of its own."""
     return f"WITH {base}{'' if body.startswith(',') else chr(10)}{body}"

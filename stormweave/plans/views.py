@@ -19,14 +19,15 @@ TEXTS = {
 SOURCES = (("imd", "official"), ("news_rss", "news"), ("twitter", "social_media"), ("citizen_app", "citizen"))
 
 
-_ONE_SPLIT = 128 * 1024 * 1024
+#: Setting of the session: partitions to deal tables to after the scan, for tables of a single row group.
+SPREAD = "stormweave.spread"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, spread over all cores when it is so small that a scan would put it into one task."""
+    """A table; dealt to more partitions only where the session asks for it."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(spark.sparkContext.defaultParallelism) if size < _ONE_SPLIT else rows
+    spread = spark.conf.get(SPREAD, None)
+    return rows.repartition(int(spread)) if spread else rows
 
 
 def events_view(spark: SparkSession, sf_dir: str) -> DataFrame:

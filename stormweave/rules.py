@@ -172,14 +172,27 @@ CITIES: tuple[tuple[str, str, float, float], ...] = (
 )
 
 
+def _sized(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A small table as VALUES: unlike a frame made from Python rows it has a size Catalyst can choose joins by."""
+
+    def literal(value: str | float | tuple) -> str:
+        if isinstance(value, tuple):
+            return f"array({', '.join(map(literal, value))})"
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"CAST({value!r} AS DOUBLE)"
+
+    values = ", ".join(f"({', '.join(map(literal, row))})" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+
+
 def compatibility_table(spark: SparkSession, compatible: dict[str, tuple[str, ...]] = COMPATIBLE) -> DataFrame:
-    rows = [(category, list(accepts)) for category, accepts in compatible.items()]
-    return spark.createDataFrame(rows, "event_category string, accepts array<string>")
+    return _sized(spark, [(category, tuple(accepts)) for category, accepts in compatible.items()], "event_category, accepts")
 
 
 def weight_table(spark: SparkSession, weights: dict[str, float] = SOURCE_WEIGHTS) -> DataFrame:
-    return spark.createDataFrame(list(weights.items()), "source string, weight double")
+    return _sized(spark, list(weights.items()), "source, weight")
 
 
 def city_table(spark: SparkSession, cities: tuple[tuple[str, str, float, float], ...] = CITIES) -> DataFrame:
-    return spark.createDataFrame(list(cities), "city string, state string, latitude double, longitude double")
+    return _sized(spark, list(cities), "city, state, latitude, longitude")

@@ -13,9 +13,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stormweave.functions.identity import utc_day
 from stormweave.operators import merges
 from stormweave.operators.incidents import IncidentTables
 from stormweave.schemas import EVIDENCE_DDL, INCIDENT_DDL, MEMBER_DDL, REPORT_DDL, TIMELINE_DDL, columns
@@ -33,10 +34,6 @@ STUB = "stub"
 EVIDENCE_KEY = ["incident_id", "report_id"]
 
 
-def utc_day(ts: Column) -> Column:
-    return F.to_date(F.to_utc_timestamp(ts, F.current_timezone()))
-
-
 @dataclass(frozen=True)
 class Tables:
     """Tables below one folder."""

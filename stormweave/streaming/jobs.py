@@ -12,7 +12,7 @@ from stormweave.functions.identity import iso_utc
 from stormweave.functions.spatial import GRID, HexGrid
 from stormweave.operators import correlate, incidents
 from stormweave.operators.incidents import IncidentTables
-from stormweave.session import materialize
+from stormweave.session import materialize, temporary_stages
 from stormweave.sources.tables import Tables, utc_day
 
 UPDATED = "incident.updated"
@@ -35,13 +35,14 @@ def change_events(updated: DataFrame, at: Column | None = None) -> DataFrame:
 
 
 def pipeline_handler(
-    tables: Tables, feed_path: str, as_of: Column | None = None, remember: bool = False, **options
+    tables: Tables, feed_path: str, as_of: Column | None = None, remember: bool = False, isolated: bool = False, **options
 ) -> Callable[[DataFrame, int], None]:
     """Handler for one batch: correlate, insert reports, merge incidents, then announce.
 
     The result of a batch is settled before it is merged, and the merge can be repeated, so an attempt that failed at
     any point is made good by the next one. Events are written only after the tables, under the batch id, so a
     repeated batch replaces its own events. With `remember`, reports may join open incidents of earlier batches (R4).
+    With `isolated`, each report triggers a correlation by itself, as if it came in a batch of its own (R3).
     """
 
     def handle(reports: DataFrame, batch_id: int) -> None:
@@ -57,7 +58,9 @@ def pipeline_handler(
             source = _without_incident(batch, tables) if remember else batch
             if source.isEmpty():
                 return
-            if remember:
+            if isolated:
+                result = incidents.isolated_incidents(source.drop("day", "event_category", "cell"), as_of)
+            elif remember:
                 result = continue_incidents(source, tables, as_of, **options)
             else:
                 result = incidents.detect_incidents(source.drop("day", "event_category", "cell"), as_of, **options)
@@ -127,18 +130,20 @@ def stream_sessions(
 ) -> DataFrame:
     """Set-based incidents on a stream: one session per cell and category family.
 
-    A session closes, and is emitted, once the watermark has passed its end. Reports later than `lateness` behind
-    the newest are dropped by the watermark; `late_reports` finds them.
+    A report without a cell is a session of its own, as in the batch form. A session closes, and is emitted, once the
+    watermark has passed its end. Reports later than `lateness` behind the newest are dropped by the watermark;
+    `route_late` keeps them.
     """
     delay = f"{round(window_hours * 3600)} seconds"
-    featured = correlate.with_features(stream.drop("seq"), grid).filter(F.col("cell").isNotNull())
+    featured = correlate.with_features(stream.drop("seq"), grid)
+    featured = featured.withColumn("alone", F.when(F.col("cell").isNull(), F.col("report_id")))
     family = correlate.family_of(F.col("event_category"), rules.COMPATIBLE)
     # A session window joins rows whose gap is at most the gap duration.
     session = F.session_window("timestamp", delay)
     return (
         featured.withColumn("family", family)
         .withWatermark("timestamp", lateness or delay)
-        .groupBy("cell", "family", session.alias("session"))
+        .groupBy("cell", "family", "alone", session.alias("session"))
         .agg(
             F.count("*").alias("reports"),
             F.min("timestamp").alias("first_reported_at"),
@@ -153,3 +158,25 @@ def late_reports(batch: DataFrame, newest_before: Column, window_hours: float =
     """Reports of a batch that lie behind the watermark of the batches before it, for the late table."""
     reach = F.expr(f"INTERVAL {round(window_hours * 3600)} SECONDS")
     return batch.filter(F.col("timestamp") < newest_before - reach)
+
+
+def route_late(path: str, handler: Callable[[DataFrame, int], None] | None = None, window_hours: float = 6.0):
+    """Batch function for `foreachBatch` that keeps late reports in a table of their own.
+
+    Each batch writes its newest time and its late reports, those behind the watermark of the batches before it, under
+    its id, so a repeated batch replaces its own. All reports of the batch go on to `handler`.
+    """
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with temporary_stages(spark):
+            settled = materialize(batch, "routed-batch")
+            settled.agg(F.max("timestamp").alias("newest")).write.mode("overwrite").parquet(f"{path}/newest/batch={batch_id}")
+            # A row per batch so far.
+            before = spark.read.parquet(f"{path}/newest").filter(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+            late = late_reports(settled, F.lit(before).cast("timestamp"), window_hours) if before else settled.limit(0)
+            late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+            if handler is not None:
+                handler(settled, batch_id)
+
+    return process
