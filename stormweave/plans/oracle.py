@@ -175,8 +175,8 @@ tallied AS (SELECT incident_id, count(*) FILTER (NOT is_negated) AS supporting_c
   coalesce(string_agg(DISTINCT source, ', ' ORDER BY source) FILTER (is_negated), '') AS contradicting_sources,
   coalesce(bool_or(source_type = 'official' OR lower(source) = 'imd') FILTER (NOT is_negated), false) AS has_official
   FROM members GROUP BY incident_id),
-sure AS (SELECT *, round(least(greatest((CASE WHEN supporting_count > 0 THEN sw / supporting_count ELSE 0e0 END) * (sw / tw)
-  + CASE WHEN ds > 1 THEN (ds - 1) * 0.08e0 ELSE 0e0 END, 0.15e0), 0.98e0), 2) AS overall_confidence FROM tallied),
+sure AS (SELECT *, CAST(round(CAST(CAST(least(greatest((CASE WHEN supporting_count > 0 THEN sw / supporting_count ELSE 0e0 END) * (sw / tw)
+  + CASE WHEN ds > 1 THEN (ds - 1) * 0.08e0 ELSE 0e0 END, 0.15e0), 0.98e0) AS VARCHAR) AS DECIMAL(20, 17)), 2) AS DOUBLE) AS overall_confidence FROM tallied),
 judged AS (SELECT *, CASE WHEN contradicting_count > supporting_count AND contradicting_count > 1 THEN 'CONTRADICTED'
   WHEN has_official OR (overall_confidence >= 0.65e0 AND supporting_count >= 2) THEN 'SUPPORTED'
   WHEN supporting_count >= 1 THEN 'PENDING_REVIEW' ELSE 'UNVERIFIED' END AS verification_status FROM sure),
