@@ -639,15 +639,30 @@ def source_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.with_source_weights(reports, rules.weight_table(spark)).select("report_id", "source_weight")
 
 
-@query("j16_semantic_pairs")
+_COSINE = "list_sum(list_transform(range(1, 65), lambda k: CAST(a.embedding[k] AS DOUBLE) * CAST(b.embedding[k] AS DOUBLE)))"
+_HALF_HOUR = "epoch_us(ts) // 1800000000"
+
+
+@query(
+    "j16_semantic_pairs",
+    sql.select(
+        sql.FEATURES,
+        f""", vec AS (SELECT f.report_id, f.ts, f.cell, f.aq, f.ar, {_HALF_HOUR} AS bucket, e.embedding FROM feat f JOIN embeddings e ON f.source_id = CAST(e.vec_id AS VARCHAR)),
+        groups AS (SELECT cell, aq, ar, bucket, embedding, min({{'t': ts, 'r': report_id}}) AS head, max(ts) AS last_ts FROM vec GROUP BY ALL),
+        near AS (SELECT a.head.r AS report_a, b.head.r AS report_b, {_COSINE} AS cosine FROM groups a JOIN groups b
+          ON (abs(a.aq - b.aq) + abs(a.ar - b.ar) + abs(a.aq - b.aq + a.ar - b.ar)) // 2 <= 1
+          AND (a.head.t < b.head.t OR (a.head.t = b.head.t AND a.head.r < b.head.r)) AND b.head.t - a.last_ts <= INTERVAL 1 HOUR),
+        same AS (SELECT a.head.r AS report_a, b.report_id AS report_b, {_COSINE} AS cosine FROM groups a JOIN vec b
+          ON a.cell = b.cell AND a.bucket = b.bucket AND a.embedding = b.embedding AND a.head.r <> b.report_id)
+        SELECT report_a, report_b, round(cosine, 6) AS cosine FROM (SELECT * FROM near UNION ALL SELECT * FROM same) WHERE cosine >= 0.2e0""",
+    ),
+)
 def semantic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports near in space and time; a report takes the vector numbered by its user."""
+    """Reports near in space and time; a report takes the vector numbered by its user, so a user's reports are copies."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("source_id"), "embedding")
     located = reports_view(spark, sf_dir).join(vectors, "source_id")
-    return dedup.semantic_pairs(located, min_cosine=0.2, window_hours=1.0)
-
-
-_COSINE = "list_sum(list_transform(range(1, 65), lambda k: CAST(a.embedding[k] AS DOUBLE) * CAST(b.embedding[k] AS DOUBLE)))"
+    pairs = dedup.semantic_pairs(located, min_cosine=0.2, window_hours=1.0)
+    return pairs.withColumn("cosine", F.round("cosine", 6))
 
 
 @query(
@@ -666,7 +681,18 @@ def cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("j17_touching_incidents")
+@query(
+    "j17_touching_incidents",
+    sql.select(
+        f"RECURSIVE {sql.INCIDENTS}",
+        f""", {_CELLS}, spot AS (SELECT i.incident_id, i.event_category, i.first_reported_at, i.last_updated_at, c.aq, c.ar FROM inc i JOIN cells c USING (cell)),
+        edges AS (SELECT a.incident_id AS a, b.incident_id AS b FROM spot a JOIN spot b ON a.event_category = b.event_category
+          AND (abs(a.aq - b.aq) + abs(a.ar - b.ar) + abs(a.aq - b.aq + a.ar - b.ar)) // 2 <= 1
+          AND a.first_reported_at <= b.last_updated_at + INTERVAL 6 HOUR AND b.first_reported_at <= a.last_updated_at + INTERVAL 6 HOUR),
+        reach AS (SELECT incident_id AS node, incident_id AS seen FROM spot UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.seen = e.a)
+        SELECT node AS incident_id, min(seen) AS "group" FROM reach GROUP BY node""",
+    ),
+)
 def touching_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = dedup.touching_incidents(inc(spark, sf_dir))
     return groups.select("incident_id", "group")
