@@ -88,38 +88,37 @@ def _covered(x: Column) -> Column:
     return F.array(x["i"], x["i"] + 1, x["i"] + 2)
 
 
-def measures(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id with the counts of each text, and the columns of `docs` named in `more`."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # One projection per level, so that words and lines are split once and read by all the counts above.
-    split = texts(docs, *more).select(
-        "doc_id",
-        *more,
-        text.alias("text"),
-        words(F.col("text")).alias("words"),
-        F.filter(F.split(text, "\n"), lambda line: line.rlike(_HAS_WORD)).alias("lines"),
-    )
+#: The counts of a text.
+COUNTS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_bullet_lines",
+    "n_ellipsis_lines",
+)
+
+
+def measured(text: Column) -> Column:
+    """The counts of a text as one struct; words and lines are split once and read by all of them."""
+    plain = F.coalesce(text, F.lit(""))
+    lines_ = F.filter(F.split(plain, "\n"), lambda line: line.rlike(_HAS_WORD))
     stop = [*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]
-    return split.select(
-        "doc_id",
-        *more,
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.size(F.filter("words", lambda w: w.isin(stop))).cast("long").alias("n_stop_words"),
-        F.size(F.filter("lines", lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•‣]"))).cast("long").alias("n_bullet_lines"),
-        F.size(F.filter("lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long").alias("n_ellipsis_lines"),
-    )
-
-
-def _ratio(part: str, whole: str) -> Column:
-    return F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole)), F.lit(0.0))
-
-
-#: Metric: its two counts.
+
+    def counts(p: Column) -> Column:
+        values = (
+            F.size(p["words"]),
+            F.length(F.array_join(p["words"], "")),
+            F.length(p["text"]) - F.length(F.translate(p["text"], "#*$%&|<>", "")),
+            F.size(p["lines"]) - F.size(F.array_distinct(p["lines"])),
+            repeated_words(p["words"]),
+            F.size(p["lines"]),
+            F.size(F.filter(p["words"], lambda w: w.isin(stop))),
+            F.size(F.filter(p["lines"], lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•‣]"))),
+            F.size(F.filter(p["lines"], lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))),
+        )
+        return F.struct(*[v.cast("long").alias(n) for n, v in zip(COUNTS, values, strict=True)])
+
+    return _let(F.struct(plain.alias("text"), words(text).alias("words"), lines_.alias("lines")), counts)
+
+
+#: Metric: the two counts it is the ratio of.
 PARTS = {
     "mean_word_chars": ("word_chars", "n_words"),
     "symbols_per_word": ("n_symbols", "n_words"),
@@ -130,11 +129,12 @@ PARTS = {
 }
 
 
-def compile_rules(rules: Sequence[Rule]) -> Column:
-    """Names of the rules a measured row breaks, in the order of the table."""
+def compile_rules(rules: Sequence[Rule], counts: Column) -> Column:
+    """Names of the rules that the counts break, in the order of the table."""
 
     def broken(rule: Rule) -> Column:
-        value = _ratio(*PARTS[rule.metric])
+        part, whole = (counts[c] for c in PARTS[rule.metric])
+        value = F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
         bad = F.lit(False)
         if rule.low is not None:
             bad = bad | (value < rule.low)
@@ -145,15 +145,30 @@ def compile_rules(rules: Sequence[Rule]) -> Column:
     return F.array_compact(F.array(*[broken(r) for r in rules])) if rules else F.array().cast("array<string>")
 
 
-def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, *more: str) -> DataFrame:
-    """doc_id, columns named in `more`, counts, `base_failed`, the broken rules and `kept`, a row for each row of `docs`."""
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = measures(docs, *more).select("*", failed.alias("base_failed"), compile_rules(rules).alias("broken"))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+def verdict(text: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """Counts, `base_failed`, broken rules and `kept` of a text as one struct.
+
+    One expression, so that a filter on it evaluates nothing twice when it is pushed below a projection.
+    """
+
+    def judged(m: Column) -> Column:
+        failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        broken = compile_rules(rules, m)
+        return F.struct(
+            *[m[c].alias(c) for c in COUNTS],
+            failed.alias("base_failed"),
+            broken.alias("broken"),
+            (~failed & (F.size(broken) == 0)).alias("kept"),
+        )
+
+    return _let(measured(text), judged)
+
+
+def judge(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """doc_id, counts, `base_failed`, the broken rules and `kept`, a row for each row of `docs`."""
+    return texts(docs).select("doc_id", verdict(F.col("text"), rules).alias("verdict")).select("doc_id", "verdict.*")
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The rows of `docs`, all columns, that pass: one projection and a filter, no exchange."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    judged = judge(rows.select(F.col("row")["doc_id"].alias("doc_id"), F.col("row")["text"].alias("text"), "row"), rules, "row")
-    return judged.filter("kept").select("row.*")
+    """The rows of `docs`, all columns, that pass: a filter, no exchange."""
+    return docs.filter(verdict(F.col("text").cast("string"), rules)["kept"])
