@@ -37,7 +37,7 @@ from stormweave.session import materialize
 #: Bytes of a repeated string and of an anchor gram; runs of an anchor beyond which its windows stand for themselves.
 LENGTH, GRAM, HOT = 50, 16, 5000
 #: Symbols of a shard with a transform of its own, and of a lot that is merged at once.
-SHARD, LOT = 1 << 18, 1 << 20
+SHARD, LOT = 1 << 17, 1 << 18
 _LOWEST = -(1 << 63)
 _WINDOW = LENGTH - GRAM + 1
 _bytes = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -176,7 +176,7 @@ def sort_shard(symbols: np.ndarray) -> np.ndarray:
         key = (key << np.uint64(9)) | np.roll(symbols, -k).astype(np.uint64)
     known = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(len(key), np.uint64)
         rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
@@ -195,7 +195,7 @@ def merge_transforms(transforms: list[np.ndarray], rounds: int = LENGTH) -> tupl
     """
     symbols = np.concatenate(transforms).astype(np.uint16)
     sizes = [len(t) for t in transforms]
-    shard = np.repeat(np.arange(len(sizes), dtype=np.uint8), sizes)
+    shard = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
     offsets = np.cumsum([0, *sizes])
     interleave = np.arange(len(symbols), dtype=np.int32)
     boundary = np.zeros(len(symbols), bool)
@@ -210,9 +210,10 @@ def merge_transforms(transforms: list[np.ndarray], rounds: int = LENGTH) -> tupl
         now = np.empty(len(symbols), bool)
         now[0] = True
         now[1:] = (before[1:] != before[:-1]) | (block[1:] != block[:-1])
-        dealt = shard[interleave][order]
-        for k in range(len(sizes)):
-            interleave[dealt == k] = np.arange(offsets[k], offsets[k + 1], dtype=np.int32)
+        # The shards' suffixes in their own order take the places that the shard numbers went to.
+        shard = shard[order]
+        for k in range(len(sizes) if len(sizes) > 1 else 0):
+            interleave[np.flatnonzero(shard == k)] = np.arange(offsets[k], offsets[k + 1], dtype=np.int32)
         common[now & ~boundary] = h - 1
         boundary = now
     return interleave, common
@@ -283,7 +284,8 @@ def _losses(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
             ranges[k] = [{"low": a, "high": b} for a, b in found]
 
     width = pa.compute.binary_length(pieces).to_numpy()
-    several = sizes > 1
+    # Pieces of one document alone take nothing from each other.
+    several = (sizes > 1) & (np.minimum.reduceat(least, group) < np.maximum.reduceat(most, group)) if len(key) else sizes > 1
     for g, n in zip(group[several].tolist(), sizes[several].tolist(), strict=True):
         lot += range(g, g + n)
         size += int(width[one[g : g + n]].sum()) + n
