@@ -37,7 +37,7 @@ from stormweave.session import materialize
 #: Bytes of a repeated string and of an anchor gram; runs of an anchor beyond which its windows stand for themselves.
 LENGTH, GRAM, HOT = 50, 16, 5000
 #: Symbols of a shard with a transform of its own, and of a lot that is merged at once.
-SHARD, LOT = 1 << 17, 1 << 18
+SHARD, LOT = 1 << 15, 1 << 16
 _LOWEST = -(1 << 63)
 _WINDOW = LENGTH - GRAM + 1
 _bytes = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -195,25 +195,28 @@ def merge_transforms(transforms: list[np.ndarray], rounds: int = LENGTH) -> tupl
     """
     symbols = np.concatenate(transforms).astype(np.uint16)
     sizes = [len(t) for t in transforms]
-    shard = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+    shard = np.repeat(np.arange(len(sizes), dtype=np.uint8 if len(sizes) < 256 else np.uint16), sizes)
     offsets = np.cumsum([0, *sizes])
-    interleave = np.arange(len(symbols), dtype=np.int32)
+    numbers = np.arange(len(symbols), dtype=np.int32)
+    interleave = numbers.copy()
     boundary = np.zeros(len(symbols), bool)
     boundary[0] = True
     common = np.full(len(symbols), rounds, np.int16)
     common[0] = 0
     for h in range(1, rounds + 1):
-        before = symbols[interleave]
-        order = np.argsort(before, kind="stable")
-        block = np.cumsum(boundary, dtype=np.int32)[order]
-        before = before[order]
+        before = symbols.take(interleave)
+        order = before.argsort(kind="stable")
+        block = boundary.cumsum(dtype=np.int32).take(order)
+        before = before.take(order)
         now = np.empty(len(symbols), bool)
         now[0] = True
-        now[1:] = (before[1:] != before[:-1]) | (block[1:] != block[:-1])
+        np.not_equal(block[1:], block[:-1], out=now[1:])
+        now[1:] |= before[1:] != before[:-1]
         # The shards' suffixes in their own order take the places that the shard numbers went to.
-        shard = shard[order]
-        for k in range(len(sizes) if len(sizes) > 1 else 0):
-            interleave[np.flatnonzero(shard == k)] = np.arange(offsets[k], offsets[k + 1], dtype=np.int32)
+        if len(sizes) > 1:
+            shard = shard.take(order)
+            for k in range(len(sizes)):
+                interleave[np.flatnonzero(shard == k)] = numbers[offsets[k] : offsets[k + 1]]
         common[now & ~boundary] = h - 1
         boundary = now
     return interleave, common
