@@ -4,8 +4,9 @@ A line is parsed at fixed depth: by its number of tokens, then by its `LEAD` lea
 with a digit are variable fields everywhere. At the leaf of a longer line one of three equal stretches of the tokens
 behind the leading ones may vary as a whole, so lines that differ in a name or a title share a template although no
 digit shows it. A template is thus a path of the tree, and each line lies on at most four of them: its own and three
-generalised ones. A template that occurs in `MIN_DOCS` documents or more recurs; its lines are dropped from all
-documents but the one with the smallest id, so nothing is lost altogether.
+generalised ones. A template keeps constants: at least half of its tokens, one of the leading ones among them. A line
+with fewer (a row of numbers, a date, a lone URL) is no template and recurs only by its very tokens. A template that
+occurs in `MIN_DOCS` documents or more recurs; its lines are dropped from all documents but the one with the smallest id.
 
 Paths are 64-bit hashes. Each task sums the documents of a path before the shuffle, so a line of a third of all documents
 is one row per task; nothing is grouped but counters. A second pass finds the lines on recurring paths: a bit table of
@@ -33,6 +34,8 @@ from stormweave.session import materialize
 #: Documents a template occurs in to recur; leading tokens of the tree; least tokens of a line that generalises.
 MIN_DOCS, LEAD, LEAST = 5, 2, 8
 _VARIABLE = np.uint64(0x2545F4914F6CDD1D)
+#: The kind of path of lines that keep their digits; 0 to 3 are the masked line and its three stretches.
+_EXACT = 4
 _STEP = 0x9E3779B97F4A7C15 | 1
 _LOWEST = -(1 << 63)
 
@@ -55,11 +58,20 @@ def line_paths(joined: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     power = np.cumprod(np.full(count.max() + 1, _STEP, np.uint64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * power[position])])
     whole = sums[first + count] - sums[first]
-    paths, lines = [_path(whole, count, 0)], [line]
-    long_ = np.flatnonzero(count >= LEAST)
-    at, n = first[long_], count[long_]
+    constants = np.concatenate([[0], np.cumsum(tokens != _VARIABLE)])
+    leading = constants[first + np.minimum(count, LEAD)] > constants[first]
+    kept = constants[first + count] - constants[first]
+    # Without enough constants only the very tokens of a line are its path.
+    exact = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hashes * power[position])])
+    templated = leading & (2 * kept >= count)
+    paths = [np.where(templated, _path(whole, count, 0), _path(exact[first + count] - exact[first], count, _EXACT))]
+    lines = [line]
     for k in range(3):
-        low, high = LEAD + (n - LEAD) * k // 3, LEAD + (n - LEAD) * (k + 1) // 3
+        low, high = LEAD + (count - LEAD) * k // 3, LEAD + (count - LEAD) * (k + 1) // 3
+        long_ = np.flatnonzero(leading & (count >= LEAST))
+        at, n, low, high = first[long_], count[long_], low[long_], high[long_]
+        enough = 2 * (kept[long_] - (constants[at + high] - constants[at + low])) >= n
+        long_, at, n, low, high = (x[enough] for x in (long_, at, n, low, high))
         paths.append(_path(whole[long_] - (sums[at + high] - sums[at + low]), n, k + 1))
         lines.append(line[long_])
     line = np.concatenate(lines)
@@ -69,7 +81,7 @@ def line_paths(joined: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _path(sums: np.ndarray, count: np.ndarray, kind: int) -> np.ndarray:
-    return ngrams.mix(sums ^ ngrams.mix(count.astype(np.uint64) * np.uint64(4) + np.uint64(kind)))
+    return ngrams.mix(sums ^ ngrams.mix(count.astype(np.uint64) * np.uint64(8) + np.uint64(kind)))
 
 
 def _slim(docs: DataFrame) -> DataFrame:
