@@ -342,21 +342,28 @@ def _news(rows: DataFrame, parts: dict[str, Column], only_relevant: bool, media:
     if place is not None:
         fields |= {c: place[c] for c in ("city", "district", "state")}
     errors = {"missing_text": F.col("text") == "", "malformed_document": parts["malformed"]}
-    checked = _canonical(rows, fields, errors, ("_position",))
-    # Keep the first item of an id; every reject stays, under a key of its own.
-    own_key = F.concat(F.lit("reject-"), F.monotonically_increasing_id().cast("string"))
+    if "_feed" not in rows.columns:
+        return _canonical(rows, fields, errors)
+    checked = _canonical(rows, fields, errors, ("_feed", "_position"))
+    # Keep the first item of an id within its feed; every reject stays, under its position.
+    own_key = F.concat(F.lit("reject-"), F.coalesce("_position", F.lit(-1)).cast("string"))
     keyed = checked.withColumn("_key", F.when(F.size("errors") == 0, F.col("report_id")).otherwise(own_key))
-    return keep_first(keyed, ["_key"], [F.col("_position")]).drop("_position", "_key")
+    return keep_first(keyed, ["_feed", "_key"], [F.col("_position")]).drop("_feed", "_position", "_key")
 
 
 @source_mapping("rss")
 def rss_reports(documents: DataFrame, document: str = "value", only_relevant: bool = True) -> DataFrame:
-    """RSS 2.0 and Atom documents (S4). Text-only: no coordinates are invented."""
+    """RSS 2.0 and Atom documents (S4). Text-only: no coordinates are invented.
+
+    A document, also one landed twice, is a feed of its own: an id that recurs within it gives the first report only.
+    """
     feed = documents.select(
-        F.from_xml(F.col(document), _FEED, {"mode": "PERMISSIVE", "ignoreNamespace": "true"}).alias("f")
+        F.monotonically_increasing_id().alias("_feed"),
+        F.from_xml(F.col(document), _FEED, {"mode": "PERMISSIVE", "ignoreNamespace": "true"}).alias("f"),
     )
     items = F.coalesce("f.channel.item", "f.item", "f.entry")
     rows = feed.select(
+        "_feed",
         F.coalesce(F.col("f.channel.language"), F.col("f.language")).alias("_language"),
         F.posexplode_outer(items).alias("_position", "o"),
     )
@@ -403,7 +410,7 @@ _NEWS = (
 
 @source_mapping("news_json")
 def news_json_reports(documents: DataFrame, document: str = "value", only_relevant: bool = True) -> DataFrame:
-    """News items as JSON: a list, an object with `news_items` or `items`, or one object."""
+    """News items as JSON: a list, an object with `news_items` or `items`, or one object (S5). No item is left out as a repeat."""
     rows = _exploded(documents, document, _items(F.col(document), "news_items", "items"))
     rows = staged(rows, {"o": F.from_json("_item", _NEWS), "_place": text.location(F.col("_item"))})
     item = F.col("o")

@@ -56,6 +56,17 @@ def test_feed_documents(spark):
     assert {r.source_id for r in everything.collect()} == {"g1", "g2"}
 
 
+def test_news_ids_recur_across_documents(spark):
+    item = "<item><title>{} rain</title><guid>g1</guid><pubDate>Mon, 01 Jul 2024 10:00:00 GMT</pubDate></item>"
+    feeds_ = ["<rss><channel>" + "".join(item.format(w) for w in words) + "</channel></rss>" for words in (("Heavy", "More"), ("Light",), ("Light",))]
+    found = feeds.rss_reports(documents(spark, *feeds_)).collect()
+    assert sorted(r.text for r in found) == ["Heavy rain", "Light rain", "Light rain"] and len({r.report_id for r in found}) == 1
+    news = {"guid": "n1", "pubDate": "Mon, 01 Jul 2024 10:00:00 GMT"}
+    listed = [{"items": [{**news, "title": "Heavy rain"}, {**news, "title": "More rain"}]}, [{**news, "title": "Light rain"}]]
+    found = feeds.news_json_reports(documents(spark, *listed)).collect()
+    assert sorted(r.text for r in found) == ["Heavy rain", "Light rain", "More rain"]
+
+
 def test_messages_round_trip_and_rejects(spark):
     reports = reports_view(spark, SF_DIR)
     sent = reports.limit(50).withColumn("payload", contracts.report_json(reports)).select("payload")
