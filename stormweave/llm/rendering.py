@@ -4,10 +4,11 @@ Markup becomes a tree with the implied tags an author may leave out (a new parag
 closes the open one), invisible parts are left out (head, scripts, styles, templates, `hidden`, `display: none`,
 `visibility: hidden`), and all other text is laid out: inline text flows with white space collapsed, blocks start
 new lines, paragraphs and headings keep a blank line around them, list items get a marker and an indent per level,
-table cells are padded to the width of their column, preformatted text stays as it is.
+table cells are padded to the width of their column (columns that a cell above takes by `rowspan` stay empty),
+preformatted text stays as it is. Option labels are lines; texts of drawings and the fallback of an object flow.
 
 Each page is rendered whole in its own row; no exchange, and one Arrow batch in memory. Parsing and rendering walk the
-tree without recursion, so deep nesting is no problem. Defined results: null and empty pages give an empty text,
+tree without recursion, tables in tables too, so deep nesting is no problem. Defined results: null and empty pages give an empty text,
 repeated rows are rendered one by one, an empty table gives an empty result, and only the key and the page are read.
 Broken markup never fails: a lone `<` is text, unknown tags are inline, end tags without a start are dropped.
 """
@@ -31,14 +32,15 @@ _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|colla
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())
 INVISIBLE = frozenset(
-    "head script style template noscript title meta link datalist audio video canvas iframe object svg select".split()
+    "head script style template noscript title meta link datalist audio video canvas iframe".split()
 )
 BLOCK = frozenset(
     "address article aside blockquote body center details dd dialog dir div dl dt fieldset figcaption figure footer form h1 "
-    "h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul caption tr".split()
+    "h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table ul caption "
+    "tr".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
-_CLOSES_P = BLOCK - {"html", "body", "caption", "tr"}
+_CLOSES_P = BLOCK - {"html", "body", "caption", "tr", "option", "optgroup"}
 _PARTS = frozenset(("thead", "tbody", "tfoot"))
 #: A start tag closes these open elements, searched upwards to the nearest boundary.
 IMPLIED = {
@@ -49,12 +51,18 @@ IMPLIED = {
     "td": (frozenset(("td", "th")), frozenset(("table", "tr"))),
     "th": (frozenset(("td", "th")), frozenset(("table", "tr"))),
     "option": (frozenset(("option",)), frozenset(("select", "datalist", "optgroup"))),
+    "optgroup": (frozenset(("optgroup",)), frozenset(("select", "datalist"))),
     **{part: (_PARTS | {"caption", "colgroup"}, frozenset(("table",))) for part in _PARTS},
 }
 #: An inline element that holds blocks or a paragraph that was left open ends where these open.
 _P_BOUNDARY = frozenset(("td", "th", "table", "button", "caption", "html", "body", "li", "dd", "blockquote", "div", "article"))
 
 
+#: Parts of a drawing that are not drawn where they stand. Columns of a table that cells of earlier rows are kept in.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker".split())
+COLUMNS = 1000
+
+
 class Element:
     """A node of the tree: its children are elements and texts in order."""
 
@@ -89,6 +97,8 @@ def build_tree(source: str) -> Element:
         rest = found[3]
         element = Element(tag, _attributes(rest) if rest.strip(" /") else {})
         open_[-1].children.append(element)
+        if tag in UNDRAWN and any(e.tag == "svg" for e in open_):
+            element.attributes["hidden"] = ""
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
             raw = source[at : end.start() if end else len(source)]
@@ -193,15 +203,18 @@ class Canvas:
         self.end_line()
         self.blank = self.blank or spaced
 
+    def text(self) -> str:
+        self.end_line()
+        return "\n".join(self.lines).strip("\n")
+
 
 def render(root: Element) -> str:
     """All visible text of a tree, laid out."""
-    canvas = Canvas()
-    # A frame per open element: its children still to come, and what to do at its end.
-    stack: list[tuple] = [(iter(root.children), None, False)]
-    lists: list[list] = []
+    page = Canvas()
+    # A frame per open element: its children still to come, what to do at its end, and where and how its text goes.
+    stack: list[tuple] = [(iter(root.children), None, False, page, [])]
     while stack:
-        children, leave, pre = stack[-1]
+        children, leave, pre, canvas, lists = stack[-1]
         node = next(children, None)
         if node is None:
             stack.pop()
@@ -211,8 +224,7 @@ def render(root: Element) -> str:
             canvas.verbatim(node) if pre else canvas.flow(node)
         elif visible(node):
             _enter(node, canvas, stack, lists, pre)
-    canvas.end_line()
-    return "\n".join(canvas.lines).strip("\n")
+    return page.text()
 
 
 def _enter(node: Element, canvas: Canvas, stack: list, lists: list, pre: bool) -> None:
@@ -226,15 +238,23 @@ def _enter(node: Element, canvas: Canvas, stack: list, lists: list, pre: bool) -
     if tag in ("img", "area") and node.attributes.get("alt"):
         canvas.flow(node.attributes["alt"])
         return
+    if tag == "option" and not any(not isinstance(c, str) or c.strip() for c in node.children) and node.attributes.get("label"):
+        canvas.block(False)
+        canvas.flow(node.attributes["label"])
+        canvas.end_line()
+        return
+    if tag == "optgroup" and node.attributes.get("label"):
+        canvas.block(False)
+        canvas.flow(node.attributes["label"])
     if tag == "table":
         canvas.block(True)
-        for line in _table(node):
-            canvas.now.append(line)
-            canvas.end_line()
-        canvas.block(True)
+        _table(node, canvas, stack)
         return
     if tag not in BLOCK:
-        stack.append((iter(node.children), None, pre))
+        # Texts of a drawing stand apart.
+        if tag == "text":
+            canvas.flow(" ")
+        stack.append((iter(node.children), (lambda: canvas.flow(" ")) if tag == "text" else None, pre, canvas, lists))
         return
     spaced = tag in SPACED and not (lists and tag in ("ul", "ol", "p"))
     canvas.block(spaced)
@@ -259,55 +279,93 @@ def _enter(node: Element, canvas: Canvas, stack: list, lists: list, pre: bool) -
             canvas.marker = "- "
     elif tag in ("dd", "blockquote"):
         canvas.indent += "  "
-    stack.append((iter(node.children), leave, pre or tag == "pre"))
+    stack.append((iter(node.children), leave, pre or tag == "pre", canvas, lists))
 
 
-def _table(table: Element) -> list[str]:
-    """Rows with each column padded to its widest cell; nested tables become the text of their cell."""
-    rows: list[list[tuple[str, int]]] = []
-    captions: list[str] = []
+def _table(table: Element, canvas: Canvas, stack: list) -> None:
+    """Put the parts of a table on the stack, each with a canvas of its own, and its lines on `canvas` at their end."""
+    # Cells with their columns and rows; None ends a group of rows, beyond which no cell reaches.
+    rows: list[list[tuple[Canvas, int, int]] | None] = []
+    captions: list[str | Canvas] = []
+    parts: list[tuple[Element, Canvas]] = []
+
+    def held(part: Element) -> Canvas:
+        parts.append((part, Canvas()))
+        return parts[-1][1]
+
     todo: list = [table]
     while todo:
         part = todo.pop()
-        if isinstance(part, str):
-            captions.append(" ".join(part.split()))
+        if part is None:
+            rows.append(None)
+        elif isinstance(part, str):
+            captions.append(part)
         elif part is table or part.tag in _PARTS:
-            todo += [c for c in reversed(part.children) if isinstance(c, str) or visible(c)]
+            ends = [] if part is table else [None]
+            todo += ends + [c for c in reversed(part.children) if isinstance(c, str) or visible(c)] + ends
         elif part.tag == "tr":
             cells = [c for c in part.children if not isinstance(c, str) and visible(c)]
-            rows.append([(" ".join(render(_holding(c)).split()), _span(c)) for c in cells])
-            captions += [" ".join(c.split()) for c in part.children if isinstance(c, str)]
+            rows.append([(held(c), _span(c), _span(c, "rowspan")) for c in cells])
+            captions += [c for c in part.children if isinstance(c, str)]
         elif part.tag in ("td", "th"):
-            rows.append([(" ".join(render(_holding(part)).split()), 1)])
+            rows.append([(held(part), 1, 1)])
         else:
-            captions.append(" ".join(render(_holding(part)).split()))
+            captions.append(held(part))
+
+    def leave() -> None:
+        for line in _aligned(rows, captions):
+            canvas.now.append(line)
+            canvas.end_line()
+        canvas.block(True)
+
+    stack.append((iter(()), leave, False, canvas, []))
+    # The stack takes its last frame first.
+    stack.extend((iter(part.children), None, False, own, []) for part, own in reversed(parts))
+
+
+def _aligned(rows: list, captions: list) -> list[str]:
+    """Rows with each column padded to its widest cell; nested tables become the text of their cell."""
+    # Columns that cells of earlier rows still take, with the rows to come; below 0 for all of the group. Columns from
+    # `COLUMNS` on are not kept aligned, so that a page of wild spans stays small.
+    taken: dict[int, int] = {}
+    placed: list[list[tuple[int, int, str]]] = []
     widths: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for text, span in row:
+        if row is None:
+            taken = {}
+            continue
+        at, line, fresh = 0, [], {}
+        for cell, span, down in row:
+            while at in taken:
+                at += 1
+            text = " ".join(cell.text().split())
+            line.append((at, span, text))
             if span == 1:
                 widths[at] = max(widths.get(at, 0), len(text))
+            if down != 1:
+                fresh |= dict.fromkeys(range(at, min(at + span, COLUMNS)), down - 1)
             at += span
-    lines = [c for c in captions if c]
-    for row in rows:
+        taken = {k: left - 1 for k, left in taken.items() if left != 1} | fresh
+        placed.append(line)
+    texts = (" ".join((c if isinstance(c, str) else c.text()).split()) for c in captions)
+    lines = [c for c in texts if c]
+    for row in placed:
         at, cells = 0, []
-        for text, span in row:
-            cells.append(text.ljust(sum(widths.get(k, 0) for k in range(at, min(at + span, at + 1000))) + 3 * (span - 1)))
-            at += span
-        if line := " | ".join(cells).rstrip():
-            lines.append(line)
+        for start, span, text in row:
+            # A column that a cell above takes stays empty here.
+            cells += ["".ljust(widths.get(k, 0)) for k in range(at, start)]
+            cells.append(text.ljust(sum(widths.get(k, 0) for k in range(start, start + span)) + 3 * (span - 1)))
+            at = start + span
+        if any(text for _, _, text in row):
+            lines.append(" | ".join(cells).rstrip())
     return lines
 
 
-def _span(cell: Element) -> int:
-    span = cell.attributes.get("colspan", "1")
-    return min(max(int(span), 1), 1000) if re.fullmatch(r"[0-9]{1,6}", span) else 1
-
-
-def _holding(element: Element) -> Element:
-    root = Element("#root", {})
-    root.children = element.children
-    return root
+def _span(cell: Element, of: str = "colspan") -> int:
+    span = cell.attributes.get(of, "1")
+    # A `rowspan` of 0 reaches to the end of the group.
+    least = 0 if of == "rowspan" else 1
+    return min(max(int(span), least), 65534 if of == "rowspan" else 1000) if re.fullmatch(r"[0-9]{1,6}", span) else 1
 
 
 def _first(root: Element, tag: str) -> str | None:

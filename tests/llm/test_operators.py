@@ -210,6 +210,23 @@ def test_rendering_of_odd_pages(spark):
     assert rendering.extract_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_rendering_of_options_drawings_and_objects():
+    page = """<p>Pick <select><option>red</option><option selected>dark blue<optgroup label=More><option>green<option label=grey></select>
+<svg><title>no</title><desc>no</desc><text>Axis</text><text>Label</text></svg><object data=x>fallback <b>text</b></object>"""
+    assert rendering.renderer()(page)[1].split("\n") == ["Pick", "red", "dark blue", "More", "green", "grey", "Axis Label fallback text"]
+
+
+def test_rendering_of_cells_over_rows():
+    page = "<table><tr><th rowspan=2>Name<td>a<td>1<tr><td>bbb<td>2<tr><td>last<td rowspan=0>c<td>3<tr><td>x<td>y</table>"
+    assert rendering.renderer()(page)[1].split("\n") == ["Name | a   | 1", "     | bbb | 2", "last | c   | 3", "x    |     | y"]
+    groups = "<table><tbody><tr><td rowspan=9>a<td>b</tbody><tbody><tr><td>c<td>d</table>"
+    assert rendering.renderer()(groups)[1].split("\n") == ["a | b", "c | d"]
+
+
+def test_rendering_of_tables_in_tables():
+    assert rendering.renderer()("<table><tr><td>in " * 3000 + "deep")[1].split() == ["in"] * 3000 + ["deep"]
+
+
 def test_rendering_keeps_all_visible_text(spark):
     import html
     from html.parser import HTMLParser
