@@ -325,6 +325,15 @@ def test_lines_generalise_variable_fields(spark, odd, none):
     assert lines.keep_fresh(none).count() == 0
 
 
+def test_lines_learn_word_fields(spark):
+    who, where, what = ("alice", "bob", "carol", "dave"), ("paris", "rome", "oslo", "bonn"), ("Sports", "News", "Arts", "Food")
+    recurring = [f"User {a} logged in today from host {b} again\nPosted by {a.title()} in {c}\n{a} wrote this comment {b}" for a, b, c in zip(who, where, what)]
+    texts = [f"{passage(k, 9)}\n{r}\n{passage(k + 50, 9)}" for k, r in enumerate(recurring)]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.kept_text for r in lines.digest(lines.drop_recurring(frame, 3)).collect()}
+    assert got == {0: texts[0], **{k: f"{passage(k, 9)}\n{passage(k + 50, 9)}" for k in (1, 2, 3)}}
+
+
 def test_lines_without_constants_match_by_their_text(spark):
     # Table rows, dates, lone ids and lines that start with variable fields differ in content, not in a field.
     texts = [f"201{k}\n{k} {k}5 {k}7\nhttps://x/a{k}\n{k}1 2{k} of {k}3\n7{k} 8{k} share one tail here\nsame 1 2 3\nvote {k} up" for k in range(4)]
