@@ -1,10 +1,10 @@
-"""Operator 4, n-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""Operator 4, n-gram Jaccard join by banded MinHash, in place of an LSH forest, with exact verification.
 
 Texts are sets of 5-word shingles. Texts with the same set are folded first, so copies are one node with a count.
-Each node gets `TREES` MinHash label sequences; a tree of the forest is the trie of one sequence, sorted by prefix. Two
-nodes with similarity s share a prefix of length d in a tree with chance s^d. Matching starts at the longest prefixes
-and shortens them until pairs at the threshold meet in at least one tree with the target recall; the nodes under one
-prefix are a bucket.
+Each node gets `TREES` MinHash label sequences. Two nodes with similarity s share a prefix of length d in a sequence with
+chance s^d. The longest prefix at which pairs at the threshold meet in at least one sequence with the target recall is
+computed once per run, and only its labels are made; the nodes with one prefix, met by equality, are a bucket. There are no tries:
+the threshold is fixed, and pairs that longer prefixes would find share this one too.
 
 A bucket's nodes are compared by 64-byte sketches, in blocks: a bucket of any size is cut into square cells of bounded
 size, and a cell emits no pairs but a spanning forest of its similar nodes. Connected nodes form candidate groups.
