@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stormweave.llm import classifier, licences, lines, mixing, nearjoin, oracles, pii, quality, rendering, suffixes, tiling
+from stormweave.llm import classifier, licences, lines, mixing, nearjoin, oracles, pii, quality, rendering, secrets, suffixes, tiling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +86,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.extract_text(table(spark, sf_dir, "pages"))
 
 
+@query("op13_credential_links")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
