@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stormweave.llm import classifier, licences, lines, mixing, nearjoin, oracles, pii, quality, rendering, secrets, suffixes, tiling
+from stormweave.llm import centroids, classifier, licences, lines, mixing, nearjoin, oracles, pii, quality, rendering, secrets, suffixes, tiling, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,7 +86,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.extract_text(table(spark, sf_dir, "pages"))
 
 
-@query("op13_credential_links")
+@query("op11_ptolemaic_pivots", oracles.CENTROIDS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+@query("op12_block_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_credential_links", oracles.SECRETS)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 

@@ -48,6 +48,10 @@ PATTERNS = {
     "opaque": r"([A-Za-z0-9+/_=-]{20,})",
     "endpoint": rf"((?i:{_SCHEME})://[^\x00-\x20\x22\x27<>]+|(?i:{_HOST_KEY}){_GLUE}[A-Za-z0-9._:/-]{{3,}})",
 }
+#: A value of twelve characters or more after a strong key, which is the base's to report.
+LONG_VALUE = rf"(?i:{_STRONG_KEY}){_GLUE}[A-Za-z0-9+/_.=-]{{12,}}"
+#: What makes the token after it a named value, reported with its name if at all.
+NAMED = rf"(?i:{_STRONG_KEY}|{_WEAK_KEY}|{_NAME_KEY}){_GLUE}"
 #: Fixed strings, of which every text with a match of the kind holds one (in lower case, but for access identifiers).
 _MAY_HOLD = {
     "assign": ("passw", "secret", "token", "apikey", "api_key"),
@@ -109,10 +113,10 @@ def _accepts(kind: str, before: Column, whole: Column) -> Column:
     if kind in ("identifier", "endpoint"):
         return ~before.rlike(r"[A-Za-z0-9_]\z")
     if kind == "phrase":
-        strong = whole.rlike(rf"^(?i:{_STRONG_KEY}){_GLUE}[A-Za-z0-9+/_.=-]{{12,}}")
+        strong = whole.rlike(f"^{LONG_VALUE}")
         return ~before.rlike(r"[A-Za-z0-9]\z") & ~strong
     if kind == "opaque":
-        named = before.rlike(rf"(?i:{_STRONG_KEY}|{_WEAK_KEY}|{_NAME_KEY}){_GLUE}\z")
+        named = before.rlike(rf"{NAMED}\z")
         return whole.rlike("[A-Z]") & whole.rlike("[a-z]") & whole.rlike("[0-9]") & ~named
     return F.lit(True)
 
