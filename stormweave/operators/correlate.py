@@ -10,12 +10,15 @@ opens an incident. Three facts make it a distributed job with the same outcome:
   bucket row per window of time.
 * An incident is open exactly until the latest end of its runs plus the window, and a (cell, category) has at
   most one open incident. So replaying runs needs one small record per (cell, category).
-* A run depends only on earlier runs within `2k` cells. So runs are replayed per square tile of cells with a
-  halo of neighbours around it. If every tile saw its neighbours decide as their owners did, all decisions are
-  those of the sequential rule; tiles that did not are replayed with their neighbours' decisions given, until
-  nothing changes.
-
-Rows are streamed through a tile in time order, so memory is bounded by the cells of a tile, not by its rows.
+* A run depends only on earlier runs within `2k` cells whose incidents may still be open. So runs are replayed per
+  block, a square tile of cells and a slice of time, with a halo of neighbours around it and, before it, the runs that
+  reach into the slice or end shortly before it. If every block saw the runs of other blocks decided as their owners
+  decided them, all decisions are those of the sequential rule; blocks that did not are replayed with their
+  neighbours' decisions given, until nothing changes. An incident that stays open over many slices hands its opener on
+  from slice to slice, one round each; everything else agrees at once.
+
+Rows are streamed through a block in time order, so memory is bounded by the cells of a tile, not by its rows, and the
+history of a busy tile is spread over as many tasks as it has slices.
 """
 
 from __future__ import annotations
@@ -32,15 +35,23 @@ from stormweave.functions import identity, text
 from stormweave.functions.spatial import GRID, HexGrid, axial_q, axial_r, ring_offsets
 from stormweave.session import materialize
 
+#: A block's slice of time, and how long before it runs are replayed with it: a few times the window.
+SLICE_HOURS, HALO_HOURS = 336.0, 24.0
+
 _SEQ_SPAN = 10**19
-_RUN = ["cell", "category_no", "run_us"]
+#: Columns that correlation never reads and that are large.
+HEAVY = ("text", "raw_payload", "media_items")
+#: Reports with different values of `_apart` never meet; 0 for all unless a caller asks for it.
+_PLACE = ["_apart", "cell", "category_no"]
+_RUN = [*_PLACE, "run_us"]
 _LEADER = ["lead_cell", "lead_category_no", "lead_us", "lead_seq"]
 
 
 def with_features(reports: DataFrame, grid: HexGrid = GRID) -> DataFrame:
     """Add `event_category`, `is_negated`, `cell` and a non-negative `seq` that breaks ties in time.
 
-    Columns already present are kept, so observations with numeric readings can bring their own.
+    Columns already present are kept, so observations with numeric readings can bring their own; reports whose text has
+    been dropped must bring what is read from it.
     """
     wanted: dict[str, Column] = {
         "event_category": text.event_category(F.col("text")),
@@ -52,7 +63,7 @@ def with_features(reports: DataFrame, grid: HexGrid = GRID) -> DataFrame:
     for name, column in wanted.items():
         if name not in reports.columns:
             added[name] = column
-        elif name != "seq":
+        elif name != "seq" and (name == "cell" or "text" in reports.columns):
             added[name] = F.coalesce(F.col(name), column)
     return reports.withColumns(added)
 
@@ -77,6 +88,13 @@ def drop_leading_negations(featured: DataFrame) -> DataFrame:
     return featured.filter(_order_key(F.col("timestamp"), F.col("seq")) >= first)
 
 
+def _drop_leading_negations_apart(slim: DataFrame) -> DataFrame:
+    """`drop_leading_negations` among the reports of each value of `_apart`."""
+    key = _order_key(F.col("timestamp"), F.col("seq"))
+    first = slim.filter(~F.col("is_negated")).groupBy("_apart").agg(F.min(key).alias("_first"))
+    return slim.join(first, "_apart").filter(key >= F.col("_first")).drop("_first")
+
+
 def _micros(window_hours: float) -> int:
     return round(window_hours * 3_600_000_000)
 
@@ -143,62 +161,62 @@ def number_sessions(rows: DataFrame, keys: list[str], window_hours: float = 6.0)
 # --- exact first-match rule ---------------------------------------------------------------------------------
 
 
+_BLOCK = ["tile", "slice", "_apart"]
+_GIVEN = {"given_cell": -1, "given_category_no": -1, "given_us": -1, "given_seq": -1}
+
+
 def _replay(k: int, span: int, accepts: dict[int, tuple[int, ...]], categories: int):
-    """Streaming replay of runs sorted by (tile, time); the state is one record per (cell, category)."""
+    """Streaming replay of runs sorted by (block, time); the state is one record per (cell, category)."""
     offsets = ring_offsets(k)
     # For each report category, the incident categories that accept it.
     takers = {c: [i for i in range(1, categories + 1) if c in accepts.get(i, (i,))] for c in range(1, categories + 1)}
-    columns = ["tile", "cell", "category_no", "run_us", "run_seq", "run_end_us", "given_cell", "given_category_no", "given_us"]
+    columns = [*_BLOCK, "cell", "category_no", "run_us", "run_seq", "run_end_us", "is_given", *_GIVEN]
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tile_now = None
+        block_now = None
         state: dict[tuple[int, int], list] = {}
         for batch in batches:
             decided: list[tuple[int, int, int, int]] = []
-            for tile, cell, category, start, seq, end, g_cell, g_cat, g_us in zip(
+            for *block, cell, category, start, seq, end, given, g_cell, g_cat, g_us, g_seq in zip(
                 *(batch[c].tolist() for c in columns), strict=True
             ):
-                if tile != tile_now:
-                    tile_now, state = tile, {}
-                mine = (start, seq, cell, category)
-                best = None
-                if g_us >= 0:
-                    # A neighbour tile's run: take its owner's decision as it is.
-                    if (g_us, g_cell, g_cat) == (start, cell, category):
-                        best = None
-                    else:
-                        record = state.get((g_cell, g_cat))
-                        if record is None or record[0][0] != g_us:
-                            decided.append((g_us, -1, g_cell, g_cat))
-                            continue
-                        best = record
+                if block != block_now:
+                    block_now, state = block, {}
+                if given:
+                    # The owner's decision, whose opener may lie outside what this block sees.
+                    key, opener = (g_cell, g_cat), (g_us, g_seq, g_cell, g_cat)
+                    best = state.get(key)
+                    if best is None or best[0] != opener:
+                        best = state[key] = [opener, end]
                 else:
+                    best = None
                     for offset in offsets:
                         for taker in takers[category]:
                             record = state.get((cell + offset, taker))
                             if record is not None and start - record[1] <= span and (best is None or record[0] < best[0]):
                                 best = record
-                if best is None:
-                    state[(cell, category)] = [mine, end]
-                    decided.append(mine)
-                else:
-                    if end > best[1]:
-                        best[1] = end
-                    decided.append(best[0])
-            out = batch[["tile", "owned", "near", "cell", "category_no", "run_us", "run_seq", "run_end_us"]].copy()
+                    if best is None:
+                        best = state[(cell, category)] = [(start, seq, cell, category), end]
+                if end > best[1]:
+                    best[1] = end
+                decided.append(best[0])
+            out = batch[[*_BLOCK, "owned", "near", "cell", "category_no", "run_us", "run_seq", "run_end_us"]].copy()
             for position, name in enumerate(("lead_us", "lead_seq", "lead_cell", "lead_category_no")):
                 out[name] = [d[position] for d in decided]
             yield out
 
     schema = (
-        "tile long, owned boolean, near boolean, cell long, category_no int, run_us long, run_seq long,"
+        "tile long, slice long, _apart long, owned boolean, near boolean, cell long, category_no int, run_us long, run_seq long,"
         " run_end_us long, lead_us long, lead_seq long, lead_cell long, lead_category_no int"
     )
     return decide, schema
 
 
-def _tiled(runs: DataFrame, k: int, tile_cells: int, halo_cells: int) -> DataFrame:
-    """Runs copied to their own tile and to every tile whose halo they lie in."""
+def _placed(runs: DataFrame, k: int, tile_cells: int, halo_cells: int, span: int, slice_us: int, halo_us: int) -> DataFrame:
+    """Runs copied to their own block, to every tile whose halo they lie in and to the slices they can still matter in.
+
+    `near` marks the copies a block's own decisions may depend on; the others only help it to see those right.
+    """
     q, r = axial_q(F.col("cell")), axial_r(F.col("cell"))
 
     def tiles(axis: Column) -> Column:
@@ -210,16 +228,21 @@ def _tiled(runs: DataFrame, k: int, tile_cells: int, halo_cells: int) -> DataFra
         low = tile * tile_cells
         return F.greatest(low - axis, axis - (low + tile_cells - 1), F.lit(0))
 
+    own = F.floor(F.col("run_us") / F.lit(slice_us))
+    last = F.floor((F.col("run_end_us") + span + halo_us) / F.lit(slice_us))
     placed = (
         runs.withColumn("tq", F.explode(tiles(q)))
         .withColumn("tr", F.explode(tiles(r)))
         .withColumn("depth", F.greatest(outside(q, F.col("tq")), outside(r, F.col("tr"))))
+        .withColumn("slice", F.explode(F.sequence(own, last)))
     )
+    reaches = F.col("run_end_us") + span >= F.col("slice") * slice_us
     return placed.select(
         *runs.columns,
         (F.col("tq") * F.lit(1 << 24) + F.col("tr")).alias("tile"),
-        (F.col("depth") == 0).alias("owned"),
-        (F.col("depth") <= 2 * k).alias("near"),
+        "slice",
+        ((F.col("depth") == 0) & (F.col("slice") == own)).alias("owned"),
+        ((F.col("depth") <= 2 * k) & reaches).alias("near"),
     )
 
 
@@ -231,6 +254,8 @@ def assign_runs(
     k: int,
     tile_cells: int,
     halo_cells: int,
+    slice_hours: float = SLICE_HOURS,
+    halo_hours: float = HALO_HOURS,
 ) -> DataFrame:
     """Each run with the run that opened its incident (itself for an opener); `fixed` runs open their own."""
     if halo_cells < 2 * k:
@@ -239,60 +264,40 @@ def assign_runs(
     accepts = {
         number[c]: tuple(number[a] for a in accepted if a in number) for c, accepted in compatible.items() if c in number
     }
-    decide, schema = _replay(k, _micros(window_hours), accepts, len(categories))
-    placed = _tiled(runs, k, tile_cells, halo_cells)
+    span = _micros(window_hours)
+    decide, schema = _replay(k, span, accepts, len(categories))
+    placed = _placed(runs, k, tile_cells, halo_cells, span, _micros(slice_hours), _micros(halo_hours))
 
     def replay(rows: DataFrame, label: str) -> DataFrame:
-        in_order = rows.repartition("tile").sortWithinPartitions("tile", "run_us", "run_seq")
+        in_order = rows.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "run_us", "run_seq")
         return materialize(in_order.mapInPandas(decide, schema), label)
 
-    no_decision = {
-        "given_cell": F.lit(-1).cast("bigint"),
-        "given_category_no": F.lit(-1),
-        "given_us": F.lit(-1).cast("bigint"),
-    }
     # Open incidents of earlier batches are runs that are known to have opened their own incident.
-    own_key = dict(zip(no_decision, _RUN, strict=True))
-    seen = replay(
-        placed.withColumns({c: F.when(F.col("fixed"), F.col(own_key[c])).otherwise(no) for c, no in no_decision.items()}),
-        "replay-0",
-    )
+    own_key = dict(zip(_GIVEN, [*_RUN[1:], "run_seq"], strict=True))
+    first = {c: F.when(F.col("fixed"), F.col(own_key[c])).otherwise(F.lit(no)) for c, no in _GIVEN.items()}
+    seen = replay(placed.withColumns({"is_given": F.col("fixed"), **first}), "replay-0")
     owner = seen.filter("owned").select(*_RUN, "run_seq", "run_end_us", *_LEADER)
 
-    def disagreeing(views: DataFrame, owners: DataFrame) -> DataFrame:
-        """Tiles that hold another decision than the owner for a run near enough to matter."""
-        ours = owners.select(*_RUN, *[F.col(c).alias(f"own_{c}") for c in _LEADER[:3]])
-        same = F.lit(True)
-        for c in _LEADER[:3]:
-            same = same & (F.col(c) == F.col(f"own_{c}"))
-        return views.filter("near and not owned").join(ours, _RUN).filter(~same).select("tile").distinct()
+    def differs(a: str, b: str) -> Column:
+        return (F.struct(*[f"{a}{c}" for c in _LEADER]) != F.struct(*[f"{b}{c}" for c in _LEADER]))
 
-    stale = disagreeing(seen, owner)
+    ours = owner.select(*_RUN, *[F.col(c).alias(f"own_{c}") for c in _LEADER])
+    stale = seen.filter("near and not owned").join(ours, _RUN).filter(differs("", "own_")).select(*_BLOCK).distinct()
     round_no = 0
     while not stale.isEmpty():
         round_no += 1
-        given = owner.select(
-            *_RUN,
-            F.col("lead_cell").alias("given_cell"),
-            F.col("lead_category_no").alias("given_category_no"),
-            F.col("lead_us").alias("given_us"),
-        )
-        again = placed.join(stale, "tile", "left_semi").join(given, _RUN)
-        for name, nothing in no_decision.items():
-            again = again.withColumn(name, F.when(F.col("owned") & ~F.col("fixed"), nothing).otherwise(F.col(name)))
+        given = owner.select(*_RUN, *[F.col(c).alias(g) for c, g in zip(_LEADER, _GIVEN, strict=True)])
+        again = placed.join(stale, _BLOCK, "left_semi").join(given, _RUN).withColumn("is_given", ~F.col("owned") | F.col("fixed"))
         seen = replay(again, f"replay-{round_no}")
         fresh = seen.filter("owned").select(*_RUN, "run_seq", "run_end_us", *_LEADER)
-        previous = owner.select(*_RUN, *[F.col(c).alias(f"old_{c}") for c in _LEADER[:3]])
-        moved = F.lit(False)
-        for c in _LEADER[:3]:
-            moved = moved | (F.col(c) != F.col(f"old_{c}"))
-        changed = fresh.join(previous, _RUN).filter(moved).select(*_RUN)
-        changed = materialize(changed, f"changed-{round_no}")
-        owner = materialize(
-            owner.join(fresh.select(*_RUN), _RUN, "left_anti").unionByName(fresh), f"owner-{round_no}"
-        )
-        # A tile must be replayed again when a run in its near halo got another decision in this round.
-        stale = placed.filter("near and not owned").join(changed, _RUN, "left_semi").select("tile").distinct()
+        previous = owner.select(*_RUN, *[F.col(c).alias(f"old_{c}") for c in _LEADER])
+        changed = fresh.join(previous, _RUN).filter(differs("", "old_"))
+        changed = materialize(changed.select(*_RUN, "run_seq", "run_end_us", *_LEADER), f"changed-{round_no}")
+        if changed.isEmpty():
+            break
+        owner = materialize(owner.join(changed.select(*_RUN), _RUN, "left_anti").unionByName(changed), f"owner-{round_no}")
+        # A block must be replayed again when a run that matters to it got another decision in this round.
+        stale = placed.filter("near and not owned").join(changed.select(*_RUN), _RUN, "left_semi").select(*_BLOCK).distinct()
     return owner
 
 
@@ -307,26 +312,42 @@ def correlate_exact(
     halo_cells: int | None = None,
     id_chars: int = 12,
     open_incidents: DataFrame | None = None,
+    slice_hours: float = SLICE_HOURS,
+    halo_hours: float = HALO_HOURS,
+    apart: str | None = None,
 ) -> DataFrame:
     """Reports that belong to an incident, with `incident_id`, `incident_category` and `opens`.
 
+    Reports that differ in the column `apart` are correlated as if they came in batches of their own (values are told
+    apart by a 64-bit hash). Incidents of two batches may have one id; the first report of them all then opens it.
+
     `open_incidents` (`incident_id`, `event_category`, `cells` with the seed cell first, `first_reported_at`,
     `last_updated_at`) may be joined like incidents of this batch; nothing is then dropped as a leading negation.
 
-    Report ids must be unique (see `dedup.keep_first`). Runs jobs when called: the compact columns, the runs and
-    their decisions are written to the shared folder; the full report rows are read once more for the result.
+    Report ids must be unique (see `dedup.keep_first`). Runs jobs when called: the features are written to the shared
+    folder with all columns but the heavy ones (HEAVY), and members are made of those; only callers that pass heavy
+    columns in have them joined to the result by report id.
     """
     categories = [*taxonomy, rules.OTHER]
     featured = with_features(reports, grid)
-    compact = materialize(
-        featured.select("report_id", "timestamp", "seq", "cell", "event_category", "is_negated"), "features"
-    )
-    kept = drop_leading_negations(compact) if open_incidents is None else compact
-    membership = assign_reports(
+    part = F.lit(0).cast("bigint") if apart is None else F.xxhash64(apart)
+    slim = materialize(featured.drop(*HEAVY).withColumn("_apart", part), "features")
+    if open_incidents is not None:
+        kept = slim
+    else:
+        kept = drop_leading_negations(slim) if apart is None else _drop_leading_negations_apart(slim)
+    members = assign_reports(
         kept.withColumn("category_no", _category_number(F.col("event_category"), categories)),
-        categories, compatible, window_hours, k, tile_cells, 2 * k + 6 if halo_cells is None else halo_cells, id_chars, open_incidents,
+        categories, compatible, window_hours, k, tile_cells, 2 * k + 6 if halo_cells is None else halo_cells, id_chars,
+        open_incidents, slice_hours, halo_hours,
     )
-    return featured.join(membership, "report_id")
+    if apart is not None:
+        first = F.min(F.when(F.col("opens"), _order_key(F.col("timestamp"), F.col("seq")))).alias("_first")
+        opener = members.groupBy("incident_id").agg(first)
+        opens = F.col("opens") & (_order_key(F.col("timestamp"), F.col("seq")) == F.col("_first"))
+        members = members.join(opener, "incident_id").withColumn("opens", opens).drop("_first")
+    heavy = [c for c in HEAVY if c in reports.columns]
+    return members.join(reports.select("report_id", *heavy), "report_id") if heavy else members
 
 
 def assign_reports(
@@ -339,14 +360,18 @@ def assign_reports(
     halo_cells: int,
     id_chars: int = 12,
     open_incidents: DataFrame | None = None,
+    slice_hours: float = SLICE_HOURS,
+    halo_hours: float = HALO_HOURS,
 ) -> DataFrame:
-    """(report_id, incident_id, incident_category, opens) for compact feature rows with a category number."""
+    """The rows of `kept`, which have a category number, with their incident's id and category and whether they open it."""
+    columns = [c for c in kept.columns if c not in ("category_no", "_apart")]
     located = kept.filter(F.col("cell").isNotNull())
-    buckets = materialize(session_buckets(located, ["cell", "category_no"], window_hours), "buckets")
+    buckets = materialize(session_buckets(located, _PLACE, window_hours), "buckets")
     runs = buckets.groupBy(*_RUN).agg(F.max("run_seq").alias("run_seq"), F.max("run_end_us").alias("run_end_us"))
     runs = runs.withColumn("fixed", F.lit(False))
     if open_incidents is not None:
         earlier = open_incidents.filter(F.size("cells") > 0).select(
+            F.lit(0).cast("bigint").alias("_apart"),
             F.get("cells", 0).alias("cell"),
             _category_number(F.col("event_category"), categories).alias("category_no"),
             F.unix_micros("first_reported_at").alias("run_us"),
@@ -356,7 +381,7 @@ def assign_reports(
             "incident_id",
         )
         runs = runs.unionByName(earlier.drop("incident_id"))
-    owner = assign_runs(runs, categories, compatible, window_hours, k, tile_cells, halo_cells)
+    owner = assign_runs(runs, categories, compatible, window_hours, k, tile_cells, halo_cells, slice_hours, halo_hours)
     led = buckets.select(*_RUN, "bucket").join(owner.select(*_RUN, *_LEADER), _RUN).drop("run_us")
     names = F.array(*[F.lit(c) for c in categories])
     category = F.element_at(names, F.col("lead_category_no"))
@@ -369,19 +394,21 @@ def assign_reports(
         )
         led = led.join(known, _LEADER, "left")
         made_id = F.coalesce("known_id", made_id)
+    # Named once per bucket, not once per report.
+    led = led.withColumns({"incident_id": made_id, "incident_category": category})
     in_cells = (
         located.withColumn("bucket", F.floor(F.unix_micros("timestamp") / F.lit(_micros(window_hours))))
-        .join(led, ["cell", "category_no", "bucket"])
+        .join(led, [*_PLACE, "bucket"])
         .select(
-            "report_id",
-            made_id.alias("incident_id"),
-            category.alias("incident_category"),
+            *columns,
+            "incident_id",
+            "incident_category",
             ((F.unix_micros("timestamp") == F.col("lead_us")) & (F.col("seq") == F.col("lead_seq"))).alias("opens"),
         )
     )
     # Without a cell nothing ever matches: every report is an incident of its own, told apart by its id.
     alone = kept.filter(F.col("cell").isNull()).select(
-        "report_id",
+        *columns,
         identity.incident_id(
             F.col("event_category"), F.concat_ws("_", F.lit("None"), "report_id"), F.col("timestamp"), id_chars
         ).alias("incident_id"),

@@ -87,17 +87,22 @@ def _split_crowded(keyed: DataFrame, layout: list, chosen: list, max_distance: i
 
 
 def hamming_pairs(
-    hashes: DataFrame, column: str = "hash", max_distance: int = 5, bands: int = 8, crowd: int = 1_000
+    hashes: DataFrame, column: str = "hash", max_distance: int = 5, bands: int | None = None, crowd: int = 1_000
 ) -> DataFrame:
     """Pairs of distinct hash values within the distance: (hash_a, hash_b, distance), hash_a < hash_b.
 
     Exact by the pigeonhole principle: with `b` bands and at most `d` differing bits, some `b - d` bands are
     equal, so hashes meet in a bucket of that band combination: a hash is copied C(b, d) times, 56 with 8 bands, and a
-    key has 64 (b - d) / b bits. More bands suit more distinct hashes: 8 for some millions, 10 for billions. Members
-    of buckets with more than `crowd` values get longer keys, which changes no pair. Copies of a value are folded before pairing and come back with `copies_of`, so a much-copied image
-    costs one row.
+    key has 64 (b - d) / b bits. More bands suit more distinct hashes; by default their number follows from the number of
+    hashes, so that a bucket of evenly spread ones holds a few. Members of buckets with more than `crowd` values get
+    longer keys, which changes no pair. Copies of a value are folded before pairing and come back with `copies_of`, so a
+    much-copied image costs one row. A dense cluster has as many pairs as it has: `hash_classes` lists none.
     """
     values = materialize(hashes.select(F.col(column).alias("hash")).filter("hash is not null").distinct(), "hashes")
+    if bands is None:
+        n, bands = values.count(), max_distance + 1
+        while n > 16 * 2 ** (HASH_BITS * (bands - max_distance) // bands) and bands < 2 * max_distance + 2:
+            bands += 1
     layout = _bands(bands)
     chosen = list(combinations(range(bands), bands - max_distance))
     keys = [
@@ -119,6 +124,78 @@ def hamming_pairs(
     )
 
 
+#: Bit groups of each level of `hash_classes`: bits dealt round in strides, so that levels cut across each other.
+_STRIDES = (1, 9, 17, 27, 39, 51, 59, 5, 13, 23)
+
+
+def _groups_of_bits(level: int, pieces: int) -> list[list[tuple[int, int]]]:
+    dealt = [(_STRIDES[level] * i + level) % HASH_BITS for i in range(HASH_BITS)]
+    size = HASH_BITS / pieces
+    return [[(bit, 1) for bit in dealt[round(g * size) : round((g + 1) * size)]] for g in range(pieces)]
+
+
+def _split(rows: DataFrame, level: int, radius: int) -> DataFrame:
+    """Rows once per group of bits of the level, with the group's bits added to their bucket.
+
+    Two values with at most `radius` differing bits are equal in one of `radius + 1` groups, so they meet again.
+    """
+    parts = [
+        F.struct((F.col("path") * (radius + 1) + g).alias("path"), F.xxhash64("bits", F.lit(g), _masked(bits)).alias("bits"))
+        for g, bits in enumerate(_groups_of_bits(level, radius + 1))
+    ]
+    return rows.select("hash", "label", F.explode(F.array(*parts)).alias("part")).select("hash", "label", "part.*")
+
+
+def _mixed(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of buckets that hold more than one class so far, with the size of the bucket."""
+    sizes = rows.groupBy("path", "bits").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+    several = sizes.filter("low <> high").select("path", "bits", "size")
+    return materialize(rows.join(several, ["path", "bits"]), name)
+
+
+def _linked(labels: DataFrame, radius: int, crowd: int) -> DataFrame:
+    """`labels` (hash, label) with the classes joined that have values within the radius of each other."""
+    rows = labels.withColumns({"path": F.lit(0).cast("bigint"), "bits": F.lit(0).cast("bigint")})
+    links = []
+    for level in range(len(_STRIDES)):
+        rows = _mixed(_split(rows, level, radius), f"buckets-{radius}-{level}")
+        last = level == len(_STRIDES) - 1
+        near = rows if last else rows.filter(F.col("size") <= crowd)
+        other = near.select("path", "bits", F.col("hash").alias("hash_b"), F.col("label").alias("label_b"))
+        close = (F.col("label") < F.col("label_b")) & (hamming(F.col("hash"), F.col("hash_b")) <= radius)
+        links.append(near.join(other, ["path", "bits"]).filter(close).select(F.col("label").alias("a"), F.col("label_b").alias("b")).distinct())
+        rows = rows.filter(F.col("size") > crowd)
+        if last or rows.isEmpty():
+            break
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    every = materialize(every, f"links-{radius}")
+    nodes = every.select(F.col("a").alias("node")).unionByName(every.select(F.col("b").alias("node")))
+    joined = connected_groups(nodes, every).withColumnsRenamed({"node": "label", "group": "joined"})
+    return labels.join(joined, "label", "left").select("hash", F.coalesce("joined", "label").alias("label"))
+
+
+def hash_classes(hashes: DataFrame, column: str = "hash", max_distance: int = 5, crowd: int = 256) -> DataFrame:
+    """(hash, class_id, copies): values connected by steps of at most `max_distance` bits share a class.
+
+    The class is the smallest of its values. Buckets by groups of bits, as in `hamming_pairs`, but a bucket whose values
+    are in one class already is dropped, and a crowded one is cut by further groups of bits. Where crowds exist, classes
+    are first joined at smaller radii: values that crowd within a few bits have much closer neighbours among each other,
+    so by the time the full radius is looked at they are one class and their buckets are gone. No pairs are listed.
+    """
+    counted = hashes.select(F.col(column).alias("hash")).filter("hash is not null").groupBy("hash").agg(F.count("*").alias("copies"))
+    values = materialize(counted, "hash-values")
+    labels = values.select("hash", F.col("hash").alias("label"))
+    start = labels.withColumns({"path": F.lit(0).cast("bigint"), "bits": F.lit(0).cast("bigint")})
+    crowded = _split(start, 0, max_distance).groupBy("path", "bits").count().filter(F.col("count") > crowd)
+    if not crowded.isEmpty():
+        for radius in range(1, max_distance):
+            labels = materialize(_linked(labels, radius, crowd), f"labels-{radius}")
+    found = _linked(labels, max_distance, crowd)
+    return values.join(found, "hash").select("hash", F.col("label").alias("class_id"), "copies")
+
+
 def copies_of(hashes: DataFrame, column: str = "hash") -> DataFrame:
     """Hash values that occur more than once, with the number of copies."""
     return hashes.groupBy(F.col(column).alias("hash")).agg(F.count("*").alias("copies")).filter("copies > 1")
@@ -235,37 +312,70 @@ def connected_groups(nodes: DataFrame, edges: DataFrame, node: str = "node") ->
             return labels
 
 
+def _islands(covered: DataFrame, place: list[str], span: int) -> tuple[DataFrame, DataFrame]:
+    """Islands of each place, and which of them each row of `covered` is in.
+
+    An island is a stretch of time in which some incident of the place is open or was within the last `span`. Rows of
+    one bucket of that width belong together anyway, so a hot place is first reduced to its buckets, by an aggregate
+    with map-side combine, and only those are swept in order of time against the running maximum of their ends.
+    """
+    keyed = covered.withColumn("bucket", F.floor(F.col("first_us") / F.lit(span)))
+    buckets = keyed.groupBy(*place, "bucket").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+    order = Window.partitionBy(*place).orderBy("bucket")
+    so_far = F.max("last_us").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.coalesce(F.col("first_us") > so_far + F.lit(span), F.lit(True))
+    numbered = buckets.withColumn("start_us", F.max(F.when(starts, F.col("first_us"))).over(order))
+    # No incident id sorts behind this name, so a group is named by an incident.
+    name = F.concat_ws(":", F.lit("\U0010ffff"), *[F.col(c).cast("string") for c in [*place, "start_us"]])
+    named = materialize(numbered.withColumn("island", name).select(*place, "bucket", "start_us", "last_us", "island"), "island-buckets")
+    islands = named.groupBy(*place, "island", "start_us").agg(F.max("last_us").alias("end_us"))
+    return islands, keyed.join(named.select(*place, "bucket", "island"), [*place, "bucket"])
+
+
+def _island_links(islands: DataFrame, kind: list[str], span: int, k: int) -> DataFrame:
+    """Pairs (a, b) of islands of neighbouring cells that overlap.
+
+    For each pair of cells the islands of both are swept together. Islands of one cell are disjoint, so an island can
+    only overlap the last one of the other cell that began before it, or ones that begin later and find it themselves.
+    """
+    around = islands.withColumn("near", F.explode(k_ring(F.col("cell"), k))).filter("near <> cell")
+    sides = around.select(
+        *kind, F.least("cell", "near").alias("low"), F.greatest("cell", "near").alias("high"),
+        (F.col("cell") < F.col("near")).alias("is_low"), "island", "start_us", "end_us",
+    )
+    before = Window.partitionBy(*kind, "low", "high").orderBy("start_us", "is_low").rowsBetween(Window.unboundedPreceding, -1)
+    here = F.struct("island", "end_us")
+
+    def last(side: Column) -> Column:
+        return F.last(F.when(side, here), ignorenulls=True).over(before)
+
+    other = F.when(F.col("is_low"), last(~F.col("is_low"))).otherwise(last(F.col("is_low")))
+    swept = sides.withColumn("other", other).filter(F.col("other.end_us") + F.lit(span) >= F.col("start_us"))
+    return swept.select(F.col("island").alias("a"), F.col("other.island").alias("b"))
+
+
+def touching_links(incidents: DataFrame, window_hours: float = 6.0, k: int = 1, same_category: bool = True) -> DataFrame:
+    """Links (a, b) that connect incidents whose covered cells touch while both are open.
+
+    Incidents are linked to the islands of their cells, and islands of neighbouring cells to each other: a link per
+    incident and covered cell, and at most one per island and neighbouring cell, however many incidents are open at once.
+    """
+    span = round(window_hours * 3_600_000_000)
+    kind = ["event_category"] if same_category else []
+    covered = incidents.select(
+        "incident_id", *kind, F.unix_micros("first_reported_at").alias("first_us"),
+        F.unix_micros("last_updated_at").alias("last_us"), F.explode(F.array_distinct("cells")).alias("cell"),
+    )
+    islands, placed = _islands(covered, [*kind, "cell"], span)
+    of_incidents = placed.select(F.col("incident_id").alias("a"), F.col("island").alias("b"))
+    return of_incidents.unionByName(_island_links(islands, kind, span, k))
+
+
 def touching_incidents(
     incidents: DataFrame, window_hours: float = 6.0, k: int = 1, same_category: bool = True
 ) -> DataFrame:
     """Group incidents whose covered cells touch while both are open: (incident_id, group)."""
-    span = round(window_hours * 3_600_000_000)
-    first, last = F.unix_micros("first_reported_at"), F.unix_micros("last_updated_at")
-    covered = incidents.select(
-        "incident_id", "event_category", first.alias("first_us"), last.alias("last_us"), F.explode("cells").alias("cell")
-    )
-    placed = covered.withColumn("bucket", F.explode(
-        F.sequence(F.floor(F.col("first_us") / F.lit(span)), F.floor((F.col("last_us") + span) / F.lit(span)))
-    ))
-    around = (
-        placed.withColumn("near", F.explode(k_ring(F.col("cell"), k)))
-        .select("near", "bucket", "event_category", "incident_id", "first_us", "last_us")
-        .distinct()
-    )
-    keys = ["cell", "bucket", *(["event_category"] if same_category else [])]
-    left = placed.select(*keys, "incident_id", "first_us", "last_us")
-    right = around.select(
-        F.col("near").alias("cell"), "bucket", *(["event_category"] if same_category else []),
-        F.col("incident_id").alias("other"), F.col("first_us").alias("other_first"), F.col("last_us").alias("other_last"),
-    )
-    edges = (
-        left.join(right, keys)
-        .filter(
-            (F.col("incident_id") < F.col("other"))
-            & (F.col("first_us") <= F.col("other_last") + span)
-            & (F.col("other_first") <= F.col("last_us") + span)
-        )
-        .select(F.col("incident_id").alias("a"), F.col("other").alias("b"))
-    )
-    groups = connected_groups(incidents, edges, "incident_id")
-    return groups.withColumnRenamed("node", "incident_id")
+    links = materialize(touching_links(incidents, window_hours, k, same_category), "touching")
+    own = incidents.select(F.col("incident_id").alias("node"))
+    groups = connected_groups(own.unionByName(links.select(F.col("b").alias("node"))), links)
+    return groups.join(own, "node", "left_semi").withColumnRenamed("node", "incident_id")

@@ -7,7 +7,6 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormweave.functions import identity
 from stormweave.operators import correlate, dedup, evidence
 from stormweave.operators.centroid import running_centroid
 from stormweave.schemas import INCIDENT_DDL, columns
@@ -63,32 +62,12 @@ def detect_incidents(
     """
     moment = F.current_timestamp() if as_of is None else as_of
     order = [F.col("timestamp"), *([F.col("seq")] if "seq" in reports.columns else [])]
-    unique = dedup.keep_first(reports, ["report_id"], order)
+    # What is read from the text is read in the scan; the text itself is never shuffled.
+    featured = correlate.with_features(reports).drop(*correlate.HEAVY)
+    unique = dedup.keep_first(featured, ["report_id"], order)
     if exact:
         members = correlate.correlate_exact(unique, window_hours=window_hours, k=k, **options)
     else:
         members = correlate.correlate_session(unique, window_hours=window_hours, **options)
-    # Everything below reads the membership several times, and none of it reads the report text.
-    compact = members.drop("text", "raw_payload", "media_items")
-    return from_members(materialize(compact, "members"), moment, centroid)
-
-
-def isolated_incidents(reports: DataFrame, as_of: Column | None = None) -> IncidentTables:
-    """Incidents of reports that are correlated one at a time, without each other: one per report that is not negated.
-
-    Reports that give the same key (category, cell, time) are members of one incident.
-    """
-    moment = F.current_timestamp() if as_of is None else as_of
-    unique = dedup.keep_first(reports, ["report_id"], [F.col("timestamp")])
-    featured = correlate.with_features(unique).filter(~F.col("is_negated"))
-    place = F.coalesce(F.col("cell").cast("string"), F.concat_ws("_", F.lit("None"), "report_id"))
-    keyed = featured.withColumns(
-        {
-            "incident_id": identity.incident_id(F.col("event_category"), place, F.col("timestamp")),
-            "incident_category": F.col("event_category"),
-        }
-    )
-    first = keyed.groupBy("incident_id").agg(F.min("seq").alias("_first"))
-    members = keyed.join(first, "incident_id").withColumn("opens", F.col("seq") == F.col("_first"))
-    compact = members.drop("_first", "text", "raw_payload", "media_items")
-    return from_members(materialize(compact, "members"), moment)
+    # Everything below reads the membership several times.
+    return from_members(materialize(members, "members"), moment, centroid)

@@ -11,6 +11,7 @@ from stormweave.operators import contracts, dedup
 from stormweave.plans import oracle as sql
 from stormweave.plans.catalogue import query
 from stormweave.plans.views import TEXTS, events_view, reports_view, table
+from stormweave.session import materialize
 from stormweave.sources import feeds, images
 from stormweave.streaming import log
 
@@ -920,6 +921,20 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.hamming_pairs(text_hashes(spark, sf_dir))
 
 
+@query(
+    "j15_hash_classes",
+    f"""WITH RECURSIVE {_HASHES}, v AS (SELECT hash, count(*) AS copies FROM hash GROUP BY hash),
+    near AS (SELECT a.hash AS a, b.hash AS b FROM v a JOIN v b ON bit_count(xor(a.hash, b.hash)) <= 5),
+    reach AS (SELECT hash AS node, hash AS seen FROM v UNION SELECT r.node, n.b FROM reach r JOIN near n ON r.seen = n.a),
+    class AS (SELECT node, min(seen) AS class_id FROM reach GROUP BY node)
+    SELECT doc_id, class_id, copies FROM hash JOIN class ON hash = node JOIN v USING (hash)""",
+)
+def hash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of its hash."""
+    hashes = materialize(text_hashes(spark, sf_dir), "text-hashes")
+    return hashes.join(dedup.hash_classes(hashes), "hash").select("doc_id", "class_id", "copies")
+
+
 @query(
     "j15_copies",
     f"WITH {_HASHES} SELECT hash, count(*) AS copies FROM hash GROUP BY hash HAVING count(*) > 1",

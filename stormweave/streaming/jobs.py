@@ -35,14 +35,14 @@ def change_events(updated: DataFrame, at: Column | None = None) -> DataFrame:
 
 
 def pipeline_handler(
-    tables: Tables, feed_path: str, as_of: Column | None = None, remember: bool = False, isolated: bool = False, **options
+    tables: Tables, feed_path: str, as_of: Column | None = None, remember: bool = False, **options
 ) -> Callable[[DataFrame, int], None]:
     """Handler for one batch: correlate, insert reports, merge incidents, then announce.
 
     The result of a batch is settled before it is merged, and the merge can be repeated, so an attempt that failed at
     any point is made good by the next one. Events are written only after the tables, under the batch id, so a
     repeated batch replaces its own events. With `remember`, reports may join open incidents of earlier batches (R4).
-    With `isolated`, each report triggers a correlation by itself, as if it came in a batch of its own (R3).
+    With `apart="report_id"` among the options each report triggers a correlation of its own, however many came together (R3).
     """
 
     def handle(reports: DataFrame, batch_id: int) -> None:
@@ -58,9 +58,7 @@ def pipeline_handler(
             source = _without_incident(batch, tables) if remember else batch
             if source.isEmpty():
                 return
-            if isolated:
-                result = incidents.isolated_incidents(source.drop("day", "event_category", "cell"), as_of)
-            elif remember:
+            if remember:
                 result = continue_incidents(source, tables, as_of, **options)
             else:
                 result = incidents.detect_incidents(source.drop("day", "event_category", "cell"), as_of, **options)

@@ -86,6 +86,8 @@ def random_rows(seed, n=400, cells=6, hours=60):
         (2, {"tile_cells": 2, "halo_cells": 2}),
         (3, {"tile_cells": 1, "halo_cells": 3}),
         (4, {"k": 2, "tile_cells": 3, "halo_cells": 4}),
+        (5, {"slice_hours": 7, "halo_hours": 0}),
+        (6, {"tile_cells": 2, "halo_cells": 2, "slice_hours": 5, "halo_hours": 12}),
     ],
 )
 def test_exact_equals_sequential_fold(spark, seed, options):
@@ -99,6 +101,34 @@ def test_hot_cell_and_long_chain(spark):
     same_grouping(spark, frame(spark, hot + chain), tile_cells=1, halo_cells=2)
 
 
+def test_incidents_open_over_many_slices(spark):
+    """An incident that outlives its slice is handed on; a run may be longer than a slice, too."""
+    hot = [(START + dt.timedelta(minutes=7 * i), "rain", 19.0, 73.0) for i in range(600)]
+    chain = [(START + dt.timedelta(hours=5 * i), "flood", 19.013, 73.0) for i in range(15)]
+    pauses = [(START + dt.timedelta(hours=9 * i), "waterlogged", 19.013, 73.013) for i in range(8)]
+    same_grouping(spark, frame(spark, hot + chain + pauses), tile_cells=2, halo_cells=2, slice_hours=12, halo_hours=6)
+
+
+def test_a_year_of_one_tile_is_many_blocks(spark):
+    runs = spark.range(0, 365 * 4).select(
+        F.lit(0).cast("long").alias("_apart"), correlate.GRID.cell(F.lit(19.0), F.lit(73.0)).alias("cell"), F.lit(1).alias("category_no"),
+        (F.col("id") * 21_600_000_001).alias("run_us"), F.lit(0).cast("long").alias("run_seq"),
+        (F.col("id") * 21_600_000_001 + 1000).alias("run_end_us"), F.lit(False).alias("fixed"),
+    )
+    hour = 3_600_000_000
+    placed = correlate._placed(runs, 1, 64, 8, 6 * hour, round(correlate.SLICE_HOURS) * hour, 24 * hour)
+    own = placed.join(placed.filter("owned").select("tile").distinct(), "tile", "left_semi")
+    sizes = [r["count"] for r in own.groupBy("slice").count().collect()]
+    assert len(sizes) >= 26 and max(sizes) < 70
+
+
+def test_reports_apart_never_meet(spark):
+    rows = [(START, "rain", 19.0, 73.0), (START, "no rain", 19.0, 73.0), (START, "rain", 19.0, 73.0), (START + dt.timedelta(minutes=5), "rain", 19.0, 73.0)]
+    found = correlate.correlate_exact(frame(spark, rows), apart="report_id").orderBy("seq").collect()
+    assert [r.seq for r in found] == [0, 2, 3] and [r.opens for r in found] == [True, False, True]
+    assert found[0].incident_id == found[1].incident_id != found[2].incident_id
+
+
 def grouped(spark, rows, **options):
     found = correlate.correlate_exact(frame(spark, rows), **options).groupBy("incident_id").count().collect()
     return sorted(r["count"] for r in found)

@@ -4,9 +4,11 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from stormweave.functions import identity
+from stormweave.functions.spatial import ring_offsets
 from stormweave.operators import contracts, dedup, merges
 from stormweave.plans.views import reports_view
 from stormweave.schemas import REPORT_DDL
@@ -118,6 +120,86 @@ def test_hamming_pairs_equal_brute_force(spark):
     assert dedup.copies_of(frame).count() == len(signed)
 
 
+def plain_classes(values, distance=5):
+    left, found = set(values), {}
+    while left:
+        group, todo = set(), [left.pop()]
+        while todo:
+            v = todo.pop()
+            group.add(v)
+            near = {w for w in left if bin((v ^ w) & (2**64 - 1)).count("1") <= distance}
+            left -= near
+            todo += near
+        found |= dict.fromkeys(group, min(group))
+    return found
+
+
+@pytest.mark.parametrize("crowd", [256, 8])
+def test_hash_classes_equal_those_of_the_pairs(spark, crowd):
+    rng = random.Random(4)
+    flip = lambda v, n: v ^ sum(1 << b for b in rng.sample(range(64), n))
+    values = {rng.getrandbits(64) for _ in range(40)}
+    for v in list(values)[:15]:
+        chain = v
+        for n in (1, 5, 5, 6, 3, 5):
+            chain = flip(chain, n)
+            values.add(chain)
+    ball = rng.getrandbits(64)
+    values |= {flip(ball, rng.choice((2, 3, 5))) for _ in range(120)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    rows = [(v,) for v in [*signed, *signed[:7], None]]
+    found = dedup.hash_classes(spark.createDataFrame(rows, "hash bigint"), crowd=crowd).collect()
+    assert {r.hash: r.class_id for r in found} == plain_classes(signed) and len(found) == len(signed)
+    assert sum(r.copies for r in found) == len(rows) - 1
+
+
+def test_a_dense_cluster_of_hashes_lists_no_pairs(spark):
+    rng = random.Random(6)
+    ball = rng.getrandbits(63)
+    values = {ball}
+    while len(values) < 20_000:
+        values.add(ball ^ sum(1 << b for b in rng.sample(range(63), rng.choice((2, 3, 4)))))
+    found = dedup.hash_classes(spark.createDataFrame([(v,) for v in values], "hash bigint"))
+    assert found.select("class_id").distinct().count() == 1
+
+
+def test_touching_links_of_a_hot_cell_are_few(spark):
+    rng = random.Random(8)
+    start = dt.datetime(2024, 7, 1, tzinfo=dt.timezone.utc)
+    rows = []
+    for i in range(400):
+        cell = 10**6 * 7 + rng.choice([0, 0, 0, 1, 2, 50])
+        first = start + dt.timedelta(hours=rng.randrange(400))
+        cells = [cell, cell + 1] if rng.random() < 0.1 else [cell]
+        rows.append((f"i{i:03d}", rng.choice("ab"), first, first + dt.timedelta(hours=rng.randrange(8)), cells))
+    frame = spark.createDataFrame(rows, "incident_id string, event_category string, first_reported_at timestamp, last_updated_at timestamp, cells array<bigint>")
+    near = {d for d in ring_offsets(1)}
+    limit = dt.timedelta(hours=6)
+    for same in (True, False):
+        left, expected = {r[0]: r for r in rows}, {}
+        while left:
+            group, todo = [], [left.pop(min(left))]
+            while todo:
+                a = todo.pop()
+                group.append(a[0])
+                hit = [
+                    b for b in left.values()
+                    if (not same or a[1] == b[1]) and a[2] <= b[3] + limit and b[2] <= a[3] + limit
+                    and any(x - y in near for x in a[4] for y in b[4])
+                ]
+                for b in hit:
+                    todo.append(left.pop(b[0]))
+            expected |= dict.fromkeys(group, min(group))
+        found = {r.incident_id: r.group for r in dedup.touching_incidents(frame, same_category=same).collect()}
+        assert found == expected
+    hot = spark.range(5000).select(
+        F.format_string("i%05d", "id").alias("incident_id"), F.lit("a").alias("event_category"), F.lit(start).alias("first_reported_at"),
+        F.lit(start + dt.timedelta(hours=1)).alias("last_updated_at"), F.array(F.lit(7_000_000) + F.col("id") % 2).alias("cells"),
+    )
+    assert dedup.touching_links(hot).count() <= 5010
+    assert dedup.touching_incidents(hot).select("group").distinct().count() == 1
+
+
 def test_hash_comparison(spark):
     pairs = [("0f0f0f0f0f0f0f0f", "0f0f0f0f0f0f0f00", True), ("0f0f0f0f0f0f0f0f", "f0f0f0f0f0f0f0f0", False), ("ff", "ff0", False), ("", "", False), ("zz", "zz", True)]
     frame = spark.createDataFrame(pairs, "a string, b string, same boolean")
