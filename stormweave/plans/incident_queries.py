@@ -1041,15 +1041,25 @@ _ALONE = f"""SELECT incident_id, count(*) AS report_count FROM (SELECT 'inc_' ||
     substr(sha256(event_category || '_' || cell || '_' || {sql.iso("ts")}), 1, 12) AS incident_id FROM feat WHERE NOT is_negated) GROUP BY incident_id"""
 
 
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.validate_reports(_full(reports_view(spark, sf_dir))).drop("errors")
+
+
+def _files_of(spark: SparkSession, reports: DataFrame, folder: str) -> DataFrame:
+    """The Parquet files of a folder as a stream, two a batch."""
+    return spark.readStream.schema(reports.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+
+
 @query("r3_report_triggered", sql.select(sql.FEATURES, _ALONE))
 def report_triggered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every report triggers a correlation of its own, without memory of the others: one handler call for many reports.
-
-    `isolated` makes each report a batch of itself, so a call handles as many triggers as arrived together.
-    """
-    store = Tables(spark, scratch(spark, "triggered"))
-    reports = contracts.validate_reports(_full(reports_view(spark, sf_dir))).drop("errors")
-    jobs.pipeline_handler(store, scratch(spark, "feed"), as_of(), isolated=True)(reports, 0)
+    """A stream in which every report triggers a correlation of its own; a batch handles all triggers that arrived together."""
+    folder = scratch(spark, "triggered")
+    store = Tables(spark, f"{folder}/tables")
+    reports = _validated(spark, sf_dir)
+    reports.repartition(4, "report_id").write.parquet(f"{folder}/in")
+    handler = jobs.pipeline_handler(store, f"{folder}/feed", as_of(), apart="report_id")
+    job = jobs.correlate_stream(_files_of(spark, reports, folder), handler, f"{folder}/checkpoint")
+    job.trigger(availableNow=True).start().awaitTermination()
     return store.read("incidents").select("incident_id", "report_count")
 
 
@@ -1061,13 +1071,21 @@ def report_triggered(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def stateful_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream in time order, in two batches, the second joining the open incidents of the first."""
-    store = Tables(spark, scratch(spark, "stateful"))
-    handler = jobs.pipeline_handler(store, scratch(spark, "feed"), as_of(), remember=True)
-    reports = materialize(contracts.validate_reports(_full(reports_view(spark, sf_dir))).drop("errors"), "days")
-    middle = F.lit("2024-01-16T00:00:00Z").cast("timestamp")
-    handler(reports.filter(F.col("timestamp") < middle), 0)
-    handler(reports.filter(F.col("timestamp") >= middle), 1)
+    """A stream in time order whose batches join the incidents that earlier ones left open, stopped and started again once."""
+    folder = scratch(spark, "stateful")
+    store = Tables(spark, f"{folder}/tables")
+    reports = materialize(_validated(spark, sf_dir), "stream-input")
+    days = [F.lit(f"2024-01-{d:02d}T00:00:00Z").cast("timestamp") for d in (11, 21)]
+    # Three stretches of time, two files each; the stream takes a stretch a batch.
+    stretch = F.lit(0)
+    for day in days:
+        stretch = stretch + (F.col("timestamp") >= day).cast("int")
+    for arrived in ((0, 1), (2,)):
+        for number in arrived:
+            reports.filter(stretch == number).repartition(2).write.mode("append").parquet(f"{folder}/in")
+        handler = jobs.pipeline_handler(store, f"{folder}/feed", as_of(), remember=True)
+        job = jobs.correlate_stream(_files_of(spark, reports, folder), handler, f"{folder}/checkpoint")
+        job.trigger(availableNow=True).start().awaitTermination()
     return store.read("incidents").select(
         "incident_id", "event_category", "severity", "report_count", "priority_score", "verification_status"
     )

@@ -86,6 +86,15 @@ class Tables:
         self._drop_stubs(incoming)
         return new
 
+    def fresh_reports(self, batch: str, reports: DataFrame) -> DataFrame:
+        """Those reports of a batch that the store did not have when the batch was first tried."""
+        path = self._pending(batch, "fresh")
+        if not self._exists(f"{path}/_SUCCESS"):
+            incoming = reports.dropDuplicates(["report_id"]).withColumn("day", utc_day(F.col("timestamp")))
+            existing = self.of_days("reports", incoming).filter(F.col("source_type") != STUB)
+            merges.insert_absent(existing, incoming).drop("day").write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(reports.schema).parquet(path)
+
     def _drop_stubs(self, reports: DataFrame) -> None:
         """Remove placeholders of reports that are stored by now."""
         of_them = self.read("reports").filter(F.col("source_type") == STUB).join(reports.select("report_id"), "report_id", "left_semi")
@@ -199,7 +208,11 @@ class Tables:
     def settle(self, batch: str, result: IncidentTables) -> IncidentTables:
         """Write a batch's result before any of it is merged, so that a repeated attempt merges the same; older ones go."""
         root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder.rstrip('/')}/_pending")
-        root.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(root, True)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        # What this batch found fresh must outlast a failure in here.
+        for entry in files.listStatus(root) if files.exists(root) else []:
+            if entry.getPath().getName() != f"batch={batch}":
+                files.delete(entry.getPath(), True)
         for table, rows in zip(("incidents", *_CHILDREN), result, strict=True):
             rows.select(*columns(_DDL[table])).write.mode("overwrite").parquet(self._pending(batch, table))
         self.spark.range(1).write.mode("overwrite").parquet(self._pending(batch, "settled"))

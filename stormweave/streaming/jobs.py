@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from stormweave import rules
 from stormweave.functions.identity import iso_utc
 from stormweave.functions.spatial import GRID, HexGrid
 from stormweave.operators import correlate, incidents
 from stormweave.operators.incidents import IncidentTables
+from stormweave.schemas import columns
 from stormweave.session import materialize, temporary_stages
 from stormweave.sources.tables import Tables, utc_day
+from stormweave.streaming.memory import OPEN_DDL, OpenIncidents
 
 UPDATED = "incident.updated"
 POLL_SECONDS = {"grid_points": 300, "rss": 180}
@@ -35,63 +38,87 @@ def change_events(updated: DataFrame, at: Column | None = None) -> DataFrame:
 
 
 def pipeline_handler(
-    tables: Tables, feed_path: str, as_of: Column | None = None, remember: bool = False, **options
+    tables: Tables, feed_path: str, as_of: Column | None = None, remember: bool = False, window_hours: float = 6.0, **options
 ) -> Callable[[DataFrame, int], None]:
     """Handler for one batch: correlate, insert reports, merge incidents, then announce.
 
     The result of a batch is settled before it is merged, and the merge can be repeated, so an attempt that failed at
     any point is made good by the next one. Events are written only after the tables, under the batch id, so a
-    repeated batch replaces its own events. With `remember`, reports may join open incidents of earlier batches (R4).
+    repeated batch replaces its own events. With `remember`, reports may join open incidents of earlier batches (R4),
+    which are kept beside the tables; reports that came before are left out.
     With `apart="report_id"` among the options each report triggers a correlation of its own, however many came together (R3).
     """
+    memory = OpenIncidents(tables.spark, f"{tables.folder.rstrip('/')}/_open")
 
     def handle(reports: DataFrame, batch_id: int) -> None:
         # A new log counts its batches from 0 again, so the ids of the reports are part of a batch's name.
         mark = reports.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("report_id")), F.lit(0))).first()
         name = f"{batch_id}-{mark[0]}-{mark[1] & (1 << 64) - 1:x}"
+        before = memory.before(name) if remember else None
         result = tables.pending(name)
         if result is None:
-            tables.add_reports(reports)
+            fresh = tables.fresh_reports(name, reports) if remember else reports
+            tables.add_reports(fresh)
             # Taken from the store: an earlier attempt may have got as far as that.
-            days = reports.select(utc_day(F.col("timestamp")).alias("day"))
-            batch = tables.of_days("reports", days).join(reports.select("report_id"), "report_id", "left_semi")
-            source = _without_incident(batch, tables) if remember else batch
+            days = fresh.select(utc_day(F.col("timestamp")).alias("day"))
+            source = tables.of_days("reports", days).join(fresh.select("report_id"), "report_id", "left_semi")
             if source.isEmpty():
                 return
             if remember:
-                result = continue_incidents(source, tables, as_of, **options)
+                result = continue_incidents(source, tables, as_of, window_hours, before=before, **options)
             else:
-                result = incidents.detect_incidents(source.drop("day", "event_category", "cell"), as_of, **options)
+                source = source.drop("day", "event_category", "cell")
+                result = incidents.detect_incidents(source, as_of, window_hours=window_hours, **options)
             result = tables.settle(name, result)
         updated = tables.merge_incidents(result, refresh=remember)
+        if remember:
+            # A window more than needed, for reports that come a little late.
+            memory.keep(name, before, result.incidents, 2 * window_hours)
         change_events(updated, as_of).select("value").write.mode("overwrite").text(f"{feed_path}/batch={batch_id}")
 
     return handle
 
 
-def _without_incident(reports: DataFrame, tables: Tables) -> DataFrame:
-    """Reports that are in no stored incident; only incidents that reach the reports' time are looked at."""
-    low = reports.agg(F.min("timestamp")).scalar()
-    around = tables.read("incidents").filter(F.col("last_updated_at") >= low)
-    return reports.join(tables.of_days("incident_members", around).select("report_id"), "report_id", "left_anti")
+def correlate_stream(
+    stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str
+) -> DataStreamWriter:
+    """Stream writer that hands batches of validated reports to a handler (R3, R4); each batch's stages are deleted after it."""
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        with temporary_stages(batch.sparkSession):
+            handler(materialize(batch, "micro-batch"), batch_id)
+
+    return stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
 
 
 def continue_incidents(
-    reports: DataFrame, tables: Tables, as_of: Column | None = None, window_hours: float = 6.0, k: int = 1, **options
+    reports: DataFrame,
+    tables: Tables,
+    as_of: Column | None = None,
+    window_hours: float = 6.0,
+    k: int = 1,
+    before: DataFrame | None = None,
+    **options,
 ) -> IncidentTables:
-    """Correlate a batch with the stored incidents of the last window still open.
+    """Correlate a batch with the incidents still open before it.
 
-    Batches are taken to arrive in time order. Stored incidents that got reports are scored again over all theirs.
+    Batches are taken to arrive in time order. Stored incidents that got reports are scored again over all theirs, read
+    from the days of those. `before` are the remembered open incidents; without them the store is searched once.
     """
     moment = F.current_timestamp() if as_of is None else as_of
-    featured = materialize(correlate.with_features(reports.drop("day", "event_category", "cell")), "batch")
+    featured = correlate.with_features(reports.drop("day", "event_category", "cell")).drop(*correlate.HEAVY)
+    featured = materialize(featured, "batch")
     reach = F.expr(f"INTERVAL {round(window_hours * 3600)} SECONDS")
-    low = featured.agg(F.min("timestamp")).scalar()
-    everything = tables.read("incidents")
-    stored = materialize(everything.filter(F.col("last_updated_at") >= low - reach), "open-incidents")
+    low = featured.agg(F.min("timestamp")).first()[0]
+    everything = tables.read("incidents") if before is None else before
+    stored = everything.filter(F.col("last_updated_at") >= F.lit(low).cast("timestamp") - reach)
+    if before is not None:
+        # Deleted meanwhile: not open any more. Only the days of open incidents are looked at.
+        stored = stored.join(tables.of_days("incidents", stored).select("incident_id"), "incident_id", "left_semi")
+    stored = materialize(stored.select(*columns(OPEN_DDL)), "open-incidents")
     # Leading negated reports are dropped only while there is no incident at all.
-    before = None if everything.isEmpty() else stored
-    found = correlate.correlate_exact(featured, window_hours=window_hours, k=k, open_incidents=before, **options)
+    start = None if before is None and everything.isEmpty() else stored
+    found = correlate.correlate_exact(featured, window_hours=window_hours, k=k, open_incidents=start, **options)
     found = materialize(found, "found")
     fresh = found.join(stored.select("incident_id"), "incident_id", "left_anti")
     matched = found.join(stored.select("incident_id"), "incident_id", "left_semi").select("incident_id", "report_id")
@@ -116,7 +143,7 @@ def continue_incidents(
         )
         .drop("first_reported_at", "first_seq")
     )
-    members = rejoined.unionByName(fresh, allowMissingColumns=True).drop("text", "raw_payload", "media_items")
+    members = rejoined.drop(*correlate.HEAVY).unionByName(fresh, allowMissingColumns=True)
     return incidents.from_members(materialize(members, "members"), moment)
 
 
@@ -161,20 +188,32 @@ def late_reports(batch: DataFrame, newest_before: Column, window_hours: float =
 def route_late(path: str, handler: Callable[[DataFrame, int], None] | None = None, window_hours: float = 6.0):
     """Batch function for `foreachBatch` that keeps late reports in a table of their own.
 
-    Each batch writes its newest time and its late reports, those behind the watermark of the batches before it, under
-    its id, so a repeated batch replaces its own. All reports of the batch go on to `handler`.
+    The newest time so far is one row, in a version per batch of which the last two are kept: a batch reads the one of
+    the batch before and replaces its own when repeated. Late reports, those behind the watermark of the batches before,
+    are written under the batch's id. All reports of the batch go on to `handler`.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        java_path = spark._jvm.org.apache.hadoop.fs.Path
+
+        def clock(number: int) -> str:
+            return f"{path}/newest/batch={number}"
+
+        def files(number: int):
+            return java_path(clock(number)).getFileSystem(spark._jsc.hadoopConfiguration())
+
         with temporary_stages(spark):
             settled = materialize(batch, "routed-batch")
-            settled.agg(F.max("timestamp").alias("newest")).write.mode("overwrite").parquet(f"{path}/newest/batch={batch_id}")
-            # A row per batch so far.
-            before = spark.read.parquet(f"{path}/newest").filter(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+            before = None
+            if batch_id > 0 and files(batch_id).exists(java_path(clock(batch_id - 1))):
+                before = spark.read.schema("newest timestamp").parquet(clock(batch_id - 1)).first()["newest"]
             late = late_reports(settled, F.lit(before).cast("timestamp"), window_hours) if before else settled.limit(0)
             late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+            newest = F.greatest(F.max("timestamp"), F.lit(before).cast("timestamp"))
+            settled.agg(newest.alias("newest")).write.mode("overwrite").parquet(clock(batch_id))
             if handler is not None:
                 handler(settled, batch_id)
+            files(batch_id).delete(java_path(clock(batch_id - 2)), True)
 
     return process
