@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stormweave import rules
 from stormweave.functions import identity, spatial
-from stormweave.operators import contracts, correlate, dedup, evidence, filters, incidents, matching, merges
+from stormweave.operators import contracts, correlate, dedup, evidence, filters, incidents, matching, merges, neighbours
 from stormweave.operators.incidents import IncidentTables
 from stormweave.plans import oracle as sql
 from stormweave.plans.catalogue import query
@@ -665,6 +665,28 @@ def semantic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("cosine", F.round("cosine", 6))
 
 
+@query(
+    "j16_semantic_neighbours",
+    sql.select(
+        sql.FEATURES,
+        f""", vec AS (SELECT f.report_id, f.ts, f.cell, f.aq, f.ar, {_HALF_HOUR} AS bucket, e.embedding FROM feat f JOIN embeddings e ON f.source_id = CAST(e.vec_id AS VARCHAR)),
+        groups AS (SELECT cell, aq, ar, bucket, embedding, min({{'t': ts, 'r': report_id}}) AS head, max(ts) AS last_ts FROM vec GROUP BY ALL),
+        near AS (SELECT a.head.r AS report_a, b.head.r AS report_b, round({_COSINE}, 6) AS cosine FROM groups a JOIN groups b
+          ON (abs(a.aq - b.aq) + abs(a.ar - b.ar) + abs(a.aq - b.aq + a.ar - b.ar)) // 2 <= 1
+          AND (a.head.t < b.head.t OR (a.head.t = b.head.t AND a.head.r < b.head.r)) AND b.head.t - a.last_ts <= INTERVAL 6 HOUR),
+        ways AS (SELECT report_a AS report_id, report_b AS neighbour, cosine FROM near WHERE cosine >= 0.1e0
+          UNION ALL SELECT report_b, report_a, cosine FROM near WHERE cosine >= 0.1e0)
+        SELECT report_id, neighbour, cosine, CAST(n AS INT) AS rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY cosine DESC, neighbour) AS n FROM ways) WHERE n <= 3""",
+    ),
+)
+def semantic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three most similar reports of each, near in space and time."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("source_id"), "embedding")
+    located = reports_view(spark, sf_dir).join(vectors, "source_id")
+    return neighbours.semantic_neighbours(located, top_k=3, min_cosine=0.1)
+
+
 @query(
     "j16_cosine",
     f"""WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings)

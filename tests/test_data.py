@@ -3,13 +3,15 @@
 import datetime as dt
 import json
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stormweave.functions import identity
 from stormweave.functions.spatial import ring_offsets
-from stormweave.operators import contracts, dedup, merges
+from stormweave.operators import contracts, dedup, merges, neighbours
 from stormweave.plans.views import reports_view
 from stormweave.schemas import REPORT_DDL
 from stormweave.sources import export, feeds, images
@@ -200,6 +202,25 @@ def test_touching_links_of_a_hot_cell_are_few(spark):
     assert dedup.touching_incidents(hot).select("group").distinct().count() == 1
 
 
+def test_neighbours_of_a_hot_cell(spark):
+    """Buckets find nearly all of what comparing everything finds, and without its pairs."""
+    rng = np.random.default_rng(1)
+    n = 2500
+    centres = rng.normal(size=(n // 20, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    vectors = centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, 64)) * rng.choice([0.02, 0.035, 0.05], n)[:, None]
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32).tolist()
+    start = dt.datetime(2024, 7, 1, tzinfo=dt.timezone.utc)
+    rows = [(f"r{i:05d}", start + dt.timedelta(seconds=int(s)), 19.0, 73.0, v) for i, (s, v) in enumerate(zip(rng.integers(0, 21_600, n), vectors, strict=True))]
+    rows += [("zero", start, 19.0, 73.0, [0.0] * 64), ("none", start, 19.0, 73.0, None), ("nowhere", start, None, 73.0, vectors[0])]
+    frame = spark.createDataFrame(rows, "report_id string, timestamp timestamp, latitude double, longitude double, embedding array<float>").repartition(8)
+    found = {(r.report_id, r.neighbour): r.cosine for r in neighbours.semantic_neighbours(frame).collect()}
+    exact = {(r.report_id, r.neighbour): r.cosine for r in neighbours.semantic_neighbours(frame, exact=True).collect()}
+    assert len(found.keys() & exact.keys()) >= 0.97 * len(exact) > n
+    assert max(Counter(a for a, _ in found).values()) <= 5 and min(found.values()) >= 0.9
+    assert neighbours.semantic_neighbours(frame.limit(0)).count() == 0
+
+
 def test_hash_comparison(spark):
     pairs = [("0f0f0f0f0f0f0f0f", "0f0f0f0f0f0f0f00", True), ("0f0f0f0f0f0f0f0f", "f0f0f0f0f0f0f0f0", False), ("ff", "ff0", False), ("", "", False), ("zz", "zz", True)]
     frame = spark.createDataFrame(pairs, "a string, b string, same boolean")
