@@ -545,9 +545,10 @@ def chronological(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.select(sql.MEMBERS, "SELECT incident_id, report_id, source FROM members WHERE user_id % 3 <> 0"),
 )
 def incident_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids by array; reports of every third user are unknown and fall away."""
+    """Ids by arrays of bounded length; reports of every third user are unknown and fall away."""
     members = session_members(spark, sf_dir)
-    with_ids = members.groupBy("incident_id").agg(
+    # Report numbers are unique, so a part holds at most 500 ids however large its incident is.
+    with_ids = members.groupBy("incident_id", F.expr("seq div 500")).agg(
         F.first("incident_category").alias("event_category"), F.collect_list("report_id").alias("report_ids")
     )
     known = reports_view(spark, sf_dir).filter(F.col("source_id").cast("bigint") % 3 != 0)
@@ -857,16 +858,16 @@ def append_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "u2_union_of_ids",
-    sql.select(sql.MEMBERS, "SELECT incident_id, string_agg(report_id, ', ' ORDER BY report_id) AS report_ids FROM members GROUP BY incident_id"),
+    sql.select(sql.MEMBERS, "SELECT incident_id, report_id FROM members"),
 )
 def union_of_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even and odd reports of an incident, both with its first report, as two arrays."""
+    """Even and odd reports of an incident, both with its first report, as two arrays for each 500 report numbers."""
     members = stored(spark, sf_dir).members
-    halves = members.groupBy("incident_id").agg(
+    halves = members.groupBy("incident_id", F.expr("seq div 500")).agg(
         F.collect_list(F.when(F.col("opens") | (F.col("seq") % 2 == 0), F.col("report_id"))).alias("a"),
         F.collect_list(F.when(F.col("opens") | (F.col("seq") % 2 == 1), F.col("report_id"))).alias("b"),
     )
-    return halves.select("incident_id", flat(merges.union_ids(F.col("a"), F.col("b"))).alias("report_ids"))
+    return halves.select("incident_id", F.explode(merges.union_ids(F.col("a"), F.col("b"))).alias("report_id"))
 
 
 @query(

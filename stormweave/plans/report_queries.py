@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from stormweave import rules
 from stormweave.functions import embedding, identity, spatial, text
 from stormweave.operators import contracts, dedup
 from stormweave.plans import oracle as sql
-from stormweave.plans.catalogue import query
+from stormweave.plans.catalogue import ORACLES, query
 from stormweave.plans.views import TEXTS, events_view, reports_view, table
 from stormweave.session import materialize
 from stormweave.sources import feeds, images
@@ -90,7 +91,8 @@ def media_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"src":""}],"url":"http://c.example/'), number,
         F.when(F.col("page_id") % 3 == 0, '.png?w=1"}').otherwise('.html"}'),
     )
-    body = F.concat(F.lit("see http://t.example/x.gif, and "), "url")
+    # The page itself is searched too; it links to no media by a full address.
+    body = F.concat("html", F.lit(" see http://t.example/x.gif, and "), "url")
     return table(spark, sf_dir, "pages").select("page_id", joined(text.media_urls(body, payload)).alias("media"))
 
 
@@ -279,16 +281,35 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_X11_BODY = """(text || CASE user_id % 3 WHEN 0 THEN ' in new delhi. Rainfall ' || (seq % 50) || '.5 mm'
+  WHEN 1 THEN ' at Pune; rainfall ' || (seq % 50) || '.5cm' ELSE '; kochi received ' || (seq % 50) || '.5 mm of rain' END)"""
+
+
 @query(
     "x11_entities",
-    sql.select(sql.FEATURES, """SELECT report_id, event_category, is_negated, '' AS places, CAST(NULL AS DOUBLE) AS rainfall_mm FROM feat"""),
+    sql.select(
+        sql.REPORTS,
+        f""", body AS (SELECT *, {_X11_BODY} AS body FROM reports)
+        SELECT report_id, {sql.category("body")} AS event_category, text LIKE 'No flood%' AS is_negated,
+          array_to_string(list_sort(list_filter([CASE user_id % 3 WHEN 0 THEN 'New Delhi' WHEN 1 THEN 'Pune' ELSE 'Kochi' END,
+            CASE WHEN text LIKE 'No flood%' THEN 'The Area'
+                 WHEN text LIKE '%near station' THEN 'Station' || CASE user_id % 3 WHEN 0 THEN ' In' WHEN 1 THEN ' At' ELSE '' END END],
+            lambda p: p IS NOT NULL)), '|') AS places,
+          (seq % 50 + 0.5e0) * CASE WHEN user_id % 3 = 1 THEN 10e0 ELSE 1e0 END AS rainfall_mm FROM body""",
+    ),
 )
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundled = reports_view(spark, sf_dir).select("report_id", "text").withColumns(text.entities(F.col("text")))
-    # "near station" and "in the area" are places only by their stop words; the rest has none.
-    places = joined(F.filter("locations", lambda p: ~p.isin("Station", "The Area")), "|")
-    return bundled.select(
-        "report_id", "event_category", "is_negated", places.alias("places"), "metrics.rainfall_mm"
+    """The bundle of texts that name a place and an amount of rain, in three ways."""
+    amount = F.concat((F.col("seq") % 50).cast("string"), F.lit(".5"))
+    user = F.col("source_id").cast("bigint")
+    more = (
+        F.when(user % 3 == 0, F.concat(F.lit(" in new delhi. Rainfall "), amount, F.lit(" mm")))
+        .when(user % 3 == 1, F.concat(F.lit(" at Pune; rainfall "), amount, F.lit("cm")))
+        .otherwise(F.concat(F.lit("; kochi received "), amount, F.lit(" mm of rain")))
+    )
+    bundled = reports_view(spark, sf_dir).withColumn("text", F.concat("text", more))
+    return bundled.select("report_id", *[c.alias(n) for n, c in text.entities(F.col("text")).items()]).select(
+        "report_id", "event_category", "is_negated", joined(F.col("locations"), "|").alias("places"), "metrics.rainfall_mm"
     )
 
 
@@ -299,6 +320,23 @@ def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select("doc_id", F.size("embedding").alias("dimensions"), F.round(F.sqrt(norm), 3).alias("length"))
 
 
+def length_signs():
+    """A stand-in for a model: four components, the signs of which are low bits of the text's length."""
+    return lambda texts: np.array([[1.0 if len(t) >> bit & 1 else -1.0 for bit in range(4)] for t in texts])
+
+
+@query(
+    "x12_model_embedding",
+    """SELECT doc_id, CAST(i AS INT) AS position, CASE WHEN coalesce(text, '') = '' THEN 0e0 WHEN (length(text) >> CAST(i AS INT)) & 1 = 1 THEN 0.5e0 ELSE -0.5e0 END AS component
+    FROM documents, (SELECT unnest(range(4)) AS i)""",
+)
+def model_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every component of the vectors of a model, at unit length."""
+    embed = embedding.model_embedding(length_signs, 4)
+    vectors = table(spark, sf_dir, "documents").select("doc_id", embed(F.col("text")).alias("embedding"))
+    return vectors.select("doc_id", F.posexplode("embedding").alias("position", "component")).withColumn("component", F.col("component").cast("double"))
+
+
 @query(
     "x13_reasoning",
     sql.select(
@@ -753,6 +791,12 @@ def social_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def rss_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contracts.accepted(feeds.mapping("rss")(rss_documents(spark, sf_dir)))
+    return found.select("report_id", "timestamp", "text", "url", joined(F.col("media_urls")).alias("media"), "language")
+
+
+def rss_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSS and Atom feeds of a report each, and some that do not parse."""
     reports = reports_view(spark, sf_dir)
     body = F.concat(F.lit("&lt;p&gt;"), "text", F.lit("&lt;/p&gt; today"))
     mail = F.date_format("timestamp", "EEE, dd MMM yyyy HH:mm:ss")
@@ -770,8 +814,7 @@ def rss_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     kind = F.col("seq")
     document = F.when(kind % 5 == 4, F.lit("<rss><broken")).when(kind % 2 == 0, rss).otherwise(atom)
-    found = contracts.accepted(feeds.mapping("rss")(reports.select(document.alias("value"))))
-    return found.select("report_id", "timestamp", "text", "url", joined(F.col("media_urls")).alias("media"), "language")
+    return reports.select(document.alias("value"))
 
 
 @query(
@@ -783,6 +826,12 @@ def rss_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def news_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contracts.accepted(feeds.mapping("news_json")(news_documents(spark, sf_dir)))
+    return found.select("report_id", "timestamp", "text", F.coalesce("city", F.lit("-")).alias("city"))
+
+
+def news_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News items as JSON, alone or in a list, some without a date."""
     reports = reports_view(spark, sf_dir)
     kind = F.col("seq") % 3
     item = F.to_json(
@@ -796,8 +845,7 @@ def news_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     document = F.when(kind == 0, F.concat(F.lit('{"items":['), item, F.lit(',{"title":"Cricket","pubDate":"x"}]}'))).otherwise(item)
-    found = contracts.accepted(feeds.mapping("news_json")(reports.select(document.alias("value"))))
-    return found.select("report_id", "timestamp", "text", F.coalesce("city", F.lit("-")).alias("city"))
+    return reports.select(document.alias("value"))
 
 
 @query(
@@ -825,38 +873,55 @@ def hashtag_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.select(*[F.get_json_object("value", path).alias(name) for name, path in fields.items()])
 
 
-@query(
-    "u1_union_sources",
-    """SELECT source, count(*) AS reports FROM (SELECT 'imd' AS source FROM events WHERE event_id % 7 > 1
-      UNION ALL SELECT 'open_meteo' FROM events WHERE event_id % 9 <> 0
-      UNION ALL SELECT 'x_social' FROM events WHERE event_id % 4 IN (1, 2)) GROUP BY source""",
-)
+#: Mapping: (source of its reports, query of its own, documents).
+_MAPPINGS = {
+    "stations": ("imd", "s1_station_reports", station_documents),
+    "grid_points": ("open_meteo", "s2_grid_point_reports", grid_documents),
+    "social": ("x_social", "s3_social_reports", post_documents),
+    "rss": ("news_rss", "s4_rss_reports", rss_documents),
+    "news_json": ("gazette", "s5_news_json", news_documents),
+}
+
+
+def _of_all_mappings(head: str) -> str:
+    parts = [
+        f"SELECT {sql.quoted(source if head == 'source' else name)} AS {head}, report_id, timestamp, text FROM ({ORACLES[own]})"
+        for name, (source, own, _) in _MAPPINGS.items()
+    ]
+    return " UNION ALL ".join(parts)
+
+
+@query("u1_union_sources", _of_all_mappings("source"))
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = (
-        ("stations", station_documents), ("grid_points", grid_documents), ("social", post_documents),
-    )
-    found = [contracts.accepted(feeds.mapping(name)(documents(spark, sf_dir))) for name, documents in parts]
-    return feeds.union_sources(*found).groupBy("source").agg(F.count("*").alias("reports"))
+    """The reports of all five sources as one batch."""
+    found = [contracts.accepted(feeds.mapping(name)(documents(spark, sf_dir))) for name, (_, _, documents) in _MAPPINGS.items()]
+    return feeds.union_sources(*found).select(F.lower("source").alias("source"), "report_id", "timestamp", "text")
+
+
+@query("d2_source_mappings", _of_all_mappings("mapping"))
+def source_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each registered mapping makes of its documents."""
+    found = [
+        contracts.accepted(feeds.mapping(name)(documents(spark, sf_dir))).select(F.lit(name).alias("mapping"), "report_id", "timestamp", "text")
+        for name, (_, _, documents) in _MAPPINGS.items()
+    ]
+    return feeds.union_sources(*found)
 
 
 @query(
-    "d2_source_mappings",
+    "d2_rejected_counts",
     """SELECT 'stations' AS mapping, count(*) FILTER (event_id % 7 > 1) AS accepted, count(*) FILTER (event_id % 7 <= 1) AS rejected FROM events
       UNION ALL SELECT 'grid_points', count(*) FILTER (event_id % 9 <> 0), count(*) FILTER (event_id % 9 = 0) FROM events
       UNION ALL SELECT 'social', count(*) FILTER (event_id % 4 IN (1, 2)), count(*) FILTER (event_id % 4 IN (0, 3)) FROM events""",
 )
-def source_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def counts(name: str, documents: DataFrame) -> DataFrame:
+def rejected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def counts(name: str) -> DataFrame:
         good = F.size("errors") == 0
-        return feeds.mapping(name)(documents).agg(
+        return feeds.mapping(name)(_MAPPINGS[name][2](spark, sf_dir)).agg(
             F.lit(name).alias("mapping"), F.count_if(good).alias("accepted"), F.count_if(~good).alias("rejected")
         )
 
-    return (
-        counts("stations", station_documents(spark, sf_dir))
-        .unionByName(counts("grid_points", grid_documents(spark, sf_dir)))
-        .unionByName(counts("social", post_documents(spark, sf_dir)))
-    )
+    return counts("stations").unionByName(counts("grid_points")).unionByName(counts("social"))
 
 
 # --- images and near duplicates -----------------------------------------------------------------------------
