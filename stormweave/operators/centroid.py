@@ -4,7 +4,8 @@ The position after report `n` is the rounded mean of the previous position and t
 on the order of reports. For an incident of any size it is still found in parallel: its reports are cut into
 parts by arrival number; the first part is a plain fold, every later part is folded for all positions it might
 start from. Positions are multiples of 0.0001 degrees inside the incident's extent, a few hundred per axis, so a
-part is a small table, and the tables are applied one after the other.
+part is a small table. Neighbouring tables are composed into one, some FAN at a time, until an incident has one left, so
+no row holds more than FAN tables however many reports there are.
 """
 
 from __future__ import annotations
@@ -17,8 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormweave.operators.merges import number_rows
+from stormweave.session import materialize
 
 _STEP = 10_000
+#: Tables composed into one in a round.
+FAN = 16
 
 
 def _rounded(values: np.ndarray) -> np.ndarray:
@@ -89,16 +93,36 @@ def _by_parts(located: DataFrame, part_size: int) -> DataFrame:
         .mapInPandas(_fold, schema)
     )
 
-    def applied(axis: str) -> Column:
-        """Start with the first part's only position and look it up in one table after the other."""
-        ordered = F.sort_array(F.collect_list(F.struct("part", f"{axis}_start", f"{axis}_table")))
+    parts = materialize(parts, "centroid-parts")
+    last = parts.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
+    while last > 0:
+        parts = materialize(_composed(parts), "centroid-parts")
+        last //= FAN
+    return parts.select(
+        "incident_id", F.element_at("lat_table", 1).alias("latitude"), F.element_at("lon_table", 1).alias("longitude")
+    )
+
+
+def _composed(parts: DataFrame) -> DataFrame:
+    """FAN neighbouring parts of an incident as one: where each start of the first ends after the last."""
+    axes = [f"{axis}_{what}" for axis in ("lat", "lon") for what in ("start", "table")]
+    in_order = F.sort_array(F.collect_list(F.struct("part", *axes)))
+    grouped = parts.groupBy("incident_id", F.floor(F.col("part") / FAN).alias("part")).agg(in_order.alias("run"))
 
-        def look_up(position: Column, part: Column) -> Column:
-            index = F.round(position * _STEP).cast("int") - part[f"{axis}_start"].cast("int") + 1
-            return F.when(part["part"] == 0, F.element_at(part[f"{axis}_table"], 1)).otherwise(
-                F.element_at(part[f"{axis}_table"], F.greatest(index, F.lit(1)))
-            )
+    def through(axis: str) -> Column:
+        def step(table: Column, part: Column) -> Column:
+            def end(position: Column) -> Column:
+                index = F.round(position * _STEP).cast("int") - part[f"{axis}_start"].cast("int") + 1
+                return F.element_at(part[f"{axis}_table"], F.greatest(index, F.lit(1)))
 
-        return F.aggregate(ordered, F.lit(0.0).cast("double"), look_up)
+            return F.transform(table, end)
 
-    return parts.groupBy("incident_id").agg(applied("lat").alias("latitude"), applied("lon").alias("longitude"))
+        return F.aggregate(F.slice("run", 2, FAN), F.get("run", 0)[f"{axis}_table"], step)
+
+    first = F.get("run", 0)
+    return grouped.select(
+        "incident_id", "part", *[c.alias(n) for n, c in (
+            ("lat_start", first["lat_start"]), ("lat_table", through("lat")),
+            ("lon_start", first["lon_start"]), ("lon_table", through("lon")),
+        )],
+    )

@@ -97,12 +97,28 @@ def roll_up(members: DataFrame) -> DataFrame:
     decimals, summed exactly so that it does not depend on partitioning; `centroid.running_centroid` gives the
     reference's position, which is rounded after every report.
     """
-    stats = members.groupBy("incident_id").agg(
-        F.min("timestamp").alias("first_reported_at"),
-        F.max("timestamp").alias("last_updated_at"),
-        F.count("*").alias("report_count"),
-        F.avg(F.col("latitude").cast(_EXACT)).cast("double").alias("mean_latitude"),
-        F.avg(F.col("longitude").cast(_EXACT)).cast("double").alias("mean_longitude"),
+    # Members are summed by cell first, in tasks before the shuffle; an incident has a few cells, however many reports.
+    per_cell = members.groupBy("incident_id", "cell").agg(
+        F.min("timestamp").alias("seen"),
+        F.max("timestamp").alias("last"),
+        F.count("*").alias("reports"),
+        *[agg for axis in ("latitude", "longitude") for agg in (
+            F.sum(F.col(axis).cast(_EXACT)).alias(f"{axis}_sum"), F.count(axis).alias(f"{axis}_count")
+        )],
+    )
+
+    def mean(axis: str) -> Column:
+        counted = F.sum(f"{axis}_count")
+        return F.try_divide(F.sum(f"{axis}_sum"), counted.cast("decimal(18,0)")).cast("double").alias(f"mean_{axis}")
+
+    arrivals = F.sort_array(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("seen", "cell"))))
+    stats = per_cell.groupBy("incident_id").agg(
+        F.min("seen").alias("first_reported_at"),
+        F.max("last").alias("last_updated_at"),
+        F.sum("reports").alias("report_count"),
+        mean("latitude"),
+        mean("longitude"),
+        F.transform(arrivals, lambda c: c["cell"]).alias("cells"),
     )
     openers = members.filter("opens").select(
         "incident_id",
@@ -121,7 +137,6 @@ def roll_up(members: DataFrame) -> DataFrame:
 
     return (
         openers.join(stats, "incident_id")
-        .join(covered_cells(members), "incident_id", "left")
         .select(
             "incident_id",
             title(
@@ -134,7 +149,7 @@ def roll_up(members: DataFrame) -> DataFrame:
             density_priority(count, category).alias("density_priority"),
             position("latitude"),
             position("longitude"),
-            F.coalesce("cells", F.array().cast("array<bigint>")).alias("cells"),
+            "cells",
             "city",
             "district",
             "state_name",

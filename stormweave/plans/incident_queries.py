@@ -125,7 +125,8 @@ def session_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def cluster_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.roll_up(session_members(spark, sf_dir)).select(
+    members = materialize(session_members(spark, sf_dir).drop(*correlate.HEAVY), "session-members")
+    return evidence.roll_up(members).select(
         "incident_id", "title", "event_category", "severity", "density_priority", "latitude", "longitude", "city",
         "state_name", "first_reported_at", "last_updated_at", "report_count",
     )
