@@ -36,7 +36,7 @@ from stormweave.functions.spatial import GRID, HexGrid, axial_q, axial_r, ring_o
 from stormweave.session import materialize
 
 #: A block's slice of time, and how long before it runs are replayed with it: a few times the window.
-SLICE_HOURS, HALO_HOURS = 336.0, 24.0
+SLICE_HOURS, HALO_HOURS = 336.0, 72.0
 
 _SEQ_SPAN = 10**19
 #: Columns that correlation never reads and that are large.

@@ -61,7 +61,8 @@ def flat(array: Column) -> Column:
     sql.select(sql.exact_members(), "SELECT report_id, incident_id, incident_category, opens FROM members"),
 )
 def exact_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = correlate.correlate_exact(reports_view(spark, sf_dir))
+    # The text is read in the scan and then left behind.
+    found = correlate.correlate_exact(correlate.with_features(reports_view(spark, sf_dir)).drop(*correlate.HEAVY))
     return found.select("report_id", "incident_id", "incident_category", "opens")
 
 
