@@ -106,6 +106,30 @@ def newest_first(incidents: DataFrame, limit: int = 50, offset: int = 0) -> Data
     return incidents.orderBy(F.desc("first_reported_at"), "incident_id").offset(offset).limit(limit)
 
 
+def newest_after(
+    incidents: DataFrame, limit: int = 50, after: tuple[dt.datetime, str] | None = None, days: int | None = None
+) -> DataFrame:
+    """The page of `newest_first` that follows an incident, given by its time and id.
+
+    Nothing before the page is read again, so page ten thousand costs what the first does. Where the table has a `day`
+    partition column, days after that of `after` are not read at all, and with `days` only that many up to it.
+    """
+    if not 1 <= limit <= 500:
+        raise ValueError("limit must be 1 to 500")
+    rows = incidents
+    if after is not None:
+        moment, incident_id = after
+        at = F.lit(moment)
+        rows = rows.filter((F.col("first_reported_at") < at) | ((F.col("first_reported_at") == at) & (F.col("incident_id") > incident_id)))
+        if "day" in incidents.columns:
+            # The day of the store is that of UTC.
+            last = moment.astimezone(dt.timezone.utc).date() if moment.tzinfo else moment.date()
+            rows = rows.filter(F.col("day") <= F.lit(last))
+            if days is not None:
+                rows = rows.filter(F.col("day") > F.lit(last - dt.timedelta(days=days)))
+    return rows.orderBy(F.desc("first_reported_at"), "incident_id").limit(limit)
+
+
 def top_priority(incidents: DataFrame, n: int = 3) -> DataFrame:
     return incidents.orderBy(F.desc_nulls_last("priority_score"), "incident_id").limit(n)
 

@@ -484,6 +484,33 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select("incident_id", "severity", "priority_score")
 
 
+@query(
+    "t1_page_after",
+    sql.select(
+        sql.INCIDENTS,
+        """SELECT incident_id, first_reported_at FROM inc WHERE first_reported_at < TIMESTAMP '2024-01-15'
+        ORDER BY first_reported_at DESC, incident_id LIMIT 40 OFFSET 20""",
+    ),
+)
+def page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pages by continuation, after a first one of twenty: each begins behind the last incident of the one before."""
+    with_day = inc(spark, sf_dir).withColumn("day", identity.utc_day(F.col("first_reported_at")))
+    middle = (dt.datetime(2024, 1, 15, tzinfo=UTC), "")
+    seen = filters.newest_after(with_day.filter(F.col("first_reported_at") < F.lit(middle[0])), 20, middle)
+    pages = []
+    for _ in range(2):
+        # One row: where the page before ended.
+        last = seen.orderBy(F.asc("first_reported_at"), F.desc("incident_id")).select("first_reported_at", "incident_id").first()
+        if last is None:
+            break
+        seen = filters.newest_after(with_day, 20, (last.first_reported_at.astimezone(UTC), last.incident_id))
+        pages.append(seen)
+    found = pages[0]
+    for more in pages[1:]:
+        found = found.unionByName(more)
+    return found.select("incident_id", "first_reported_at")
+
+
 @query(
     "t2_top_priority",
     sql.select(sql.INCIDENTS, "SELECT incident_id, priority_score FROM inc ORDER BY priority_score DESC NULLS LAST, incident_id LIMIT 3"),

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from conftest import SF_DIR
@@ -69,3 +70,22 @@ def test_no_cross_joins_and_hash_aggregates(spark):
     featured = correlate.with_features(reports_view(spark, SF_DIR))
     plan = plan_of(correlate.session_buckets(featured, ["cell", "event_category"]))
     assert "HashAggregate" in plan and "SortAggregate" not in plan and "CartesianProduct" not in plan
+
+
+def test_a_page_by_continuation_reads_its_days_only(spark, folder):
+    import datetime as dt
+
+    from stormweave.operators import filters
+    from stormweave.plans.incident_queries import inc, stored
+    from stormweave.sources.tables import Tables
+
+    made = stored(spark, SF_DIR)
+    store = Tables(spark, folder)
+    store.merge_incidents(made._replace(members=made.members.select("incident_id", "report_id", "timestamp")))
+    after = (dt.datetime(2024, 1, 20, 5, tzinfo=dt.timezone.utc), "")
+    page = filters.newest_after(store.read("incidents"), 10, after, days=2)
+    assert "(day#" in plan_of(page).split("PartitionFilters")[1]
+    files = {f.split("/day=")[1][:10] for f in page.inputFiles()}
+    assert files <= {"2024-01-19", "2024-01-20"} and page.count() == 10
+    whole = filters.newest_first(inc(spark, SF_DIR).filter(F.col("first_reported_at") < F.lit(after[0])), 10)
+    assert [r.incident_id for r in page.collect()] == [r.incident_id for r in whole.collect()]
