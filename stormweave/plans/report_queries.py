@@ -927,15 +927,15 @@ def rejected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- images and near duplicates -----------------------------------------------------------------------------
 
 
-def vector_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grey 9 x 8 images made of the embedding vectors, in the schema of Spark's image source."""
+def vector_images(spark: SparkSession, sf_dir: str, width: int = 9, height: int = 8) -> DataFrame:
+    """Grey images made of the embedding vectors, in the schema of Spark's image source."""
     level = F.transform(
-        F.sequence(F.lit(0), F.lit(71)),
+        F.sequence(F.lit(0), F.lit(width * height - 1)),
         lambda i: F.lpad(F.hex(F.floor((F.get("embedding", i % 64).cast("double") + 1) * 127).cast("bigint")), 2, "0"),
     )
     return table(spark, sf_dir, "embeddings").select(
         F.struct(
-            F.col("vec_id").cast("string").alias("origin"), F.lit(8).alias("height"), F.lit(9).alias("width"),
+            F.col("vec_id").cast("string").alias("origin"), F.lit(height).alias("height"), F.lit(width).alias("width"),
             F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.unhex(F.array_join(level, "")).alias("data"),
         ).alias("image")
     )
@@ -954,6 +954,42 @@ def image_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.select("origin", images.hash_text(F.col("hash")).alias("phash"))
 
 
+def _lanczos(source: int, target: int) -> str:
+    """The weights of a Lanczos-3 reduction as a list of lists in SQL."""
+    scale = source / target
+    rows = []
+    for out in range(target):
+        middle = scale * (out + 0.5)
+        raw = []
+        for i in range(source):
+            x = (i + 0.5 - middle) / scale
+            inside = int(middle - 3 * scale + 0.5) <= i < int(middle + 3 * scale + 0.5) and abs(x) < 3
+            raw.append(float(np.sinc(x) * np.sinc(x / 3)) if inside else 0.0)
+        rows.append("[" + ", ".join(sql.dbl(w / sum(raw)) for w in raw) + "]")
+    return "[" + ", ".join(rows) + "]"
+
+
+def _level(weights: str, pixels: str) -> str:
+    return f"least(greatest(floor(list_sum(list_transform(list_zip({weights}, {pixels}), lambda t: t[1] * t[2])) + 0.5e0), 0e0), 255e0)"
+
+
+@query(
+    "s15_resized_images",
+    f"""WITH px AS (SELECT vec_id, list_transform(range(30 * 22), lambda i: floor((CAST(embedding[i % 64 + 1] AS DOUBLE) + 1) * 127)) AS p FROM embeddings),
+    row_ AS (SELECT vec_id, r, p[r * 30 + 1 : r * 30 + 30] AS line FROM px, (SELECT unnest(range(22)) AS r)),
+    across AS (SELECT vec_id, r, x, {_level("w", "line")} AS v FROM row_, (SELECT unnest({_lanczos(30, 9)}) AS w, unnest(range(9)) AS x)),
+    columns_ AS (SELECT vec_id, x, list(v ORDER BY r) AS down FROM across GROUP BY vec_id, x),
+    small AS (SELECT vec_id, x, y, {_level("w", "down")} AS v FROM columns_, (SELECT unnest({_lanczos(22, 8)}) AS w, unnest(range(8)) AS y)),
+    bits AS (SELECT vec_id, y * 8 + x AS n, v > lead(v) OVER (PARTITION BY vec_id, y ORDER BY x) AS up FROM small),
+    digits AS (SELECT vec_id, n // 4 AS g, sum(CASE WHEN up THEN 8 >> CAST(n % 4 AS INT) ELSE 0 END) AS d FROM bits WHERE up IS NOT NULL GROUP BY ALL)
+    SELECT CAST(vec_id AS VARCHAR) AS origin, string_agg(substr('0123456789abcdef', 1 + CAST(d AS INT), 1), '' ORDER BY g) AS phash FROM digits GROUP BY vec_id""",
+)
+def resized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 30 x 22 pixels, which have to be made smaller first."""
+    hashed = images.hash_images(vector_images(spark, sf_dir, 30, 22))
+    return hashed.select("origin", images.hash_text(F.col("hash")).alias("phash"))
+
+
 def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64-bit majority hash of each document's distinct words (a hash column to find neighbours on)."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
