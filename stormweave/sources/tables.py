@@ -31,6 +31,7 @@ _DDL = {
 }
 _CHILDREN = ("incident_members", "evidence_items", "incident_timeline")
 STUB = "stub"
+_STUB_DDL = "report_id string, day date"
 EVIDENCE_KEY = ["incident_id", "report_id"]
 
 
@@ -96,8 +97,15 @@ class Tables:
         return self.spark.read.schema(reports.schema).parquet(path)
 
     def _drop_stubs(self, reports: DataFrame) -> None:
-        """Remove placeholders of reports that are stored by now."""
-        of_them = self.read("reports").filter(F.col("source_type") == STUB).join(reports.select("report_id"), "report_id", "left_semi")
+        """Remove placeholders of reports that are stored by now.
+
+        Only days that ever got a placeholder of one of these ids are read.
+        """
+        if not self._exists(self._stub_days()):
+            return
+        ids = reports.select("report_id")
+        noted = self.spark.read.schema(_STUB_DDL).parquet(self._stub_days()).join(ids, "report_id", "left_semi")
+        of_them = self.of_days("reports", materialize(noted, "noted-stubs")).filter(F.col("source_type") == STUB).join(ids, "report_id", "left_semi")
         gone = materialize(of_them.select("report_id", "source_type", "day"), "stubs")
         if not gone.isEmpty():
             left = self.of_days("reports", gone).join(gone, ["report_id", "source_type"], "left_anti")
@@ -118,7 +126,13 @@ class Tables:
         typed = self.spark.createDataFrame([], REPORT_DDL).unionByName(
             stubs.select(*[c for c in columns(REPORT_DDL) if c in known]), allowMissingColumns=True
         )
-        self.append("reports", typed.withColumn("day", utc_day(F.col("timestamp"))))
+        placed = materialize(typed.withColumn("day", utc_day(F.col("timestamp"))), "placeholders")
+        # Noted first: a note without a placeholder does no harm.
+        placed.select("report_id", "day").write.mode("append").parquet(self._stub_days())
+        self.append("reports", placed)
+
+    def _stub_days(self) -> str:
+        return self.path("_stub_days")
 
     # --- incidents
 
