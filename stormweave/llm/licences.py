@@ -3,7 +3,8 @@
 Phrases are matched on words, so line breaks, punctuation and case between them do not matter: ASCII letters are
 lower-cased, everything in ASCII that is not a letter or digit separates words, and one automaton over the joined
 words finds all places of all phrases at once. A second automaton finds identifier tags in the text as it stands; the
-expression behind a tag is parsed by precedence (WITH over AND over OR) and evaluated.
+expression behind a tag, up to the next tag or the end of its line, is parsed by precedence (WITH over AND over OR) and
+evaluated.
 
 One pass over each whole text, no exchange; a task holds one Arrow batch. Defined results: null and empty texts have no
 words and no labels, repeated rows are scanned one by one, an empty table gives an empty result, and no columns but the
@@ -13,6 +14,7 @@ key and the text are read. A malformed expression is kept as text with no labels
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -104,38 +106,62 @@ def postfix(tokens: list[str]) -> list[str] | None:
 
 
 def evaluate(expression: list[str]) -> Verdict | None:
-    """Labels an expression names and whether it allows a permissive choice; None if WITH stands before no exception."""
-    stack: list[Verdict] = []
+    """Labels an expression names and whether it allows a permissive choice; None if it is not whole."""
+    stack: list[tuple[frozenset[str], bool, deque[str]]] = []
     for token in expression:
-        if token not in _PRECEDENCE:
+        if token.lower() not in _PRECEDENCE:
             family = FAMILIES.get(token.lower().split("-")[0].rstrip("+"))
-            stack.append(Verdict(frozenset({family} if family else ()), family in PERMISSIVE, token))
+            stack.append((frozenset({family} if family else ()), family in PERMISSIVE, deque([token])))
             continue
-        right, left = stack.pop(), stack.pop()
-        text = f"({left.text} {token.upper()} {right.text})"
+        (right, free_right, after), (labels, free, before) = stack.pop(), stack.pop()
+        text = _joined(before, f" {token.upper()} ", after)
         if token == "with":
             # The right side names an exception, not a licence.
-            stack.append(Verdict(left.labels, left.permissive, text))
+            stack.append((labels, free, text))
         elif token == "and":
-            stack.append(Verdict(left.labels | right.labels, left.permissive and right.permissive, text))
+            stack.append((labels | right, free and free_right, text))
         else:
-            stack.append(Verdict(left.labels | right.labels, left.permissive or right.permissive, text))
-    return stack[0] if len(stack) == 1 else None
+            stack.append((labels | right, free or free_right, text))
+    return Verdict(stack[0][0], stack[0][1], "".join(stack[0][2])) if len(stack) == 1 else None
 
 
-def parse(text: str) -> Verdict | None:
-    """The expression at the start of a text: as many tokens as form one."""
+def _joined(before: deque[str], operator: str, after: deque[str]) -> deque[str]:
+    """Both sides in brackets; the shorter one is moved, so a long chain isn't copied at each operator."""
+    if len(before) >= len(after):
+        before.append(operator)
+        before.extend(after)
+        text = before
+    else:
+        after.appendleft(operator)
+        after.extendleft(reversed(before))
+        text = after
+    text.appendleft("(")
+    text.append(")")
+    return text
+
+
+def parse(text: str, cut: bool = False) -> Verdict | None:
+    """The expression at the start of a text: as many tokens as form one.
+
+    Where the text was `cut` off at the next tag, an operator before the cut is left out.
+    """
     tokens: list[str] = []
     depth, was_operand = 0, False
-    for token in _TOKEN.findall(text):
+    for found in _TOKEN.finditer(text):
+        token = found[0]
         operator = token.lower() in _PRECEDENCE
         if was_operand and not operator and token != ")":
             break
         if token == ")" and depth == 0:
             break
+        if not was_operand and (operator or token == ")"):
+            return None
         depth += (token == "(") - (token == ")")
         was_operand = token == ")" or not (operator or token == "(")
         tokens.append(token)
+    else:
+        if cut and tokens and tokens[-1].lower() in _PRECEDENCE:
+            tokens.pop()
     ordered = postfix(tokens)
     return evaluate(ordered) if ordered else None
 
@@ -171,9 +197,13 @@ def scanner() -> Callable[[str], tuple]:
                 base_labels.add(label)
         expressions = []
         if ":" in text:
-            for end, _ in tags.iter(_lower(text)):
-                line = text[end + 1 : _line_end(text, end + 1)]
-                verdict = parse(line)
+            # An expression ends at the next tag or with its line.
+            found = list(tags.iter(_lower(text)))
+            bounds = [end - length + 1 for end, length in found[1:]] + [len(text)]
+            for (end, _), bound in zip(found, bounds, strict=True):
+                stop = text.find("\n", end + 1, bound)
+                line = text[end + 1 : bound if stop < 0 else stop]
+                verdict = parse(line, stop < 0 and bound < len(text))
                 doubt *= 1 - EXPRESSION_WEIGHT * bool(verdict)
                 labels |= verdict.labels if verdict else frozenset()
                 expressions.append((verdict.text if verdict else line.strip(), verdict.permissive if verdict else None))
@@ -190,11 +220,6 @@ def _lower(text: str) -> str:
     return text.translate(_UPPER) if not text.isascii() else text.lower()
 
 
-def _line_end(text: str, start: int) -> int:
-    end = text.find("\n", start)
-    return len(text) if end < 0 else end
-
-
 FOUND = (
     "doc_id bigint, n_words bigint, places array<struct<word: bigint, phrase: string, label: string, base: boolean>>, "
     "expressions array<struct<text: string, permissive: boolean>>, base_labels array<string>, labels array<string>, "
