@@ -8,7 +8,8 @@ table cells are padded to the width of their column (columns that a cell above t
 preformatted text stays as it is. Option labels are lines; texts of drawings and the fallback of an object flow.
 
 Each page is rendered whole in its own row; no exchange, and one Arrow batch in memory. Parsing and rendering walk the
-tree without recursion, tables in tables too, so deep nesting is no problem. Defined results: null and empty pages give an empty text,
+tree without recursion, tables in tables too, so deep nesting is no problem; indents stop at `INDENT` characters. A page
+of unclosed tags or of end tags that close nothing takes time in proportion to its length. Defined results: null and empty pages give an empty text,
 repeated rows are rendered one by one, an empty table gives an empty result, and only the key and the page are read.
 Broken markup never fails: a lone `<` is text, unknown tags are inline, end tags without a start are dropped.
 """
@@ -17,14 +18,18 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormweave.llm.scan import per_text
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+#: Attributes up to the end of a tag, and one piece of them.
+_REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+_PIECE = re.compile(r"[^<>\"']++|<|\"[^\"]*\"|'[^']*'")
+_LONG_NUMBER = re.compile(r"&#[0-9]{4000,};?")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -61,6 +66,8 @@ _P_BOUNDARY = frozenset(("td", "th", "table", "button", "caption", "html", "body
 #: Parts of a drawing that are not drawn where they stand. Columns of a table that cells of earlier rows are kept in.
 UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker".split())
 COLUMNS = 1000
+#: Characters of indent at most, so that a page of very deep lists stays of its size.
+INDENT = 80
 
 
 class Element:
@@ -72,78 +79,146 @@ class Element:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
+def _unescape(text: str) -> str:
+    # A number of thousands of digits is no character; `html` refuses to read it.
+    return html.unescape(_LONG_NUMBER.sub("\ufffd", text) if "&#" in text else text)
+
+
 def _attributes(source: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for name, double, single, bare in _ATTRIBUTE.findall(source):
-        found.setdefault(name.lower(), html.unescape(double or single or bare))
+        found.setdefault(name.lower(), _unescape(double or single or bare))
     return found
 
 
+class Tags:
+    """The tags of a page in order, each place of which is read a bounded number of times."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        # Places between attributes from which no end of a tag is reached.
+        self.dead: set[int] = set()
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start and end of the next tag or comment with its slash, name and attributes (a comment has no name)."""
+        source = self.source
+        while (start := source.find("<", at)) >= 0:
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                return start, len(source) if end < 0 else end + 3, "", "", ""
+            if start > self.last:
+                # No tag ends behind here, but a comment may begin.
+                at = source.find("<!--", start)
+                if at < 0:
+                    return None
+                continue
+            if source[start + 1] in "!?":
+                return start, source.index(">", start) + 1, "", "", ""
+            name = _NAME.match(source, start)
+            if not name:
+                at = start + 1
+                continue
+            end = self._end(name.end())
+            if end:
+                return start, end, name[1], name[2], source[name.end() : end - 1]
+            # A `<` within the name would lead to the same place.
+            at = name.end()
+        return None
+
+    def _end(self, at: int) -> int:
+        """The place after the `>` of a tag whose attributes begin at `at`; 0 if there is none."""
+        if not self.dead:
+            found = _REST.match(self.source, at)
+            if found:
+                return found.end()
+        passed = []
+        while at not in self.dead:
+            passed.append(at)
+            piece = _PIECE.match(self.source, at)
+            if not piece:
+                if at < len(self.source) and self.source[at] == ">":
+                    return at + 1
+                break
+            at = piece.end()
+        self.dead.update(passed)
+        return 0
+
+
+class Open:
+    """The stack of open elements, with the places of each tag in it."""
+
+    def __init__(self, root: Element):
+        self.elements, self.places = [root], {}
+
+    @property
+    def top(self) -> Element:
+        return self.elements[-1]
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.tag, []).append(len(self.elements))
+        self.elements.append(element)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of one of the tags, 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def cut(self, at: int) -> None:
+        """Close the element at this place and all within."""
+        while len(self.elements) > at:
+            self.places[self.elements.pop().tag].pop()
+
+
 def build_tree(source: str) -> Element:
     """The tree of a page, with implied end tags."""
     root = Element("#root", {})
-    open_, at = [root], 0
-    while found := _TAG.search(source, at):
-        if found.start() > at:
-            open_[-1].children.append(html.unescape(source[at : found.start()]))
-        at = found.end()
-        if not found[2]:
+    open_, tags, at = Open(root), Tags(source), 0
+    while found := tags.after(at):
+        start, end, slash, name, rest = found
+        if start > at:
+            open_.top.children.append(_unescape(source[at:start]))
+        at = end
+        if not name:
             continue
-        tag = found[2].lower()
-        if found[1]:
+        tag = name.lower()
+        if slash:
             _close(open_, tag)
             continue
         _imply(open_, tag)
-        rest = found[3]
         element = Element(tag, _attributes(rest) if rest.strip(" /") else {})
-        open_[-1].children.append(element)
-        if tag in UNDRAWN and any(e.tag == "svg" for e in open_):
+        open_.top.children.append(element)
+        if tag in UNDRAWN and open_.last(("svg",)):
             element.attributes["hidden"] = ""
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-            raw = source[at : end.start() if end else len(source)]
-            element.children.append(raw if tag in ("script", "style", "xmp") else html.unescape(raw))
-            at = end.end() if end else len(source)
+            closing = re.compile(rf"</{tag}\b", re.I).search(source, at)
+            end = source.find(">", closing.end()) if closing else -1
+            raw = source[at : closing.start() if end >= 0 else len(source)]
+            element.children.append(raw if tag in ("script", "style", "xmp") else _unescape(raw))
+            at = end + 1 if end >= 0 else len(source)
         elif tag not in VOID:
-            open_.append(element)
+            open_.push(element)
     if at < len(source):
-        open_[-1].children.append(html.unescape(source[at:]))
+        open_.top.children.append(_unescape(source[at:]))
     return root
 
 
-def _close(open_: list[Element], tag: str) -> None:
-    for k in range(len(open_) - 1, 0, -1):
-        if open_[k].tag == tag:
-            del open_[k:]
-            return
-        # The end of an inline element doesn't reach beyond its table cell.
-        if open_[k].tag in ("td", "th") and tag not in BLOCK and tag not in _PARTS:
-            return
-    if tag == "p":
-        open_[-1].children.append(Element("p", {}))
+def _close(open_: Open, tag: str) -> None:
+    at = open_.last((tag,))
+    # The end of an inline element doesn't reach beyond its table cell.
+    if at and (tag in BLOCK or tag in _PARTS or at >= open_.last(("td", "th"))):
+        open_.cut(at)
+    elif tag == "p":
+        open_.top.children.append(Element("p", {}))
 
 
-def _imply(open_: list[Element], tag: str) -> None:
-    if tag in _CLOSES_P:
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].tag == "p":
-                del open_[k:]
-                break
-            if open_[k].tag in _P_BOUNDARY:
-                break
+def _imply(open_: Open, tag: str) -> None:
+    if tag in _CLOSES_P and (at := open_.last(("p",))) > open_.last(_P_BOUNDARY):
+        open_.cut(at)
     if rule := IMPLIED.get(tag):
         closes, boundary = rule
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].tag in boundary:
-                break
-            if open_[k].tag in closes:
-                del open_[k:]
-                break
-    if tag == "body":
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].tag == "head":
-                del open_[k:]
-                break
+        if (at := open_.last(closes)) > open_.last(boundary):
+            open_.cut(at)
+    if tag == "body" and (at := open_.last(("head",))):
+        open_.cut(at)
 
 
 def visible(element: Element) -> bool:
@@ -195,10 +270,13 @@ class Canvas:
             self.blank = False
             self.lines.append((self.indent + self.marker + line).rstrip() if not keep else self.indent + line)
             if self.marker:
-                self.indent += " " * len(self.marker)
+                self.deepen(len(self.marker))
                 self.marker = ""
         self.now, self.space = [], False
 
+    def deepen(self, n: int) -> None:
+        self.indent += " " * min(n, INDENT - len(self.indent))
+
     def block(self, spaced: bool) -> None:
         self.end_line()
         self.blank = self.blank or spaced
@@ -270,7 +348,7 @@ def _enter(node: Element, canvas: Canvas, stack: list, lists: list, pre: bool) -
     if tag in ("ul", "ol"):
         start = node.attributes.get("start", "1")
         lists.append([tag, int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1])
-        canvas.indent += "  " if len(lists) > 1 else ""
+        canvas.deepen(2 if len(lists) > 1 else 0)
     elif tag == "li":
         if lists and lists[-1][0] == "ol":
             canvas.marker = f"{lists[-1][1]}. "
@@ -278,7 +356,7 @@ def _enter(node: Element, canvas: Canvas, stack: list, lists: list, pre: bool) -
         else:
             canvas.marker = "- "
     elif tag in ("dd", "blockquote"):
-        canvas.indent += "  "
+        canvas.deepen(2)
     stack.append((iter(node.children), leave, pre or tag == "pre", canvas, lists))
 
 
