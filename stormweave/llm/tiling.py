@@ -7,9 +7,12 @@ fingerprints of consecutive windows extend a match word by word), the longest ma
 texts is marked as a tile, matches it overlaps are cut back, and so on until none of `SEED` words is left. Tiles may
 stand in any order, so reordered passages add up: a document is contaminated by an item if tiles cover `COVERAGE` of it.
 
-Documents are read once, whole; a bit table of fixed size holds the item windows, so only seeds leave the scan. Seeds meet
-items in an ordinary join, whose smaller side Spark chooses by size: a benchmark of any size works. What is
-shuffled is proportional to the matches, and a group is the seeds of one document with one item.
+Documents are read once, whole; a bit table of fixed size holds the item windows, so only seeds leave the scan. A window
+that very many documents hold (a prompt, a notice) brings no pair about: of each item as many of its most frequent
+windows are set aside as cover less than `COVERAGE` of its words, so a document that holds no other window of the item
+can't be contaminated by it, and documents meet items on the other windows only. The pairs that met then get all their
+seeds back, those set aside too, by joins whose smaller side Spark chooses by size: a benchmark of any size works. A
+group is the seeds of one document with one item.
 
 Defined results: null and empty texts and items match nothing, nor do items shorter than `SEED` words; items with a null
 id have the null as their id; repeated document rows give repeated rows; empty tables give an empty result; no other
@@ -101,6 +104,33 @@ def _windows(rows: DataFrame, seed: int, schema: str, table=None) -> DataFrame:
     return rows.mapInArrow(scan, schema)
 
 
+def _meeting(item_windows: DataFrame, hits: DataFrame, kind: str, seed: int, coverage: float) -> DataFrame:
+    """(window, item_id, item_body, item_words): the windows on which documents meet an item.
+
+    The windows of an item that documents hold are taken by falling frequency while their union covers less than
+    `coverage` of the item; all after these are for meeting.
+    """
+    frequency = hits.groupBy("window").agg(F.count("*").alias("frequency"))
+    held = item_windows.join(frequency, "window").select("window", "item_id", "item_body", "item_words", "item_at", "frequency")
+
+    def rarer(rows: pa.Table) -> pa.Table:
+        at, frequent = rows.column("item_at").to_numpy(), rows.column("frequency").to_numpy()
+        words = rows.column("item_words")[0].as_py()
+        covered, total = np.zeros(words, bool), 0
+        order = np.lexsort((at, -frequent))
+        for k, place in enumerate(at[order]):
+            here = covered[place : place + seed]
+            total += int(seed - here.sum())
+            if total / words >= coverage:
+                return rows.take(pa.array(order[k:])).drop_columns(["item_at", "frequency"])
+            here[:] = True
+        return rows.slice(0, 0).drop_columns(["item_at", "frequency"])
+
+    schema = f"window long, item_id {kind}, item_body long, item_words long"
+    # A group holds the windows of one benchmark item.
+    return held.groupBy("item_id", "item_body").applyInArrow(rarer, schema).distinct()
+
+
 def overlaps(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, body (hash of the text), item_id, covered words, item words, coverage, tiles, longest tile.
 
@@ -115,12 +145,21 @@ def overlaps(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage: floa
     rows = texts(docs).select("doc_id", F.xxhash64("text").alias("body"), "text")
     hits = _windows(rows, seed, "doc_id long, body long, words long, window long, at long", table)
     # A row of repeated documents counts once here; their rows come back when the result is joined.
-    seeds = hits.join(item_windows, "window").select("doc_id", "body", "item_id", "item_body", "item_words", "at", "item_at")
-    pairs = seeds.groupBy("doc_id", "body", "item_id", "item_body", "item_words").agg(
+    hits = materialize(hits.select("doc_id", "body", "window", "at").distinct(), "bench-hits")
+    item = ["item_id", "item_body", "item_words"]
+    meeting = _meeting(item_windows, hits, kind, seed, coverage)
+    met = materialize(hits.join(meeting, "window").select("doc_id", "body", *item).distinct(), "bench-met")
+    windows = item_windows.select(*[F.col(c).alias(f"_{c}") for c in item], "window", "item_at")
+    of_item = F.col("item_id").eqNullSafe(F.col("_item_id")) & (F.col("item_body") == F.col("_item_body"))
+    wanted = met.join(windows, of_item).select("doc_id", "body", *item, "window", "item_at")
+    of_doc = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("body") == F.col("_body")) & (F.col("window") == F.col("_window"))
+    places = hits.select(F.col("doc_id").alias("_doc_id"), F.col("body").alias("_body"), F.col("window").alias("_window"), "at")
+    seeds = wanted.join(places, of_doc).select("doc_id", "body", *item, "at", "item_at")
+    pairs = seeds.groupBy("doc_id", "body", *item).agg(
         F.collect_set(F.struct("at", "item_at")).alias("seeds"), F.count_distinct("item_at").alias("distinct")
     )
     # n different windows cover at most n * seed words of the item.
-    pairs = pairs.filter(F.col("distinct") * seed >= coverage * F.col("item_words"))
+    pairs = pairs.filter(F.col("distinct") * seed / F.col("item_words") >= coverage)
 
     def tile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

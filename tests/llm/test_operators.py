@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -149,6 +150,23 @@ def test_licence_expressions():
 # --- 9
 
 
+def test_licence_tags_on_one_line():
+    scan = licences.scanner()
+    *_, expressions, _, labels, _ = scan("License-Expression: MIT AND SPDX-License-Identifier: (Apache-2.0 OR GPL-3.0) x")
+    assert [e[0] for e in expressions] == ["MIT", "(Apache-2.0 OR GPL-3.0)"]
+    assert labels == ["apache", "gpl", "mit"]
+    assert licences.parse("mit and") is None and licences.parse("mit and", cut=True).text == "mit"
+    for line in (
+        "spdx-license-identifier: mit and apache or " * 5_000,
+        "license-expression:" * 10_000,
+        "license-expression: " + "mit or " * 30_000 + "mit",
+        "license-expression: " + "(mit or " * 30_000 + "mit" + ")" * 30_000,
+    ):
+        started = time.process_time()
+        scan(line)
+        assert time.process_time() - started < 5
+
+
 def plain_personal_data(text: str):
     found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
@@ -227,6 +245,35 @@ def test_rendering_of_tables_in_tables():
     assert rendering.renderer()("<table><tr><td>in " * 3000 + "deep")[1].split() == ["in"] * 3000 + ["deep"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a b" * 50_000,
+        "<a b" * 50_000 + ' ">',
+        "<a \"'>" * 30_000 + '"',
+        "<!" * 100_000,
+        "<b>" * 30_000 + "</i>" * 30_000,
+        "<b><table><tr><td>" + "<i>" * 30_000 + "</b>" * 30_000,
+        "<title>" + "</title " * 25_000,
+        "&#" + "1" * 200_000 + ";",
+        "<ul><li>x" * 20_000,
+    ],
+)
+def test_rendering_takes_time_in_proportion(page):
+    started = time.process_time()
+    rendering.renderer()(page)
+    # A quadratic reader takes minutes for 200 KB.
+    assert time.process_time() - started < 5
+
+
+def test_rendering_of_unclosed_tags():
+    text = lambda page: rendering.renderer()(page)[1]
+    assert text("1 <a b <p>2</p> <a \"x") == '1 2\n\n<a "x'
+    assert text("a < b <!-- c --> d <a 'e> f") == "a < b d <a 'e> f"
+    assert text("a <b 'x>y'>c</b> <i \"d") == 'a c <i "d'
+    assert text("&#" + "1" * 5_000 + "; &#65;") == "\ufffd A"
+
+
 def test_rendering_keeps_all_visible_text(spark):
     import html
     from html.parser import HTMLParser
@@ -448,6 +495,42 @@ def test_reordered_passages_are_caught(spark, docs, odd, none):
     assert tiling.clean(odd, items.limit(0)).columns == odd.columns
 
 
+def test_tiling_finds_what_all_pairs_give(spark):
+    rng = random.Random(9)
+    prompt = [f"p{k}" for k in range(9)]
+    items, rows = [], []
+    for k in range(30):
+        own = [rng.choice("abcdefgh") + str(k % 5) for _ in range(rng.randint(3, 14))]
+        items.append((k if k % 7 else None, " ".join(rng.choice([prompt + own, own + prompt, own, prompt[:6] * 2]))))
+    for k in range(120):
+        words = " ".join(t for _, t in rng.sample(items, 2)).split()
+        cuts = sorted(rng.sample(range(len(words)), 2)) if len(words) > 2 else [0, 0]
+        rows.append((k if k % 11 else None, " ".join(rng.choice([words[cuts[0] :] + words[: cuts[1]], words, words[: cuts[1]], prompt]))))
+    want = set()
+    for d, text in rows:
+        for i, item in items:
+            t, x = text.split(), item.split()
+            at = [(a, b) for a in range(len(t) - 4) for b in range(len(x) - 4) if t[a : a + 5] == x[b : b + 5]]
+            covered = sum(n for *_, n in tiling.tiles(*np.array(at, np.int64).reshape(-1, 2).T)) if at else 0
+            if len(x) and covered / len(x) >= 0.6:
+                want.add((d, i, covered, len(x)))
+    found = tiling.overlaps(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert {(r.doc_id, r.item_id, r.covered, r.item_words) for r in found} == want and len(want) > 50
+
+
+def test_a_prompt_in_all_texts_brings_no_pairs_about(spark):
+    n = 1_500
+    prompt = passage(70, 12)
+    other = lambda of: F.concat_ws(" ", *[F.concat(F.lit(f"{of}{k}x"), F.col("id")) for k in range(28)])
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(prompt), other("d")).alias("text"))
+    items = spark.range(n).select(F.col("id").alias("item_id"), F.concat_ws(" ", F.lit(prompt), other("i")).alias("text"))
+    started = time.monotonic()
+    assert tiling.overlaps(rows, items).count() == 0
+    assert time.monotonic() - started < 60  # pairs of all with all take minutes
+
+
 def test_benchmark_passages_of_the_tables(spark, by_id):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     fold = lambda t: " ".join(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)).lower()
