@@ -21,6 +21,7 @@ from stormweave.operators import merges
 from stormweave.operators.incidents import IncidentTables
 from stormweave.schemas import EVIDENCE_DDL, INCIDENT_DDL, MEMBER_DDL, REPORT_DDL, TIMELINE_DDL, columns
 from stormweave.session import materialize
+from stormweave.sources.idindex import DayIndex
 
 _DDL = {
     "reports": REPORT_DDL,
@@ -136,11 +137,31 @@ class Tables:
 
     # --- incidents
 
-    def _placed(self, incidents: DataFrame) -> DataFrame:
-        """incident_id, day and stored_day: an incident is found by its id wherever it is stored."""
-        own = incidents.select("incident_id", utc_day(F.col("first_reported_at")).alias("day"))
-        known = self.read("incidents").select("incident_id", F.col("day").alias("stored_day"))
-        return materialize(own.join(known, "incident_id", "left"), "placed")
+    @property
+    def incident_days(self) -> DayIndex:
+        """Where incidents are stored; made from the table where a store has none yet."""
+        index = DayIndex(self.spark, self.path("_incident_days"), "incident_id")
+        if not index.exists() and self._exists(self.path("incidents")):
+            index.note(self.read("incidents").select("incident_id", "day"))
+        return index
+
+    def _stored(self, incidents: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(incident_id, day) of those incidents that are stored, and what the index has noted of them."""
+        noted = materialize(self.incident_days.days(incidents), "noted-days")
+        stored = self.of_days("incidents", noted).join(noted.select("incident_id").distinct(), "incident_id", "left_semi")
+        return stored.select("incident_id", "day"), noted
+
+    def _placed(self, incidents: DataFrame, moving: bool = False) -> DataFrame:
+        """incident_id, day and stored_day: an incident is found by its id wherever it is stored.
+
+        The day it will be stored on, its own if it is `moving`, is noted.
+        """
+        own = materialize(incidents.select("incident_id", utc_day(F.col("first_reported_at")).alias("day")), "own-days")
+        stored, noted = self._stored(own)
+        placed = materialize(own.join(stored.withColumnRenamed("day", "stored_day"), "incident_id", "left"), "placed")
+        day = F.col("day") if moving else F.coalesce("stored_day", "day")
+        self.incident_days.note(placed.select("incident_id", day.alias("day")).join(noted, ["incident_id", "day"], "left_anti"))
+        return placed
 
     def merge_incidents(self, batch: IncidentTables, refresh: bool = False) -> DataFrame:
         """Merge that preserves edits (J12); gives back the stored incidents of the batch.
@@ -163,7 +184,7 @@ class Tables:
 
     def replace_incidents(self, batch: IncidentTables) -> DataFrame:
         """Upsert that replaces scalars and reconciles children."""
-        placed = self._placed(batch.incidents)
+        placed = self._placed(batch.incidents, moving=True)
         touched = placed.select("incident_id", "day")
         days = materialize(touched.select("day").union(placed.filter("stored_day IS NOT NULL").select("stored_day")).distinct(), "touched-days")
         has_summary = materialize(
@@ -184,10 +205,7 @@ class Tables:
 
     def delete_incidents(self, incidents: DataFrame) -> None:
         """Delete incidents with their children."""
-        doomed = materialize(
-            self.read("incidents").join(incidents.select("incident_id"), "incident_id", "left_semi").select("incident_id", "day"),
-            "doomed",
-        )
+        doomed = materialize(self._stored(incidents)[0], "doomed")
         for table in (*_CHILDREN, "incidents"):
             left = merges.cascade_delete(self.of_days(table, doomed), doomed)
             self._rewrite(table, left, doomed)

@@ -9,6 +9,7 @@ from stormweave.operators import dedup, incidents, merges
 from stormweave.operators.incidents import IncidentTables
 from stormweave.schemas import REPORT_DDL
 from stormweave.session import materialize, shared_folder, temporary_stages
+from stormweave.sources.idindex import bucket
 from stormweave.sources.tables import STUB, Tables
 from stormweave.streaming import jobs, log
 
@@ -223,3 +224,46 @@ def test_time_ranges_prune_days(spark, folder):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "day" in plan.split("PartitionFilters")[1].split("]")[0]
     assert [r.event_category for r in found.collect()] == ["HEATWAVE"]
+
+
+def test_incidents_are_found_in_the_folders_of_their_ids(spark, folder):
+    store = Tables(spark, f"{folder}/tables")
+    made = IncidentTables(*[materialize(t, "made") for t in batch_of(spark, ROWS)])
+    store.merge_incidents(made)
+    stored = {(r.incident_id, r.day) for r in store.read("incidents").select("incident_id", "day").collect()}
+    assert len(stored) == 2
+    for incident_id, day in stored:
+        one = spark.createDataFrame([(incident_id,)], "incident_id string")
+        found = store.incident_days.days(one)
+        assert [tuple(r) for r in found.collect()] == [(incident_id, day)]
+        # The folders are cut before the scan, to that of the id.
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        kept = spark.range(1).select(bucket(F.lit(incident_id))).first()[0]
+        assert f"= {kept})" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert store.incident_days.days(spark.createDataFrame([("none",)], "incident_id string")).count() == 0
+
+
+def test_index_of_days_is_made_compacted_and_repeated(spark, folder):
+    store = Tables(spark, f"{folder}/tables")
+    made = IncidentTables(*[materialize(t, "made") for t in batch_of(spark, ROWS)])
+    ids = made.incidents.select("incident_id")
+    store.merge_incidents(made)
+    notes = sorted(map(tuple, store.incident_days.days(ids).collect()))
+    assert len(notes) == 2
+    store.incident_days.compact()
+    assert sorted(map(tuple, store.incident_days.days(ids).collect())) == notes
+    assert store.incident_days._generations() == [2]
+    # A generation that was not completed does not count, nor does what it holds.
+    spark.createDataFrame([("x", 1)], "incident_id string, bucket int").write.partitionBy("bucket").parquet(f"{store.incident_days._path(3)}/part")
+    assert sorted(map(tuple, store.incident_days.days(ids).collect())) == notes
+    # A store from before the index: made from the table, so that incidents that move are still found.
+    older = Tables(spark, f"{folder}/older")
+    older.append("incidents", store.read("incidents"))
+    moved = made.incidents.withColumn("first_reported_at", F.col("first_reported_at") - F.expr("INTERVAL 1 DAY"))
+    older.replace_incidents(made._replace(incidents=moved))
+    assert older.read("incidents").count() == 2
+    # Notes without a row do no harm: an incident may be deleted and come back.
+    older.delete_incidents(ids)
+    assert older.read("incidents").count() == 0
+    older.merge_incidents(made)
+    assert older.read("incidents").count() == 2
