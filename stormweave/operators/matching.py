@@ -21,7 +21,7 @@ def _bucket(ts: str, span: int) -> Column:
 
 
 def _placed(incidents: DataFrame, places: dict[str, Column], span: int) -> DataFrame:
-    """Incidents copied to their places and to the time buckets around their last update."""
+    """Incidents copied to their places and to the time buckets around their last update; copies leave the cells behind."""
     base = incidents.select(
         "incident_id", "event_category", "first_reported_at", "last_updated_at", "latitude", "longitude", "cells"
     ).withColumnsRenamed(
@@ -32,7 +32,7 @@ def _placed(incidents: DataFrame, places: dict[str, Column], span: int) -> DataF
     placed = base.withColumn("_bucket", F.explode(F.sequence(at - 1, at + 1)))
     for name, place in places.items():
         placed = placed.withColumn(name, F.explode(place))
-    return placed
+    return placed.drop("_cells")
 
 
 def _first_match(reports: DataFrame, placed: DataFrame, keys: list[str], span: int, residual: Column) -> DataFrame:
@@ -40,13 +40,16 @@ def _first_match(reports: DataFrame, placed: DataFrame, keys: list[str], span: i
 
     Reports keep their side narrow; ties in creation time go to the smaller id. The minimum combines on the map
     side, so candidates of one report need not meet in one place first.
+
+    The copies of `placed` are made by generators, which Catalyst takes to be as small as the file they read; a merge join
+    is asked for, so that no side passes through the driver.
     """
     accepted = F.array_contains(accepted_categories(F.col("_category"), rules.COMPATIBLE), F.col("event_category"))
     gap = F.abs(F.unix_micros("timestamp") - F.unix_micros("_last")) <= span
     narrow = reports.withColumn("_bucket", _bucket("timestamp", span)).select(
         "report_id", "timestamp", "event_category", "latitude", "longitude", "_bucket", *[k for k in keys]
     )
-    matches = narrow.join(placed, [*keys, "_bucket"]).filter(accepted & gap & residual)
+    matches = narrow.join(placed.hint("merge"), [*keys, "_bucket"]).filter(accepted & gap & residual)
     return (
         matches.groupBy("report_id")
         .agg(F.min(F.struct("_first", "incident_id")).alias("first"))
