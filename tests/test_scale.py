@@ -15,3 +15,10 @@ def plan_of(frame):
 def test_copies_of_incidents_are_not_broadcast(spark, name):
     plan = plan_of(QUERIES[name](spark, SF_DIR))
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_keys_of_hashes_are_not_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    hashes = spark.range(200).select(F.xxhash64("id").alias("hash"))
+    assert "SortMergeJoin [combination#" in plan_of(dedup.hamming_pairs(hashes))
