@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from stormweave.functions.spatial import GRID, HexGrid
 from stormweave.operators import contracts
 from stormweave.session import materialize, temporary_stages
 
@@ -101,10 +102,10 @@ def redrive(dead: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     )
 
 
-def split_batch(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_batch(batch: DataFrame, grid: HexGrid = GRID) -> tuple[DataFrame, DataFrame]:
     """(valid reports, dead letters) of a batch of messages."""
     message = F.struct(*[c for c in ("msg_id", "report_id", "payload", "source") if c in batch.columns])
-    checked = contracts.reports_from_json(batch.withColumn("message", message))
+    checked = contracts.reports_from_json(batch.withColumn("message", message), grid=grid)
     attempts = F.col("attempts") + 1 if "attempts" in batch.columns else 1
     return contracts.accepted(checked).drop("message", "payload", "msg_id", "attempts"), dead_letters(contracts.rejected(checked), attempts)
 
@@ -125,6 +126,7 @@ def redrive_once(
     dead_letter_path: str,
     round_no: int,
     max_retries: int = MAX_RETRIES,
+    grid: HexGrid = GRID,
 ) -> DataFrame:
     """Try dead letters again (R2); gives back those that fail again, with one retry more.
 
@@ -133,7 +135,7 @@ def redrive_once(
     """
     spark, path = letters.sparkSession, f"{dead_letter_path}/round={round_no}"
     with temporary_stages(spark):
-        reports, dead = split_batch(materialize(redrive(letters, max_retries), "redriven"))
+        reports, dead = split_batch(materialize(redrive(letters, max_retries), "redriven"), grid)
         attempt_handler(handler, reports, -round_no, max_retries)
         dead.write.mode("overwrite").parquet(path)
     return spark.read.schema(DEAD_LETTER_DDL).parquet(path)
@@ -145,6 +147,7 @@ def consume(
     dead_letter_path: str,
     checkpoint: str,
     max_retries: int = MAX_RETRIES,
+    grid: HexGrid = GRID,
 ) -> DataStreamWriter:
     """Stream writer that hands valid reports to `handler` and routes the rest to the dead-letter table.
 
@@ -156,7 +159,7 @@ def consume(
     def process(batch: DataFrame, batch_id: int) -> None:
         with temporary_stages(batch.sparkSession):
             settled = materialize(batch, "micro-batch")
-            reports, dead = split_batch(settled)
+            reports, dead = split_batch(settled, grid)
             dead.write.mode("overwrite").parquet(f"{dead_letter_path}/batch={batch_id}")
             attempt_handler(handler, reports, batch_id, max_retries)
 

@@ -3,8 +3,9 @@
 import pytest
 
 from conftest import SF_DIR
+from test_queries import plain
 from stormweave.operators import dedup
-from stormweave.plans.catalogue import QUERIES
+from stormweave.plans.catalogue import ORACLES, QUERIES
 
 
 def plan_of(frame):
@@ -22,3 +23,39 @@ def test_keys_of_hashes_are_not_broadcast(spark):
 
     hashes = spark.range(200).select(F.xxhash64("id").alias("hash"))
     assert "SortMergeJoin [combination#" in plan_of(dedup.hamming_pairs(hashes))
+
+
+FAR = (
+    "d1_message_handler d2_rejected_counts f6_radius g2_supplied_cell s7_valid_messages p1_unknown_fields p1_validate_reports"
+    " r2_dead_letters x15_report_json d2_source_mappings p2_validate_incidents r1_continuous_job s3_social_reports u1_union_sources"
+)
+
+
+@pytest.fixture(scope="module")
+def far(spark, tmp_path_factory):
+    """Every second event is of users that the map puts beyond 180 degrees, as in large tables."""
+    import duckdb
+
+    folder = tmp_path_factory.mktemp("far")
+    sql = duckdb.connect()
+    moved = f"SELECT * REPLACE (CASE WHEN event_id % 2 = 1 THEN user_id + 89990 ELSE user_id END AS user_id) FROM '{SF_DIR}/events.parquet'"
+    sql.execute(f"COPY ({moved}) TO '{folder}/events.parquet' (FORMAT parquet)")
+    sql.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    return str(folder), sql
+
+
+@pytest.mark.parametrize("name", FAR.split())
+def test_users_beyond_the_date_line_equal_sql(spark, far, name):
+    folder, sql = far
+    frame = QUERIES[name](spark, folder)
+    found = sorted((tuple(plain(v) for v in row) for row in frame.collect()), key=repr)
+    cursor = sql.execute(ORACLES[name])
+    order = [[d[0] for d in cursor.description].index(c) for c in frame.columns]
+    assert found == sorted((tuple(plain(row[i]) for i in order) for row in cursor.fetchall()), key=repr)
+
+
+def test_the_world_still_ends_at_180_degrees(spark):
+    from stormweave.operators import contracts
+
+    bad = spark.sql("SELECT '1' AS report_id, 'a' AS source, 'b' AS source_type, now() AS timestamp, 'x' AS text, 1D AS latitude, 180.5D AS longitude, CAST(NULL AS bigint) AS cell")
+    assert contracts.validate_reports(bad).first()["errors"] == ["longitude_out_of_range"]
