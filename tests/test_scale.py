@@ -59,3 +59,12 @@ def test_the_world_still_ends_at_180_degrees(spark):
 
     bad = spark.sql("SELECT '1' AS report_id, 'a' AS source, 'b' AS source_type, now() AS timestamp, 'x' AS text, 1D AS latitude, 180.5D AS longitude, CAST(NULL AS bigint) AS cell")
     assert contracts.validate_reports(bad).first()["errors"] == ["longitude_out_of_range"]
+
+
+def test_incidents_are_made_without_evidence_and_timeline_tables(spark, tmp_path):
+    from stormweave.plans import incident_queries
+
+    events = f"{tmp_path}/events.parquet"
+    spark.read.parquet(f"{SF_DIR}/events.parquet").write.parquet(events)
+    assert incident_queries.inc(spark, str(tmp_path)).count() > 0
+    assert {name for _, folder, name in incident_queries._STORED if folder == str(tmp_path)} == {"members", "incidents"}
