@@ -68,3 +68,10 @@ def test_incidents_are_made_without_evidence_and_timeline_tables(spark, tmp_path
     spark.read.parquet(f"{SF_DIR}/events.parquet").write.parquet(events)
     assert incident_queries.inc(spark, str(tmp_path)).count() > 0
     assert {name for _, folder, name in incident_queries._STORED if folder == str(tmp_path)} == {"members", "incidents"}
+
+
+def test_a_union_of_ids_is_one_row_per_incident(spark):
+    from stormweave.plans.incident_queries import inc
+
+    found = QUERIES["u2_union_of_ids"](spark, SF_DIR)
+    assert found.columns == ["incident_id", "report_ids"] and found.count() == inc(spark, SF_DIR).count()
