@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormweave.functions.spatial import GRID, HexGrid, k_ring
-from stormweave.operators.dedup import _semantic_groups, dot
+from stormweave.functions.spatial import GRID, HexGrid
+from stormweave.operators.dedup import _in_time, _looks, _semantic_groups, _with_cosines
 from stormweave.session import materialize
 
 #: Tables, bits of a table in the 64-bit signature, groups a bucket should hold, buckets looked into per table.
@@ -48,7 +48,7 @@ def _signed(bits: np.ndarray) -> np.ndarray:
 
 
 def signatures(groups: DataFrame, dimensions: int) -> DataFrame:
-    """The groups with `signature` and, per table, the ranks of bits by uncertainty in `order`; the vectors are dropped."""
+    """The rows with `signature` and, per table, the ranks of bits by uncertainty in `order`; the vectors are dropped."""
     others = [c for c in groups.columns if c != "embedding"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +84,7 @@ def _keys(rows: DataFrame, probe: bool) -> DataFrame:
         return [turned(t) for t in (_TURNS[:PROBES] if probe else _TURNS[:1])]
 
     several = F.array_compact(F.array(*[key for table in range(TABLES) for key in of_table(table)]))
-    whole = F.array(F.struct(F.lit(0).alias("table"), F.lit(0).cast("long").alias("key")))
-    return rows.withColumn("at", F.explode(F.when(F.col("bits") == 0, whole).otherwise(several))).select("*", "at.*").drop("at", "order")
+    return rows.withColumn("at", F.explode(several)).select("*", "at.*").drop("at", "order")
 
 
 def semantic_neighbours(
@@ -98,49 +97,49 @@ def semantic_neighbours(
     bucket_minutes: int = 30,
     crowd: int = CROWD,
     exact: bool = False,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """(report_id, neighbour, cosine, rank): the most similar groups of each group, each named by its first report.
 
     Cosines are compared to six decimals; among equal ones the smaller id comes first. `dedup.semantic_copies` says
-    which group a report belongs to. Reports without a vector or a cell are in none.
+    which group a report belongs to. Reports without a vector or a cell are in none. Vectors may come in a table of their
+    own, `vectors` (vector_id, embedding), with their ids in `reports`.
+
+    Ids and times meet; signatures are fetched for groups in crowded places only, and a pair of vectors is multiplied once.
     """
     window = round(window_hours * 3_600_000_000)
     span = window + bucket_minutes * 60_000_000
-    _, found = _semantic_groups(reports.filter(F.col("embedding").isNotNull()), grid, bucket_minutes)
-    groups = materialize(found, "neighbour-groups")
-    dimensions = groups.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
-    slim = groups.select("representative", "cell", "first_us", "last_us", F.floor(F.col("first_us") / F.lit(span)).alias("wide"), "embedding")
-    signed = materialize(signatures(slim, dimensions), "signatures")
-    # One row per cell and window; many cells are as many rows, so how it is joined is left to its measured size.
-    crowds = signed.groupBy("cell", "wide").agg(
-        F.least(F.lit(BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / F.lit(4 * crowd))) + 2)).cast("int").alias("bits")
-    )
-    crowds = crowds.withColumn("bits", F.when(F.lit(exact) | (F.col("bits") <= 2), 0).otherwise(F.col("bits")))
-    right = _keys(signed.join(crowds, ["cell", "wide"]), probe=False).select(
-        "cell", "wide", "table", "key", F.col("representative").alias("report_b"), F.col("first_us").alias("first_b"),
-        F.col("signature").alias("signature_b"), "bits",
+    own = vectors is None
+    _, groups, known, _ = _semantic_groups(reports.filter(F.col("embedding").isNotNull()) if own else reports, grid, bucket_minutes, vectors)
+    slim = groups.select(
+        "representative", "cell", "first_us", "last_us", F.floor(F.col("first_us") / F.lit(span)).alias("wide"),
+        F.col("representative" if own else "vector").alias("vector"),
     )
-    looking = signed.withColumn("cell", F.explode(k_ring(F.col("cell"), k))).withColumn("wide", F.explode(F.array(F.col("wide"), F.col("wide") + 1)))
-    left = _keys(looking.join(crowds, ["cell", "wide"]), probe=True).select(
-        "cell", "wide", "table", "key", F.col("representative").alias("report_a"), F.col("first_us").alias("first_a"),
-        F.col("last_us").alias("last_a"), F.col("signature").alias("signature_a"),
-    )
-    gap = F.col("first_b") - F.col("first_a")
-    later = (gap > 0) | ((gap == 0) & (F.col("report_a") < F.col("report_b")))
-    likely = (F.col("bits") == 0) | (F.bit_count(F.col("signature_a").bitwiseXOR(F.col("signature_b"))) <= MOST_BITS)
-    met = (
-        left.join(right, ["cell", "wide", "table", "key"])
-        .filter(later & (F.col("first_b") - F.col("last_a") <= window) & likely)
-        .select("report_a", "report_b")
-        .distinct()
+    crowds = slim.groupBy("cell", "wide").agg(
+        F.least(F.lit(BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / F.lit(4 * crowd))) + 2)).cast("int").alias("bits")
     )
-    vectors = groups.select("representative", "embedding")
-    pairs = (
-        met.join(vectors.withColumnsRenamed({"representative": "report_a", "embedding": "vector_a"}), "report_a")
-        .join(vectors.withColumnsRenamed({"representative": "report_b", "embedding": "vector_b"}), "report_b")
-        .select("report_a", "report_b", F.round(dot(F.col("vector_a"), F.col("vector_b")), 6).alias("cosine"))
-        .filter(F.col("cosine") >= min_cosine)
+    # Crowded cells and windows; the others need no bits. Many cells are as many rows, so how it is joined is left to its measured size.
+    crowded = materialize(crowds.filter((F.col("bits") > 2) & ~F.lit(exact)), "crowded")
+    looking = _looks(slim, k)
+    right = slim.select(
+        "cell", "wide", F.col("representative").alias("report_b"), F.col("first_us").alias("first_b"), F.col("vector").alias("vector_b")
     )
+    pair = ["report_a", "report_b", "vector_a", "vector_b"]
+    calm = right.join(crowded, ["cell", "wide"], "left_anti")
+    met = looking.hint("merge").join(calm, ["cell", "wide"]).filter(_in_time(window)).select(*pair)
+    if not crowded.isEmpty():
+        dimensions = known.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
+        signed = materialize(signatures(known, dimensions), "signatures")
+
+        def keyed(rows: DataFrame, side: str) -> DataFrame:
+            of_side = signed.withColumnsRenamed({"vector": f"vector_{side}"})
+            keys = _keys(rows.join(crowded, ["cell", "wide"]).join(of_side, f"vector_{side}"), probe=side == "a")
+            return keys.withColumnRenamed("signature", f"signature_{side}").drop("bits")
+
+        likely = F.bit_count(F.col("signature_a").bitwiseXOR(F.col("signature_b"))) <= MOST_BITS
+        hot = keyed(looking, "a").hint("merge").join(keyed(right, "b"), ["cell", "wide", "table", "key"]).filter(_in_time(window) & likely)
+        met = met.unionByName(hot.select(*pair).distinct())
+    pairs = _with_cosines(met, known).withColumn("cosine", F.round("cosine", 6)).filter(F.col("cosine") >= min_cosine)
     ways = [F.struct(F.col(a).alias("report_id"), F.col(b).alias("neighbour")) for a, b in (("report_a", "report_b"), ("report_b", "report_a"))]
     each = pairs.select(F.explode(F.array(*ways)).alias("link"), "cosine").select("link.*", "cosine")
     order = Window.partitionBy("report_id").orderBy(F.desc("cosine"), "neighbour")

@@ -14,6 +14,7 @@ from stormweave.functions.spatial import ring_offsets
 from stormweave.operators import contracts, dedup, merges, neighbours
 from stormweave.plans.views import reports_view
 from stormweave.schemas import REPORT_DDL
+from stormweave.session import materialize
 from stormweave.sources import export, feeds, images
 from stormweave.sources.tables import Tables
 from stormweave.streaming import jobs, log
@@ -221,6 +222,30 @@ def test_neighbours_of_a_hot_cell(spark):
     assert neighbours.semantic_neighbours(frame.limit(0)).count() == 0
 
 
+def test_vectors_in_a_table_of_their_own(spark):
+    """Reports with the ids of their vectors have the neighbours and pairs they have with the vectors; none of them is shuffled with a vector."""
+    rng = np.random.default_rng(2)
+    known = [(f"v{i}", rng.normal(size=64).astype(np.float32).tolist()) for i in range(30)]
+    known += [("same", known[0][1]), ("unset", None)]
+    start = dt.datetime(2024, 7, 1, tzinfo=dt.timezone.utc)
+    ids = [known[i][0] for i in rng.integers(0, len(known), 4000)]
+    rows = [(f"r{i}", start + dt.timedelta(seconds=int(s)), 19.0 + i % 20, 73.0 + i % 3 * 0.012, v) for i, (s, v) in enumerate(zip(rng.integers(0, 2_000_000, 4000), ids, strict=True))]
+    reports = materialize(spark.createDataFrame(rows, "report_id string, timestamp timestamp, latitude double, longitude double, vector_id string").repartition(4), "reports")
+    vectors = materialize(spark.createDataFrame(known, "vector_id string, embedding array<float>"), "given-vectors")
+    carrying = reports.join(vectors, "vector_id")
+
+    def written() -> float:
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = written()
+    apart = neighbours.semantic_neighbours(reports, min_cosine=0.1, vectors=vectors).collect()
+    moved = written() - before
+    assert sorted(apart) == sorted(neighbours.semantic_neighbours(carrying, min_cosine=0.1).collect()) and len(apart) > 1000
+    assert moved < 4000 * 256
+    pairs = dedup.semantic_pairs(reports, 0.1, vectors=vectors).collect()
+    assert sorted(pairs) == sorted(dedup.semantic_pairs(carrying.filter("embedding IS NOT NULL"), 0.1).collect()) and len(pairs) > 1000
+
+
 def test_hash_comparison(spark):
     pairs = [("0f0f0f0f0f0f0f0f", "0f0f0f0f0f0f0f00", True), ("0f0f0f0f0f0f0f0f", "f0f0f0f0f0f0f0f0", False), ("ff", "ff0", False), ("", "", False), ("zz", "zz", True)]
     frame = spark.createDataFrame(pairs, "a string, b string, same boolean")
