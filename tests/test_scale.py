@@ -75,3 +75,27 @@ def test_a_union_of_ids_is_one_row_per_incident(spark):
 
     found = QUERIES["u2_union_of_ids"](spark, SF_DIR)
     assert found.columns == ["incident_id", "report_ids"] and found.count() == inc(spark, SF_DIR).count()
+
+
+def test_texts_are_dealt_before_they_are_hashed(spark):
+    from stormweave.plans.report_queries import text_hashes
+
+    plan = plan_of(text_hashes(spark, SF_DIR))
+    # A file of one row group is read by one task; words are made behind the shuffle, and not shuffled once more.
+    assert plan.count("Exchange") == 1 and plan.index("Generate explode") < plan.index("Exchange hashpartitioning(doc_id")
+
+
+def test_a_bit_of_a_text_hash_is_set_by_more_than_half_of_the_words(spark, tmp_path):
+    import hashlib
+
+    from stormweave.plans.report_queries import text_hashes
+
+    texts = ["one two", "one", "a b c a", " ", None, " ".join(f"w{i}" for i in range(70_000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = {}
+    for number, text in enumerate(texts):
+        hashes = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in set((text or "").split())]
+        total = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+        wanted |= {number: total - (1 << 64) if total >> 63 else total} if hashes else {}
+    assert {r["doc_id"]: r["hash"] for r in text_hashes(spark, str(tmp_path)).collect()} == wanted
