@@ -99,3 +99,9 @@ def test_a_bit_of_a_text_hash_is_set_by_more_than_half_of_the_words(spark, tmp_p
         total = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
         wanted |= {number: total - (1 << 64) if total >> 63 else total} if hashes else {}
     assert {r["doc_id"]: r["hash"] for r in text_hashes(spark, str(tmp_path)).collect()} == wanted
+
+
+def test_news_documents_are_dealt_before_they_are_parsed(spark):
+    plan = plan_of(QUERIES["s5_news_json"](spark, SF_DIR))
+    assert plan.count("Exchange hashpartitioning(report_id") == 1
+    assert plan.index("Generate ") < plan.index("Exchange hashpartitioning(report_id")
