@@ -370,3 +370,15 @@ def test_two_batches_with_memory_equal_one(spark, folder):
     handler(reports.filter(F.col("timestamp") < middle), 0)
     handler(reports.filter(F.col("timestamp") >= middle), 1)
     assert {(r.incident_id, r.report_count) for r in store.read("incidents").collect()} == expected
+
+
+def test_only_incidents_of_several_parts_are_numbered(spark, monkeypatch):
+    children = spark.range(40).select(
+        F.when(F.col("id") < 25, "large").otherwise(F.concat(F.lit("small"), F.col("id") % 3)).alias("incident_id"), F.col("id").alias("n_th")
+    )
+    number, seen = merges.number_rows, []
+    monkeypatch.setattr(merges, "number_rows", lambda rows, *more: seen.append(rows.count()) or number(rows, *more))
+    found = {(r.incident_id, r.part): [e.n_th for e in r.entries] for r in merges.collect_parts(children, ["n_th"], ["n_th"], "entries", 10).collect()}
+    assert seen == [25] and [found["large", p] for p in range(3)] == [list(range(10)), list(range(10, 20)), list(range(20, 25))]
+    assert [found[f"small{k}", 0] for k in range(3)] == [[i for i in range(25, 40) if i % 3 == k] for k in range(3)] and len(found) == 6
+    assert merges.collect_parts(children, ["n_th"], ["n_th"], "entries", 25).count() == 4 and seen == [25]
