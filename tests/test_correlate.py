@@ -234,3 +234,20 @@ def test_session_variant_merges_at_exactly_six_hours(spark):
     rows += [(START + dt.timedelta(hours=25), "garmi", 28.61, 77.2), (START, "rain", None, None)]
     found = correlate.correlate_session(frame(spark, rows)).groupBy("incident_id").count().collect()
     assert sorted(r["count"] for r in found) == [1, 1, 4]
+
+
+def test_incidents_are_rolled_up_and_tallied_in_one_pass(spark):
+    rows = [(START + dt.timedelta(minutes=7 * i), ("heavy rain", "no rain", "rain")[i % 3], 19.0 + i % 4 * 0.01, 73.0) for i in range(40)]
+    reports = frame(spark, rows).withColumns({
+        "source": F.element_at(F.array(*map(F.lit, ("imd", "twitter", "news_rss"))), F.expr("int(seq div 2 % 3 + 1)")),
+        "source_type": F.expr("CASE seq div 2 % 3 WHEN 0 THEN 'official' WHEN 1 THEN 'social_media' END"),
+    })
+    members = correlate.correlate_exact(reports, apart="source")
+    members = members.unionByName(members.filter("seq = 3").withColumns({"incident_id": F.lit("inc_nowhere"), "cell": F.lit(None).cast("long"), "opens": F.lit(True)}))
+    now = F.lit(START + dt.timedelta(days=1))
+    made = incidents.from_members(members, now).incidents
+    apart = evidence.score(evidence.roll_up(members), evidence.evidence_items(members), now).select(*made.columns)
+    assert sorted(made.collect(), key=lambda r: r.incident_id) == sorted(apart.collect(), key=lambda r: r.incident_id)
+    # One pass to sum, one to bring incidents together, one for the openers.
+    plans = [df._jdf.queryExecution().sparkPlan().toString() for df in (made, apart)]
+    assert plans[0].count("ObjectHashAggregate") < plans[1].count("ObjectHashAggregate") and plans[0].count("Join") < plans[1].count("Join")
