@@ -81,11 +81,11 @@ class Tables:
         A report id contains its time, so a repeated report falls on the same day and only that day is read. A
         placeholder of the same id, on whatever day, gives way to the report.
         """
-        incoming = materialize(reports.dropDuplicates(["report_id"]).withColumn("day", utc_day(F.col("timestamp"))), "incoming")
-        existing = self.of_days("reports", incoming).filter(F.col("source_type") != STUB)
-        new = materialize(merges.insert_absent(existing, incoming), "new-reports")
+        dated = reports.withColumn("day", utc_day(F.col("timestamp")))
+        existing = self.of_days("reports", materialize(dated.select("day").distinct(), "days")).filter(F.col("source_type") != STUB)
+        new = materialize(merges.insert_absent(existing, dated.dropDuplicates(["report_id"])), "new-reports")
         self.append("reports", new)
-        self._drop_stubs(incoming)
+        self._drop_stubs(reports)
         return new
 
     def fresh_reports(self, batch: str, reports: DataFrame) -> DataFrame:
@@ -175,7 +175,8 @@ class Tables:
             ("incident_timeline", batch.timeline, merges.append_timeline),
             ("evidence_items", batch.evidence, _new_evidence),
         ):
-            self.append(table, materialize(fresh(self.of_days(table, days), rows.join(days, "incident_id")), f"new-{table}"))
+            # What is there is read from the files listed now, so the rows need not be settled to be appended.
+            self.append(table, fresh(self.of_days(table, days), rows.join(days, "incident_id")))
         members = self.of_days("incident_members", days).join(days.select("incident_id"), "incident_id", "left_semi")
         stored, incoming = self.of_days("incidents", days), batch.incidents.join(days, "incident_id")
         merged = (merges.merge_refreshing if refresh else merges.merge_preserving)(stored, incoming)

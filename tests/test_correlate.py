@@ -129,6 +129,20 @@ def test_reports_apart_never_meet(spark):
     assert found[0].incident_id == found[1].incident_id != found[2].incident_id
 
 
+def test_a_batch_of_one_report_is_not_replayed(spark, monkeypatch):
+    rows = [(START, "no rain", 19.0, 73.0), (START, "rain", 19.0, 73.0), (START, "rain", 19.0, 73.0), (START, "rain", None, None)]
+    rows += [(START + dt.timedelta(hours=1), "no rain", 19.0, 73.0)]
+    reports = frame(spark, rows).withColumn("batch", F.when(F.col("seq") < 2, "a").when(F.col("seq") == 4, "a").otherwise(F.col("report_id")))
+    replay, seen = correlate.assign_runs, []
+    monkeypatch.setattr(correlate, "assign_runs", lambda runs, *more: seen.append(runs.count()) or replay(runs, *more))
+    found = correlate.correlate_exact(reports, apart="batch").orderBy("seq").collect()
+    # The batch of three loses its leading negation and keeps two reports of one run; only they are replayed.
+    assert [r.seq for r in found] == [1, 2, 3, 4] and seen == [1]
+    assert found[0].incident_id == found[1].incident_id == found[3].incident_id != found[2].incident_id
+    correlate.correlate_exact(reports, apart="report_id").collect()
+    assert seen == [1]
+
+
 def grouped(spark, rows, **options):
     found = correlate.correlate_exact(frame(spark, rows), **options).groupBy("incident_id").count().collect()
     return sorted(r["count"] for r in found)
