@@ -116,8 +116,14 @@ def continue_incidents(
         # Deleted meanwhile: not open any more. Only the days of open incidents are looked at.
         stored = stored.join(tables.of_days("incidents", stored).select("incident_id"), "incident_id", "left_semi")
     stored = materialize(stored.select(*columns(OPEN_DDL)), "open-incidents")
+    held = tables.of_days("incident_members", stored).join(stored.select("incident_id", "first_reported_at"), "incident_id")
+    held = materialize(held.select("incident_id", "report_id", "timestamp", "first_reported_at"), "open-members")
+    # Of incidents opened at one moment the one whose first report has the smaller number was created earlier.
+    opened = held.filter(F.col("timestamp") == F.col("first_reported_at")).groupBy("incident_id").agg(
+        F.min(correlate.arrival(F.col("report_id"))).alias("first_seq")
+    )
     # Leading negated reports are dropped only while there is no incident at all.
-    start = None if before is None and everything.isEmpty() else stored
+    start = None if before is None and everything.isEmpty() else materialize(stored.join(opened, "incident_id", "left"), "opened")
     found = correlate.correlate_exact(featured, window_hours=window_hours, k=k, open_incidents=start, **options)
     found = materialize(found, "found")
     fresh = found.join(stored.select("incident_id"), "incident_id", "left_anti")
@@ -125,8 +131,8 @@ def continue_incidents(
 
     touched = stored.join(matched.select("incident_id").distinct(), "incident_id", "left_semi")
     openings = touched.select("incident_id", F.col("event_category").alias("incident_category"), "first_reported_at")
-    old = tables.of_days("incident_members", touched).join(touched.select("incident_id"), "incident_id", "left_semi")
-    old = materialize(old.select("incident_id", "report_id", "timestamp"), "old-members")
+    old = held.join(touched.select("incident_id"), "incident_id", "left_semi").select("incident_id", "report_id", "timestamp")
+    old = materialize(old, "old-members")
     old_ids = old.select("incident_id", "report_id").unionByName(matched.select("incident_id", "report_id"))
     # Only days of the members are read.
     days = old.select("timestamp").union(featured.select("timestamp")).select(utc_day(F.col("timestamp")).alias("day"))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 import random
 from collections import Counter
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stormweave.functions import identity
-from stormweave.functions.spatial import ring_offsets
+from stormweave.functions.spatial import GRID, ring_offsets
 from stormweave.operators import contracts, dedup, merges, neighbours
 from stormweave.plans.views import reports_view
 from stormweave.schemas import REPORT_DDL
@@ -372,6 +373,31 @@ def test_two_batches_with_memory_equal_one(spark, folder):
     assert {(r.incident_id, r.report_count) for r in store.read("incidents").collect()} == expected
 
 
+def test_reports_of_one_moment_come_in_the_order_of_their_numbers(spark, folder):
+    """Who opens an incident, and which of two incidents of one moment a later batch joins, follows from the ids."""
+    # At each latitude a rain and a flood of one place and moment; they accept each other, so the first one names the incident.
+    rows = [(str(10 + n), 10.0 + n, 73.0, "heavy rain") for n in range(8)] + [(str(2 + n), 10.0 + n, 73.0, "flood") for n in range(8)]
+    # Two incidents of one moment, two cells apart, and a report of the next batch in the cell between them.
+    east = math.sqrt(3) / GRID.kx
+    rows += [(str(200 + n), 20.0 + n, 73.0, "heavy rain") for n in range(8)] + [(str(100 + n), 20.0 + n, 73.0 + 2 * east, "heavy rain") for n in range(8)]
+    rows += [(str(300 + n), 20.0 + n, 73.0 + east, "heavy rain") for n in range(8)]
+    raw = spark.createDataFrame(rows, "report_id string, latitude double, longitude double, text string").select(
+        "*", F.lit("2024-07-01T00:00:00Z").cast("timestamp").alias("timestamp"), F.lit("imd").alias("source"), F.lit("official").alias("source_type"),
+    )
+    late = F.col("report_id").cast("int") >= 300
+    reports = full(raw.withColumn("timestamp", F.when(late, F.lit("2024-07-01T01:00:00Z").cast("timestamp")).otherwise(F.col("timestamp"))))
+    store = Tables(spark, f"{folder}/tables")
+    handler = jobs.pipeline_handler(store, f"{folder}/feed", F.lit(AS_OF).cast("timestamp"), remember=True)
+    handler(reports.filter(~late), 0)
+    handler(reports.filter(late), 1)
+    members = {}
+    for r in store.read("incident_members").collect():
+        members.setdefault(r.incident_id, set()).add(int(r.report_id))
+    together = [{2 + n, 10 + n} for n in range(8)] + [{100 + n, 300 + n} for n in range(8)] + [{200 + n} for n in range(8)]
+    assert sorted(map(sorted, members.values())) == sorted(map(sorted, together))
+    assert Counter(r.event_category for r in store.read("incidents").collect()) == {"FLOOD": 8, "RAIN": 16}
+
+
 def test_only_incidents_of_several_parts_are_numbered(spark, monkeypatch):
     children = spark.range(40).select(
         F.when(F.col("id") < 25, "large").otherwise(F.concat(F.lit("small"), F.col("id") % 3)).alias("incident_id"), F.col("id").alias("n_th")
