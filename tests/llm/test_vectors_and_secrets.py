@@ -151,6 +151,21 @@ def test_whitening_of_odd_rows_in_small_blocks(spark):
     check_whitening(whitening.whiten(frame(spark, rows), block_rows=8).collect(), rows)
 
 
+def test_whitened_rows_are_not_looked_up(spark):
+    """Rows are multiplied where they are read: neither a join nor a shuffle of vectors follows the fit."""
+    found = QUERIES["op12_block_whitening"](spark, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "Exchange" not in plan
+
+
+def test_deviations_are_exact_or_null():
+    rows, n = [[1 << 30, 3], [-(1 << 30), -5], [2, 7], [0, 0]], 3
+    for total in ([0, 0], [10, -4], [7 * (1 << 62), 1], [3_037_000_499, 0], [3_037_000_500, 0], [1 << 32, 0]):
+        fit = whitening.Fit(n, total, np.zeros(0), np.zeros((2, 0)), 0.0)
+        expected = [sum((n * a - t) ** 2 for a, t in zip(r, total, strict=True)) for r in rows]
+        assert whitening.deviations(np.array(rows, np.int64), fit).to_pylist() == [d if d < 1 << 63 else None for d in expected]
+
+
 def test_whitening_without_variance(spark):
     for rows in ([], [(1, None)], [(1, [1.0, 2.0])], [(1, [1.0, 2.0]), (2, [1.0, 2.0])], [(1, []), (2, [])]):
         found = whitening.whiten(frame(spark, rows))
