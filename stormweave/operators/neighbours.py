@@ -1,13 +1,16 @@
-"""The most similar reports of each report: random-hyperplane buckets inside a cell, exact cosines, a bounded rank.
+"""The most similar reports of each report: exact cosines of all that are near in space and time, a bounded rank.
 
 Reports with one vector, cell and half hour are a group, as in `dedup.semantic_pairs`, and groups are neighbours if they
-lie near in space and time. Where a cell and window hold few groups all of them are compared. Where they hold many, each
+lie near in space and time. All groups of a neighbourhood are compared. Where a cell and window hold very many, their groups are
+dealt to parts and whoever looks into the cell looks into each part, so the comparisons of a hot cell are spread over tasks;
+the result does not depend on it.
+
+`exact=False` asks for buckets instead. Where a cell and window hold many groups, each
 group is put into a bucket by leading bits of its signature in each of TABLES tables, as many bits as leave some CROWD
 groups to a bucket. A group looks into its own bucket and into those it would be in if its least certain bits were
 other ones. What meets is compared by whole signatures first, inside the join, so vectors are fetched and multiplied only for pairs
-that are likely near. So a hot cell costs its groups times a constant, not their square.
-
-Buckets can miss a neighbour; `exact=True` compares all groups of every neighbourhood. Groups hold different vectors, but
+that are likely near. So a hot cell costs its groups times a constant, not their square. Buckets can miss a neighbour, and they are
+made for cosines of some 0.9 and more. Groups hold different vectors, but
 many vectors that differ by next to nothing still share their buckets.
 """
 
@@ -24,6 +27,8 @@ from stormweave.functions.spatial import GRID, HexGrid
 from stormweave.operators.dedup import _in_time, _looks, _semantic_groups, _with_cosines
 from stormweave.session import materialize
 
+#: Groups of a cell and window that are compared in one part.
+PART = 2000
 #: Tables, bits of a table in the 64-bit signature, groups a bucket should hold, buckets looked into per table.
 TABLES, BITS, CROWD, PROBES = 4, 16, 8, 9
 #: Signatures of vectors at a cosine of 0.9 differ in 9.2 bits, with a deviation of 2.8; unrelated ones in 32.
@@ -96,7 +101,7 @@ def semantic_neighbours(
     grid: HexGrid = GRID,
     bucket_minutes: int = 30,
     crowd: int = CROWD,
-    exact: bool = False,
+    exact: bool = True,
     vectors: DataFrame | None = None,
 ) -> DataFrame:
     """(report_id, neighbour, cosine, rank): the most similar groups of each group, each named by its first report.
@@ -105,7 +110,7 @@ def semantic_neighbours(
     which group a report belongs to. Reports without a vector or a cell are in none. Vectors may come in a table of their
     own, `vectors` (vector_id, embedding), with their ids in `reports`.
 
-    Ids and times meet; signatures are fetched for groups in crowded places only, and a pair of vectors is multiplied once.
+    Ids and times meet, and a pair of vectors is multiplied once. Without `exact` groups in crowded places meet by signatures only.
     """
     window = round(window_hours * 3_600_000_000)
     span = window + bucket_minutes * 60_000_000
@@ -115,11 +120,9 @@ def semantic_neighbours(
         "representative", "cell", "first_us", "last_us", F.floor(F.col("first_us") / F.lit(span)).alias("wide"),
         F.col("representative" if own else "vector").alias("vector"),
     )
-    crowds = slim.groupBy("cell", "wide").agg(
-        F.least(F.lit(BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / F.lit(4 * crowd))) + 2)).cast("int").alias("bits")
-    )
-    # Crowded cells and windows; the others need no bits. Many cells are as many rows, so how it is joined is left to its measured size.
-    crowded = materialize(crowds.filter((F.col("bits") > 2) & ~F.lit(exact)), "crowded")
+    # Crowded cells and windows. Many cells are as many rows, so how it is joined is left to its measured size.
+    sizes = slim.groupBy("cell", "wide").agg(F.count("*").alias("groups"))
+    crowded = materialize(sizes.filter(F.col("groups") > (PART if exact else 4 * crowd)), "crowded")
     looking = _looks(slim, k)
     right = slim.select(
         "cell", "wide", F.col("representative").alias("report_b"), F.col("first_us").alias("first_b"), F.col("vector").alias("vector_b")
@@ -127,13 +130,21 @@ def semantic_neighbours(
     pair = ["report_a", "report_b", "vector_a", "vector_b"]
     calm = right.join(crowded, ["cell", "wide"], "left_anti")
     met = looking.hint("merge").join(calm, ["cell", "wide"]).filter(_in_time(window)).select(*pair)
-    if not crowded.isEmpty():
+    if exact and not crowded.isEmpty():
+        parts = crowded.select("cell", "wide", F.ceil(F.col("groups") / F.lit(PART)).alias("parts"))
+        into_all = looking.join(parts, ["cell", "wide"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+        in_one = right.join(parts, ["cell", "wide"]).withColumn("part", F.pmod(F.xxhash64("report_b"), "parts"))
+        hot = into_all.drop("parts").hint("merge").join(in_one.drop("parts"), ["cell", "wide", "part"]).filter(_in_time(window))
+        met = met.unionByName(hot.select(*pair))
+    elif not crowded.isEmpty():
         dimensions = known.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
         signed = materialize(signatures(known, dimensions), "signatures")
+        needed = F.least(F.lit(BITS), F.ceil(F.log2(F.col("groups") / F.lit(4 * crowd))) + 2).cast("int").alias("bits")
+        counting = crowded.select("cell", "wide", needed)
 
         def keyed(rows: DataFrame, side: str) -> DataFrame:
             of_side = signed.withColumnsRenamed({"vector": f"vector_{side}"})
-            keys = _keys(rows.join(crowded, ["cell", "wide"]).join(of_side, f"vector_{side}"), probe=side == "a")
+            keys = _keys(rows.join(counting, ["cell", "wide"]).join(of_side, f"vector_{side}"), probe=side == "a")
             return keys.withColumnRenamed("signature", f"signature_{side}").drop("bits")
 
         likely = F.bit_count(F.col("signature_a").bitwiseXOR(F.col("signature_b"))) <= MOST_BITS

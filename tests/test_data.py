@@ -223,6 +223,44 @@ def test_neighbours_of_a_hot_cell(spark):
     assert neighbours.semantic_neighbours(frame.limit(0)).count() == 0
 
 
+def test_neighbours_do_not_depend_on_the_crowd_of_a_cell(spark, monkeypatch):
+    """Each report of a hot cell has its three most similar ones of all, however little similar, in one part or in many."""
+    rng = np.random.default_rng(3)
+    n = 300
+    vectors = rng.normal(size=(n, 64)).astype(np.float32)
+    start = dt.datetime(2024, 7, 1, tzinfo=dt.timezone.utc)
+    rows = [(f"r{i:03d}", start + dt.timedelta(seconds=60 * i), 19.0, 73.0, v.tolist()) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "report_id string, timestamp timestamp, latitude double, longitude double, embedding array<float>")
+    wide = vectors.astype(float)
+    cosines = np.round(wide @ wide.T, 6)
+    expected = set()
+    for i in range(n):
+        best = sorted((-c, j) for j, c in enumerate(cosines[i]) if j != i and c >= 0.1)[:3]
+        expected |= {(f"r{i:03d}", f"r{j:03d}", rank) for rank, (_, j) in enumerate(best, 1)}
+
+    def found(**options):
+        return {(r.report_id, r.neighbour, r.rank) for r in neighbours.semantic_neighbours(frame, top_k=3, min_cosine=0.1, **options).collect()}
+
+    assert found() == expected and len(expected) == 3 * n
+    monkeypatch.setattr(neighbours, "PART", 50)
+    assert found() == expected
+    # Buckets are made for similar vectors; what they find is near, and not all of it.
+    assert 0 < len({(a, b) for a, b, _ in found(exact=False)} & {(a, b) for a, b, _ in expected}) < len(expected)
+
+
+def test_buckets_find_most_neighbours_of_a_hot_cell(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(50, 64))
+    vectors = centres[rng.integers(0, 50, 1000)] + rng.normal(size=(1000, 64)) * 0.2
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32).tolist()
+    start = dt.datetime(2024, 7, 1, tzinfo=dt.timezone.utc)
+    rows = [(f"r{i:04d}", start + dt.timedelta(seconds=20 * i), 19.0, 73.0, v) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "report_id string, timestamp timestamp, latitude double, longitude double, embedding array<float>").repartition(8)
+    near = {(r.report_id, r.neighbour) for r in neighbours.semantic_neighbours(frame, exact=False).collect()}
+    exact = {(r.report_id, r.neighbour) for r in neighbours.semantic_neighbours(frame).collect()}
+    assert len(near & exact) >= 0.97 * len(exact) > 1000
+
+
 def test_vectors_in_a_table_of_their_own(spark):
     """Reports with the ids of their vectors have the neighbours and pairs they have with the vectors; none of them is shuffled with a vector."""
     rng = np.random.default_rng(2)
