@@ -9,10 +9,11 @@ strings without one sort of all suffixes, the work is cut by content:
    its smallest and largest document, before anything is shuffled. An anchor of very many runs (a line a third of the
    documents share) is replaced by the windows themselves, so its differing surroundings spread over all tasks.
 3. The different pieces of an anchor meet in a lot of bounded size. The lot is cut into shards, each shard gets its
-   own Burrows-Wheeler transform (suffixes sorted to 50 bytes), and the transforms are merged by refining their
-   interleave: round h reads the symbols in the current interleave and deals the shard numbers stably by symbol, which
-   orders all suffixes by their first h bytes; where a boundary appears in round h the common prefix is h - 1. After 50
-   rounds the intervals without a boundary are the repeated strings, and the smallest document of each is their owner.
+   own Burrows-Wheeler transform (suffixes sorted to 50 bytes, the five bytes before each as its symbol), and the
+   transforms are merged by refining their interleave: round h reads the symbols in the current interleave and deals
+   the shard numbers stably by symbol, which orders all suffixes by their first h symbols; where a boundary appears in
+   round h the common prefix is h - 1. After ten rounds, or 50 bytes, the intervals without a boundary are the repeated
+   strings, and the smallest document of each is their owner.
 4. What each piece loses goes back to the places of the piece; documents that lose nothing are not shuffled.
 
 Defined results: null texts are empty; matches never cross rows; rows of one id do not remove from each other; a null id is
@@ -36,8 +37,8 @@ from stormweave.session import materialize
 
 #: Bytes of a repeated string and of an anchor gram; runs of an anchor beyond which its windows stand for themselves.
 LENGTH, GRAM, HOT = 50, 16, 5000
-#: Symbols of a shard with a transform of its own, and of a lot that is merged at once.
-SHARD, LOT = 1 << 15, 1 << 16
+#: Bytes of a shard with a transform of its own, and of a lot that is merged at once; bytes of a symbol of a transform.
+SHARD, LOT, SYMBOL = 1 << 15, 1 << 16, 5
 _LOWEST = -(1 << 63)
 _WINDOW = LENGTH - GRAM + 1
 _bytes = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -170,11 +171,11 @@ def _pieces(docs: DataFrame, marked, hot) -> DataFrame:
 
 
 def sort_shard(symbols: np.ndarray) -> np.ndarray:
-    """Positions of a cyclic shard in the order of their first LENGTH symbols, by doubling ranks."""
+    """Positions of a cyclic shard in the order of their first LENGTH symbols, by ranks of ever longer prefixes."""
     key = np.zeros(len(symbols), np.uint64)
     for k in range(7):
         key = (key << np.uint64(9)) | np.roll(symbols, -k).astype(np.uint64)
-    known = 7
+    known, width = 7, max(len(symbols).bit_length(), 1)
     while True:
         order = np.argsort(key)
         ordered = key[order]
@@ -182,21 +183,26 @@ def sort_shard(symbols: np.ndarray) -> np.ndarray:
         rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
         if known >= LENGTH:
             return order
-        step = min(known, LENGTH - known)
-        key = (rank << np.uint64(32)) | np.roll(rank, -step)
-        known += step
+        # As many ranks as a key holds, two at least; the last one may overlap the one before.
+        key, reached = rank, known
+        for _ in range(64 // width - 1):
+            step = min(reached, LENGTH - known)
+            key = (key << np.uint64(width)) | np.roll(rank, -step)
+            reached = step + known
+        known = reached
 
 
 def merge_transforms(transforms: list[np.ndarray], rounds: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """The merged order of the suffixes of several transforms, and the length of each one's prefix in common with the one before.
 
     Suffixes are numbered shard by shard in the order of their shard. Prefixes are told apart up to `rounds` symbols:
-    a length of `rounds` means at least that.
+    a length of `rounds` means at least that. A symbol may stand for several bytes; lengths are in symbols.
     """
-    symbols = np.concatenate(transforms).astype(np.uint16)
+    known, symbols = np.unique(np.concatenate(transforms), return_inverse=True)
+    # Sixteen bits are sorted by digits.
+    symbols = symbols.astype(np.uint16 if len(known) <= 1 << 16 else np.uint32)
     sizes = [len(t) for t in transforms]
     shard = np.repeat(np.arange(len(sizes), dtype=np.uint8 if len(sizes) < 256 else np.uint16), sizes)
-    offsets = np.cumsum([0, *sizes])
     numbers = np.arange(len(symbols), dtype=np.int32)
     interleave = numbers.copy()
     boundary = np.zeros(len(symbols), bool)
@@ -215,13 +221,20 @@ def merge_transforms(transforms: list[np.ndarray], rounds: int = LENGTH) -> tupl
         # The shards' suffixes in their own order take the places that the shard numbers went to.
         if len(sizes) > 1:
             shard = shard.take(order)
-            for k in range(len(sizes)):
-                interleave[np.flatnonzero(shard == k)] = numbers[offsets[k] : offsets[k + 1]]
+            interleave[shard.argsort(kind="stable")] = numbers
         common[now & ~boundary] = h - 1
         boundary = now
     return interleave, common
 
 
+def transform(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The SYMBOL bytes before each suffix of a cyclic shard as one number, for the suffixes in the given order."""
+    symbols = np.zeros(len(text), np.uint64)
+    for k in range(SYMBOL, 0, -1):
+        symbols = (symbols << np.uint64(9)) | np.roll(text, k).astype(np.uint64)
+    return symbols[order]
+
+
 def repeated(pieces: list[bytes], owners: np.ndarray) -> list[list[tuple[int, int]]]:
     """For each piece, ranges of its windows that are also windows of a piece with a smaller owner."""
     shards, size, held = [], 0, []
@@ -240,15 +253,15 @@ def repeated(pieces: list[bytes], owners: np.ndarray) -> list[list[tuple[int, in
         ends = np.cumsum(lengths)
         text[ends - 1] = 0
         order = sort_shard(text)
-        transforms.append(np.roll(text, 1)[order])
+        transforms.append(transform(text, order))
         piece = np.repeat(np.arange(len(members)), lengths)
         places.append(order - (ends - lengths)[piece][order])
         left.append((ends - 1)[piece][order] - order)
         of.append(np.array(members)[piece][order])
-    merged, common = merge_transforms(transforms)
+    merged, common = merge_transforms(transforms, LENGTH // SYMBOL)
     place, piece = np.concatenate(places)[merged], np.concatenate(of)[merged]
     whole = np.concatenate(left)[merged] >= LENGTH
-    start = np.flatnonzero(common < LENGTH)
+    start = np.flatnonzero(common < LENGTH // SYMBOL)
     owner = np.where(whole, owners[piece], np.iinfo(np.int64).max)
     least = np.repeat(np.minimum.reduceat(owner, start), np.diff(start, append=len(owner)))
     gone = whole & (owner > least)
@@ -304,15 +317,17 @@ def _losses(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _places(docs: DataFrame, marked, hot) -> DataFrame:
-    """key, content and the places (document, first byte, end) of each distinct piece of a chunk."""
+def _places(docs: DataFrame, marked, hot, lost) -> DataFrame:
+    """key, content and the places (document, first byte, end) of each distinct piece of a chunk that may lose something."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = BitTable(marked.value), BitTable(hot.value)
+        tables, losing = (BitTable(marked.value), BitTable(hot.value)), BitTable(lost.value)
         for batch in batches:
             ids, bodies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for low, _, joined, lengths in ngrams.chunks(batch.column(2).to_pylist()):
-                key, content, first, last, owner = _pieces_of(joined, lengths, *tables)
+                found = _pieces_of(joined, lengths, *tables)
+                chosen = losing.test(found[1])
+                key, content, first, last, owner = (x[chosen] for x in found)
                 order, start = _fold(key, content)
                 begin = (np.cumsum(lengths) - lengths)[owner]
                 columns = [ids[owner + low], bodies[owner + low], (first - begin).astype(np.int32), (last - begin).astype(np.int32)]
@@ -336,7 +351,8 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     marked = BitTable.of(repeats, "anchor").share(spark)
     hot = BitTable.of(repeats.filter(F.col("n") > HOT), "anchor").share(spark)
     losses = materialize(per_groups(_pieces(docs, marked, hot), ["key"], _losses, _LOSSES), "suffix-losses")
-    met = _places(docs, marked, hot).join(losses, ["key", "content"]).select("owner", "ranges", F.explode("places").alias("p"))
+    lost = BitTable.of(losses, "content").share(spark)
+    met = _places(docs, marked, hot, lost).join(losses, ["key", "content"]).select("owner", "ranges", F.explode("places").alias("p"))
     # All of a piece goes where its owner has a smaller id; the owner itself loses the listed windows.
     whole = F.array(F.struct(F.lit(0).alias("low"), (F.col("p.high") - F.col("p.low") - LENGTH + 1).alias("high")))
     lost = F.explode(F.when(F.col("p.doc") > F.col("owner"), whole).otherwise(F.col("ranges"))).alias("r")

@@ -667,3 +667,31 @@ def test_merged_transforms_give_order_and_common_prefixes():
     for k in range(1, len(ordered)):
         n = next((x for x in range(12) if ordered[k][x] != ordered[k - 1][x]), 12)
         assert common[k] == n
+
+
+@pytest.mark.parametrize(("letters", "sizes"), [(3, (300, 60, 120)), (255, (70_000, 5_000))])
+def test_transforms_of_several_bytes_merge_in_fewer_rounds(letters, sizes):
+    """Suffixes come in the order of their first 50 bytes; the second case has more different symbols than sixteen bits hold."""
+    rng = np.random.default_rng(4)
+    shards = [np.tile(rng.integers(0, letters, n // 2), 2).astype(np.uint16) for n in sizes]
+    orders = [suffixes.sort_shard(s) for s in shards]
+    transforms = [suffixes.transform(s, o) for s, o in zip(shards, orders, strict=True)]
+    rounds = suffixes.LENGTH // suffixes.SYMBOL
+    assert rounds * suffixes.SYMBOL == suffixes.LENGTH and rounds < suffixes.LENGTH
+    merged, common = suffixes.merge_transforms(transforms, rounds)
+    circles = [np.concatenate([s, s]).astype(np.uint8).tobytes() for s in shards]
+    prefix = [c[p : p + suffixes.LENGTH] for c, o in zip(circles, orders, strict=True) for p in o.tolist()]
+    ordered = [prefix[k] for k in merged]
+    assert ordered == sorted(prefix)
+    assert [n == rounds for n in common[1:].tolist()] == [a == b for a, b in zip(ordered[:-1], ordered[1:], strict=True)]
+
+
+def test_places_of_pieces_that_lose_nothing_are_not_shuffled(spark, monkeypatch):
+    """Forty-five bytes in common repeat anchors, but no string of fifty."""
+    places, seen = suffixes._places, []
+    monkeypatch.setattr(suffixes, "_places", lambda *given: seen.append(places(*given)) or seen[-1])
+    shared = passage(80, 30)
+    for width, some in ((45, False), (120, True)):
+        rows = [(k, passage(900 + k, 20) + shared[:width] + passage(800 + k, 20)) for k in range(40)]
+        found = suffixes.removed_ranges(spark.createDataFrame(rows, "doc_id long, text string")).count()
+        assert (found > 0) == some and (seen[-1].count() > 0) == some
